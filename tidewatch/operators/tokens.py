@@ -71,12 +71,17 @@ def number_names(names: DataFrame, prefix: str, start: int = 0) -> DataFrame:
     return ranked.select("name", token_for(number, prefix).alias("token"), number.alias("token_no"))
 
 
-def extend_dictionary(previous: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
-    """M2: ``previous`` plus the names it lacks."""
+def added_names(previous: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
+    """M2: the names that ``previous`` lacks, numbered after its last one."""
     last = previous.agg(F.max("token_no").alias("last")).first()["last"] or 0
     unknown = names.join(previous.select("name"), "name", "left_anti")
-    added = number_names(unknown, prefix, last)
-    return previous.select("name", "token", "token_no").unionByName(added)
+    return number_names(unknown, prefix, last)
+
+
+def extend_dictionary(previous: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
+    """M2: ``previous`` plus the names it lacks."""
+    known = previous.select("name", "token", "token_no")
+    return known.unionByName(added_names(previous, names, prefix))
 
 
 def export_map(dictionary: DataFrame) -> DataFrame:

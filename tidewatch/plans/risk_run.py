@@ -16,7 +16,7 @@ from tidewatch.operators.periods import (
     period_trends,
 )
 from tidewatch.operators.ranking import with_position
-from tidewatch.operators.tokens import extend_dictionary, mask, token_for
+from tidewatch.operators.tokens import extend_dictionary, mask, number_names, token_for
 from tidewatch.sources.storage import store
 
 
@@ -89,11 +89,11 @@ def masked_metrics(
     names = stored.groupBy(F.col("customer_name").alias("name")).agg(
         F.min("first_key").alias("first_key")
     )
-    if previous is None:
-        previous = names.select(
-            "name", F.lit("").alias("token"), F.lit(0).cast("bigint").alias("token_no")
-        ).limit(0)
-    dictionary = extend_dictionary(previous, names, config.prefix)
+    dictionary = (
+        number_names(names, config.prefix)
+        if previous is None
+        else extend_dictionary(previous, names, config.prefix)
+    )
     return mask(stored, dictionary).drop("first_key"), dictionary
 
 
