@@ -15,8 +15,13 @@ VISIBLE_CHARACTER = r"(?U)[^\s\x1c-\x1f]"
 
 
 def is_blank(text: Column) -> Column:
-    """True for NULL, empty and white-space-only text (M6)."""
-    return text.isNull() | ~text.rlike(VISIBLE_CHARACTER)
+    """True for NULL, empty and white-space-only text (M6).
+
+    Most names start with a printable ASCII character, which is a cheap test;
+    the pattern decides about the others.
+    """
+    visible = F.ascii(text).between(33, 126) | text.rlike(VISIBLE_CHARACTER)
+    return text.isNull() | ~visible
 
 
 def lookup(code: Column, table: Mapping[str, object], default: Column | None = None) -> Column:

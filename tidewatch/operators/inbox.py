@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import expressions as X
 from tidewatch.functions import fixed_values as fixed
+from tidewatch.functions import wording
+from tidewatch.operators import playbook
 from tidewatch.operators.tokens import unmask_text
 
 # Text columns of a card that may hold tokens.
@@ -45,31 +47,47 @@ def cards(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> Da
     chat = first_per_customer(
         messages.where(F.col("channel") == "WHATSAPP").select("customer_id", "body", "pos")
     ).drop("pos")
-    risk, value = F.col("risk_type"), F.col("metric_value")
-    return (
-        finding.join(strategy, "customer_id", "left")
-        .join(chat, "customer_id", "left")
-        .select(
-            "customer_id",
-            "pos",
-            "risk_type",
-            "severity",
-            "metric_value",
-            "priority",
-            X.severity_tag(F.col("severity")).alias("severity_tag"),
-            X.lookup(risk, fixed.RISK_LABELS).alias("risk_label"),
-            X.metric_label(risk).alias("metric_label"),
-            X.metric_text(risk, value).alias("metric_text"),
-            X.metric_note(risk, value).alias("metric_note"),
-            "evidence",
-            F.coalesce("strategy_title", F.lit(fixed.NO_TITLE)).alias("strategy_title"),
-            F.coalesce("rationale", F.lit(fixed.NO_RATIONALE)).alias("rationale"),
-            F.coalesce("action_steps", F.array(F.lit(fixed.NO_STEP))).alias("action_steps"),
-            "body",
+    return _card(
+        finding.join(strategy, "customer_id", "left").join(chat, "customer_id", "left")
+    )
+
+
+def drafted_cards(findings: DataFrame) -> DataFrame:
+    """J1 where each finding gets its strategy and draft from the playbook.
+
+    Both follow from the finding alone, so the card is a projection of the
+    first finding of each customer, without any join.
+    """
+    return _card(
+        findings.withColumns(playbook.strategy_columns()).withColumn(
+            "body", playbook.body(wording.CHAT_BODIES)
         )
     )
 
 
+def _card(joined: DataFrame) -> DataFrame:
+    risk, value = F.col("risk_type"), F.col("metric_value")
+    return joined.select(
+        "customer_id",
+        "pos",
+        "risk_type",
+        "severity",
+        "metric_value",
+        "priority",
+        X.severity_tag(F.col("severity")).alias("severity_tag"),
+        X.lookup(risk, fixed.RISK_LABELS).alias("risk_label"),
+        X.metric_label(risk).alias("metric_label"),
+        X.metric_text(risk, value).alias("metric_text"),
+        X.metric_note(risk, value).alias("metric_note"),
+        playbook.queue(F.col("severity")).alias("queue"),
+        "evidence",
+        F.coalesce("strategy_title", F.lit(fixed.NO_TITLE)).alias("strategy_title"),
+        F.coalesce("rationale", F.lit(fixed.NO_RATIONALE)).alias("rationale"),
+        F.coalesce("action_steps", F.array(F.lit(fixed.NO_STEP))).alias("action_steps"),
+        "body",
+    )
+
+
 def named_cards(card_rows: DataFrame, dictionary: DataFrame, prefix: str = "CUSTOMER") -> DataFrame:
     """Cards with real names, the only output that carries them.
 

@@ -30,8 +30,8 @@ def by_risk(texts: Mapping[str, str]) -> Column:
     return lookup(F.col("risk_type"), texts, F.lit(None).cast("string"))
 
 
-def strategies(findings: DataFrame, playbook: Mapping[str, Mapping] = wording.PLAYBOOK) -> DataFrame:
-    """One recommendation per finding."""
+def strategy_columns(playbook: Mapping[str, Mapping] = wording.PLAYBOOK) -> dict[str, Column]:
+    """The columns of a recommendation, from the columns of a finding."""
     steps = F.create_map(
         *[
             part
@@ -39,45 +39,50 @@ def strategies(findings: DataFrame, playbook: Mapping[str, Mapping] = wording.PL
             for part in (F.lit(risk), F.array(*[F.lit(step) for step in play["steps"]]))
         ]
     )
-    customer = F.col("customer_id")
-    return findings.select(
-        "customer_id",
-        "risk_type",
-        by_risk({risk: play["title"] for risk, play in playbook.items()}).alias("strategy_title"),
-        F.replace(
+    return {
+        "strategy_title": by_risk({risk: play["title"] for risk, play in playbook.items()}),
+        "rationale": F.replace(
             by_risk({risk: play["rationale"] for risk, play in playbook.items()}),
             F.lit("{evidence}"),
             F.col("evidence"),
-        ).alias("rationale"),
-        F.transform(
+        ),
+        "action_steps": F.transform(
             F.try_element_at(steps, F.col("risk_type")),
-            lambda step: F.replace(step, F.lit("{customer}"), customer),
-        ).alias("action_steps"),
-        priority(F.col("severity")).alias("priority"),
-        "pos",
+            lambda step: F.replace(step, F.lit("{customer}"), F.col("customer_id")),
+        ),
+        "priority": priority(F.col("severity")),
+    }
+
+
+def strategies(findings: DataFrame, playbook: Mapping[str, Mapping] = wording.PLAYBOOK) -> DataFrame:
+    """One recommendation per finding."""
+    columns = strategy_columns(playbook)
+    return findings.select(
+        "customer_id", "risk_type", *[c.alias(name) for name, c in columns.items()], "pos"
     )
 
 
-def messages(recommendations: DataFrame) -> DataFrame:
-    """An e-mail and a chat draft per recommendation."""
+def body(texts: Mapping[str, str]) -> Column:
+    """The draft for the risk type, addressed to the token."""
+    return F.replace(
+        by_risk(texts), F.lit("[{customer} {role}]"), placeholder(F.col("customer_id"))
+    )
 
-    def addressed(text: Column) -> Column:
-        return F.replace(
-            text, F.lit("[{customer} {role}]"), placeholder(F.col("customer_id"))
-        )
 
+def messages(recommendations: DataFrame) -> DataFrame:
+    """An e-mail and a chat draft per recommendation."""
     urgent = F.col("priority") == "URGENT"
     email = F.struct(
         F.lit("EMAIL").alias("channel"),
         by_risk(wording.SUBJECTS).alias("subject"),
-        addressed(by_risk(wording.EMAIL_BODIES)).alias("body"),
+        body(wording.EMAIL_BODIES).alias("body"),
         F.lit("FORMAL").alias("tone"),
         (F.col("pos") * 2 - 1).alias("pos"),
     )
     chat = F.struct(
         F.lit("WHATSAPP").alias("channel"),
         F.lit("").alias("subject"),
-        addressed(by_risk(wording.CHAT_BODIES)).alias("body"),
+        body(wording.CHAT_BODIES).alias("body"),
         F.when(urgent, "URGENT").otherwise("FRIENDLY_PROFESSIONAL").alias("tone"),
         (F.col("pos") * 2).alias("pos"),
     )
@@ -93,6 +98,11 @@ def length_check(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("words", word_count(F.col("body"))).withColumn("length_ok", fits)
 
 
-def routed(findings: DataFrame) -> DataFrame:
+def queue(severity: Column) -> Column:
     """Low risk goes ahead, everything else waits for a decision."""
-    return findings.withColumn("queue", F.when(F.col("severity") == "LOW", "AUTO").otherwise("REVIEW"))
+    return F.when(severity == "LOW", "AUTO").otherwise("REVIEW")
+
+
+def routed(findings: DataFrame) -> DataFrame:
+    """Findings with their queue."""
+    return findings.withColumn("queue", queue(F.col("severity")))

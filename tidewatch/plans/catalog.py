@@ -13,10 +13,10 @@ from tidewatch.config import RiskConfig
 from tidewatch.functions import expressions as X
 from tidewatch.operators import inbox, leak_audit, periods, playbook, quality, risk, summaries, tokens
 from tidewatch.operators.ranking import with_position
-from tidewatch.plans.risk_run import RiskRun, named_metrics, run_risk_analysis
+from tidewatch.plans.risk_run import RiskRun, named_metrics
 from tidewatch.sources import raw_files, sales_table
 from tidewatch.sources.storage import fresh_path, store
-from tidewatch.sources.warehouse import warehouse_sales
+from tidewatch.sources.warehouse import warehouse_sales, warehouse_table
 from tidewatch.streaming.monitor import RiskMonitor, count_once, sales_stream, use_disk_state
 
 # Names first seen before this day form the known dictionary of some queries.
@@ -61,7 +61,7 @@ class Desk:
 
     @cached_property
     def run(self) -> RiskRun:
-        return run_risk_analysis(self.sales, order_key="customer_key")
+        return RiskRun(self.sales, order_key="customer_key")
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -76,7 +76,7 @@ class Desk:
         """The sales with the gaps their sources suggest: unspecified terms,
         accounts in debt without a name, samples without a price."""
         named = warehouse_sales(self.spark, self.directory)
-        accounts = self.spark.read.parquet(f"{self.directory}/customer.parquet")
+        accounts = warehouse_table(self.spark, self.directory, "customer")
         return named.join(
             accounts.select(F.col("c_custkey").alias("customer_key"), "c_acctbal"), "customer_key"
         ).select(
@@ -306,7 +306,7 @@ def _(d: Desk) -> DataFrame:
 
 @query("M7_prefix")
 def _(d: Desk) -> DataFrame:
-    suppliers = d.spark.read.parquet(f"{d.directory}/supplier.parquet")
+    suppliers = warehouse_table(d.spark, d.directory, "supplier")
     return tokens.build_dictionary(suppliers, "s_name", "s_suppkey", prefix="VENDOR")
 
 
@@ -640,7 +640,8 @@ def _(d: Desk) -> DataFrame:
 
 @query("J1_cards")
 def _(d: Desk) -> DataFrame:
-    return d.run.cards.select(
+    cards = inbox.cards(d.run.findings, d.run.strategies, d.run.messages)
+    return cards.select(
         "customer_id", "risk_type", "severity", "metric_value", "priority", "strategy_title", "body"
     )
 
@@ -810,9 +811,7 @@ def _(d: Desk) -> DataFrame:
     """Events sent twice, in two folders of one stream; sums must count each once."""
     use_disk_state(d.spark)
     folder = fresh_path(d.spark, "events")
-    events = d.spark.read.parquet(f"{d.directory}/events.parquet").select(
-        "event_id", "event_type", "value"
-    )
+    events = warehouse_table(d.spark, d.directory, "events")
     events.write.parquet(folder)
     events.write.mode("append").parquet(folder)
     state = fresh_path(d.spark, "once")

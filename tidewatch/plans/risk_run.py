@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,37 +17,98 @@ from tidewatch.operators.periods import (
 )
 from tidewatch.operators.ranking import with_position
 from tidewatch.operators.tokens import extend_dictionary, mask, number_names, token_for
+from tidewatch.sources.sales_table import check_input
 from tidewatch.sources.storage import store
 
 
-@dataclass(frozen=True)
 class RiskRun:
-    """Outputs of a run. All but the two named ones hold tokens only."""
-
-    dictionary: DataFrame
-    metrics: DataFrame
-    findings: DataFrame
-    strategies: DataFrame
-    messages: DataFrame
-    cards: DataFrame
-    inbox: DataFrame
-    errors: DataFrame
-    analysis_summary: DataFrame
-    strategy_summary: DataFrame
-    run_counts: DataFrame
+    """Outputs of one run over ``sales``. All but the dictionary and the inbox
+    hold tokens only.
+
+    The metrics are computed and stored when first asked for. Every other
+    output is a plan over those few stored rows; only ``errors`` reads the
+    sales again, for the rows the contract rejects.
+    """
+
+    def __init__(
+        self,
+        sales: DataFrame,
+        config: RiskConfig = RiskConfig(),
+        order_key: str = "id",
+        previous: DataFrame | None = None,
+    ) -> None:
+        self.config, self.order_key, self.previous = config, order_key, previous
+        self.valid, self.rejected = quality.enforce_contract(sales)
+
+    @cached_property
+    def _numbered(self) -> tuple[DataFrame, DataFrame]:
+        return masked_metrics(self.valid, self.config, self.order_key, self.previous)
+
+    @property
+    def metrics(self) -> DataFrame:
+        return self._numbered[0]
+
+    @property
+    def dictionary(self) -> DataFrame:
+        return self._numbered[1]
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return risk.findings(self.metrics, self.config)
+
+    @cached_property
+    def strategies(self) -> DataFrame:
+        return playbook.strategies(self.findings)
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return playbook.length_check(playbook.messages(self.strategies))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        findings = self.findings
+        if self.config.grain:
+            findings = inbox.first_per_customer(findings)
+        return inbox.drafted_cards(findings)
+
+    @cached_property
+    def inbox(self) -> DataFrame:
+        return inbox.named_cards(self.cards, self.dictionary, self.config.prefix)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return quality.as_errors(self.rejected, "load", F.col(self.order_key))
+
+    @cached_property
+    def analysis_summary(self) -> DataFrame:
+        return summaries.analysis_summary(self.findings)
+
+    @cached_property
+    def strategy_summary(self) -> DataFrame:
+        return summaries.strategy_summary(self.strategies)
+
+    @cached_property
+    def run_counts(self) -> DataFrame:
+        return summaries.run_counts(
+            findings=self.findings,
+            strategies=self.strategies,
+            messages=self.messages,
+            errors=self.errors,
+        )
 
     def outputs(self) -> dict[str, DataFrame]:
         """What a run hands on, by name."""
-        return {
-            "findings": self.findings,
-            "strategies": self.strategies,
-            "messages": self.messages,
-            "inbox": self.inbox,
-            "errors": self.errors,
-            "analysis_summary": self.analysis_summary,
-            "strategy_summary": self.strategy_summary,
-            "run_counts": self.run_counts,
-        }
+        names = (
+            "findings",
+            "strategies",
+            "messages",
+            "inbox",
+            "errors",
+            "analysis_summary",
+            "strategy_summary",
+            "run_counts",
+        )
+        return {name: getattr(self, name) for name in names}
 
 
 def named_metrics(sales: DataFrame, config: RiskConfig, order_key: str) -> DataFrame:
@@ -102,27 +163,10 @@ def run_risk_analysis(
     config: RiskConfig = RiskConfig(),
     order_key: str = "id",
     previous: DataFrame | None = None,
-) -> RiskRun:
-    """All outputs of one run. ``order_key`` orders names by first appearance."""
-    valid, rejected = quality.enforce_contract(sales)
-    metrics, dictionary = masked_metrics(valid, config, order_key, previous)
-    findings = risk.findings(metrics, config)
-    strategies = playbook.strategies(findings)
-    messages = playbook.length_check(playbook.messages(strategies))
-    cards = inbox.cards(playbook.routed(findings), strategies, messages)
-    errors = quality.as_errors(rejected, "load", F.col(order_key))
-    return RiskRun(
-        dictionary=dictionary,
-        metrics=metrics,
-        findings=findings,
-        strategies=strategies,
-        messages=messages,
-        cards=cards,
-        inbox=inbox.named_cards(cards, dictionary, config.prefix),
-        errors=errors,
-        analysis_summary=summaries.analysis_summary(findings),
-        strategy_summary=summaries.strategy_summary(strategies),
-        run_counts=summaries.run_counts(
-            findings=findings, strategies=strategies, messages=messages, errors=errors
-        ),
-    )
+) -> dict[str, DataFrame]:
+    """Check the input and return all outputs of a run by name.
+
+    ``order_key`` orders names by first appearance; ``previous`` is the token
+    dictionary to go on with, if tokens must stay the same across runs.
+    """
+    return RiskRun(check_input(sales), config, order_key, previous).outputs()

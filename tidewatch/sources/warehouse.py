@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expressions import lookup
 
+# The columns used, so that nothing is inferred and nothing else is read.
+TABLES = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double"
+    ),
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_type string, p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_acctbal double",
+    "supplier": "s_suppkey bigint, s_name string",
+    "events": "event_id bigint, event_type string, value double",
+}
+
 PAYMENT_TERMS = {
     "1-URGENT": "Immediate",
     "2-HIGH": "Net 15",
@@ -16,6 +29,10 @@ PAYMENT_TERMS = {
 }
 
 
+def warehouse_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{directory}/{name}.parquet")
+
+
 def warehouse_sales(spark: SparkSession, directory: str) -> DataFrame:
     """The sales columns plus ``customer_key``, one row per order line.
 
@@ -23,7 +40,7 @@ def warehouse_sales(spark: SparkSession, directory: str) -> DataFrame:
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return warehouse_table(spark, directory, name)
 
     rows = (
         table("lineitem")
