@@ -17,9 +17,7 @@ def case(column: str, table: dict[str, str], otherwise: str = "NULL") -> str:
 
 
 def dec(value: str, places: int) -> str:
-    """Half-up rounding of the number as it is written, not of its binary value."""
-    written = f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 15))"
-    return f"CAST(CAST(round({written}, {places}) AS DECIMAL(28, {places})) AS VARCHAR)"
+    return f"format('{{:.{places}f}}', {value})"
 
 
 def filled(template: str, **values: str) -> str:
