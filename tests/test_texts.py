@@ -57,8 +57,9 @@ def test_context_blocks(spark, block_lines):
     assert blocks.agg(F.max("pieces")).first()[0] <= block_lines
     expected = {}
     for customer in {r[0] for r in rows}:
-        lines = sorted((r[1], line(r)) for r in rows if r[0] == customer)
-        expected[customer] = "\n".join([f"\n=== {customer} ===", *[text for _, text in lines]])
+        ordered = sorted(r[1:6] for r in rows if r[0] == customer)
+        lines = [line((customer, *r)) for r in ordered]
+        expected[customer] = "\n".join([f"\n=== {customer} ===", *lines])
     assert whole_texts(blocks) == expected
 
 

@@ -11,13 +11,45 @@ from pyspark.sql import functions as F
 _MAX_HEAD = 32
 
 
-def substrings(text: Column, size: Column) -> Column:
-    """All substrings of one size. The look-ahead matches at every place of the
-    text in one walk, where a substring call per place would start over."""
-    pattern = F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))"))
+# So many first characters of names narrow the search, if they are not too varied.
+_MASK_LENGTH = 3
+_MAX_CHARACTERS = 500
+
+
+def substrings(text: Column, size: Column, start: str = "", known: int = 0) -> Column:
+    """All substrings of one size, optionally only those matching ``start``,
+    a pattern for the first ``known`` characters.
+
+    The look-ahead matches at every place of the text in one walk, where a
+    substring call per place would start over each time.
+    """
+    rest = (size - known).cast("string")
+    pattern = F.concat(F.lit("(?s)(?=(" + start + ".{"), rest, F.lit("}))"))
     return F.regexp_extract_all(text, pattern, F.lit(1))
 
 
+def start_pattern(names: DataFrame, length: int) -> str:
+    """Pattern of the characters that names have at their first places.
+
+    At most ``_MAX_CHARACTERS`` characters per place come to the driver; a
+    place with more of them accepts any.
+    """
+    characters = names.agg(
+        *[
+            F.slice(F.sort_array(F.collect_set(F.substring("name", at, 1))), 1, _MAX_CHARACTERS + 1).alias(
+                str(at)
+            )
+            for at in range(1, length + 1)
+        ]
+    ).first()
+    return "".join(
+        "."
+        if len(found) > _MAX_CHARACTERS
+        else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in found) + "]"
+        for found in characters
+    )
+
+
 def leaks(
     texts: DataFrame,
     dictionary: DataFrame,
@@ -28,9 +60,10 @@ def leaks(
 
     Two equality joins replace a comparison of each text with each name:
 
-    1. All substrings as long as the shortest name meet the distinct heads of
-       the names. A head is one row however many names share it, so this join
-       never multiplies rows. Repeated substrings of a text count once.
+    1. Substrings as long as the shortest name, if they start like some name,
+       meet the distinct heads of the names. A head is one row however many
+       names share it, so this join never multiplies rows. Repeated substrings
+       of a text count once.
     2. For the surviving texts, substrings of exactly the lengths that names
        with this head have meet the names.
 
@@ -42,6 +75,8 @@ def leaks(
     if shortest is None:
         return texts.select(*keys).withColumn("name", F.lit("")).limit(0)
     width = min(shortest, _MAX_HEAD)
+    known = min(width, _MASK_LENGTH)
+    start = start_pattern(names, known)
 
     heads = names.groupBy(F.substring("name", 1, width).alias("head")).agg(
         F.collect_set(F.length("name")).alias("lengths")
@@ -49,7 +84,10 @@ def leaks(
     long_enough = texts.where(F.length(text_col) >= width)
     candidates = (
         long_enough.select(
-            *keys, F.explode(F.array_distinct(substrings(F.col(text_col), F.lit(width)))).alias("head")
+            *keys,
+            F.explode(
+                F.array_distinct(substrings(F.col(text_col), F.lit(width), start, known))
+            ).alias("head"),
         )
         .join(heads, "head")
         .groupBy(*keys)

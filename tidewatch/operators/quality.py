@@ -42,30 +42,47 @@ def enforce_contract(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sales.where(~broken), sales.where(broken).withColumn("reasons", reasons)
 
 
-def _field_checks(item: Column, field: T.StructField) -> tuple[Column, Column]:
-    """Value of one field of a JSON object, and the reason if it is not usable."""
-    name = field.name
-    found = F.try_variant_get(item, f"$.{name}", "variant")
-    kind = F.schema_of_variant(found)
-    bad_type = F.lit(f"TYPE_{name}")
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` plus computed columns, each evaluated once per row.
+
+    A projection would be merged into whatever uses it, and a costly column
+    repeated at each use. A generator over one element is not merged.
+    """
+    packed = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.inline(F.array(packed)))
+
+
+def _read_field(item: Column, field: T.StructField) -> dict[str, Column]:
+    """JSON type of a field and its value in the declared type."""
+    path = f"$.{field.name}"
+    return {
+        f"_{field.name}": F.schema_of_variant(F.try_variant_get(item, path, "variant")),
+        field.name: F.try_variant_get(item, path, field.dataType.simpleString()),
+    }
+
+
+def _field_reason(field: T.StructField) -> Column:
+    """Why a field read by ``_read_field`` is not usable; NULL if it is."""
+    name, kind, value = field.name, F.col(f"_{field.name}"), F.col(field.name)
     if isinstance(field.dataType, T.DoubleType):
-        value = F.try_variant_get(item, f"$.{name}", "double")
-        reason = F.when(value.isNull(), bad_type)
+        usable = value.isNotNull()
     elif isinstance(field.dataType, T.ArrayType):
-        value = F.try_variant_get(item, f"$.{name}", "array<string>")
-        reason = F.when(~kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), bad_type)
-    else:
-        value = F.try_variant_get(item, f"$.{name}", "string")
-        reason = F.when(kind != "STRING", bad_type)
-        if name in schemas.ENUMS:
-            allowed = value.isin(*schemas.ENUMS[name])
-            reason = reason.when(~allowed, F.lit(f"VALUE_{name}"))
-    if name in FIELD_DEFAULTS:
-        missing = F.lit(None).cast("string")
-        value = F.when(found.isNull(), F.lit(FIELD_DEFAULTS[name])).otherwise(value)
+        usable = kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
     else:
-        missing = F.lit(f"MISSING_{name}")
-    return value, F.when(found.isNull(), missing).otherwise(reason)
+        usable = kind == "STRING"
+    reason = F.when(~usable, f"TYPE_{name}")
+    if name in schemas.ENUMS:
+        reason = reason.when(~value.isin(*schemas.ENUMS[name]), f"VALUE_{name}")
+    missing = F.lit(None) if name in FIELD_DEFAULTS else F.lit(f"MISSING_{name}")
+    return F.when(kind.isNull(), missing).otherwise(reason)
+
+
+def _field_value(field: T.StructField) -> Column:
+    value = F.col(field.name)
+    if field.name in FIELD_DEFAULTS:
+        absent = F.col(f"_{field.name}").isNull()
+        value = F.when(absent, FIELD_DEFAULTS[field.name]).otherwise(value)
+    return value.alias(field.name)
 
 
 def validate_objects(
@@ -74,29 +91,27 @@ def validate_objects(
     """V1: JSON objects as typed rows, and unusable ones with their ``reasons``.
 
     Numbers may come as text; nothing else changes its type. Missing fields
-    with a default get it. The objects are VARIANT values, parsed once.
+    with a default get it. The objects are VARIANT values, read once.
     """
     item = F.col(item_col)
-    values, reasons = {}, []
+    columns = {"_present": item.isNotNull()}
     for field in schema.fields:
-        values[field.name], reason = _field_checks(item, field)
-        reasons.append(reason)
-    problems = F.when(item.isNull(), F.array(F.lit("BROKEN_JSON"))).otherwise(
+        columns |= _read_field(item, field)
+    fields = once(rows, list(keep), **columns)
+    reasons = [_field_reason(field) for field in schema.fields]
+    fits = reduce(Column.__and__, [reason.isNull() for reason in reasons], F.col("_present"))
+    problems = F.when(~F.col("_present"), F.array(F.lit("BROKEN_JSON"))).otherwise(
         F.array_compact(F.array(*reasons))
     )
-    checked = rows.withColumn("reasons", problems)
-    valid = checked.where(F.size("reasons") == 0).select(
-        *keep, *[value.alias(name) for name, value in values.items()]
-    )
-    rejected = checked.where(F.size("reasons") > 0).select(*keep, "reasons")
-    return valid, rejected
+    valid = fields.where(fits).select(*keep, *[_field_value(field) for field in schema.fields])
+    return valid, fields.where(~fits).select(*keep, problems.alias("reasons"))
 
 
 def validate_json(
     rows: DataFrame, schema: T.StructType, raw_col: str = "raw", keep: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """V1 over JSON text; text that is no JSON is rejected as ``BROKEN_JSON``."""
-    parsed = rows.withColumn("item", F.try_parse_json(raw_col))
+    parsed = once(rows, list(keep), item=F.try_parse_json(raw_col))
     return validate_objects(parsed, schema, "item", keep)
 
 
@@ -108,7 +123,7 @@ def unwrap_reports(
     A missing list counts as empty. Items stay VARIANT values for
     ``validate_objects``; ``item_no`` is their place in the list.
     """
-    report = rows.withColumn("report", F.try_parse_json(raw_col))
+    report = once(rows, list(keep), report=F.try_parse_json(raw_col))
     items = report.select(
         *keep,
         F.posexplode(F.try_variant_get("report", f"$.{list_field}", "array<variant>")).alias(

@@ -33,22 +33,24 @@ def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
     """A3: the sales of each customer as text, by date, in numbered blocks.
 
     Joining the ``text`` of a customer's blocks with line feeds, in ``block``
-    order, gives the whole text. A customer with very many rows gets many
-    blocks, never one huge group. Equal lines are counted before the shuffle
-    and leave as pieces of at most ``block_lines`` copies, so that copies
-    cannot pile up in one range either; a block holds ``block_lines`` pieces.
+    order, gives the whole text; sales of one day are in the order of the
+    printed columns. A customer with very many rows gets many blocks, never one
+    huge group. Equal rows are counted before the shuffle and leave as pieces
+    of at most ``block_lines`` copies, so that copies cannot pile up in one
+    range either; a block holds ``block_lines`` pieces. Only columns move until
+    the last step; the text is printed there.
     """
-    lines = masked.select("customer_id", "transaction_date", sale_line().alias("line"))
+    printed = ["transaction_date", "category", "quantity", "unit_sales_price", "unit_cost"]
     pieces = (
-        lines.groupBy("customer_id", "transaction_date", "line")
+        masked.groupBy("customer_id", *printed)
         .agg(F.count("*").alias("copies"))
         .withColumn("done", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(block_lines))))
         .withColumn("copies", F.least(F.col("copies") - F.col("done"), F.lit(block_lines)).cast("int"))
     )
-    ranked = with_position(pieces, ["customer_id", "transaction_date", "line", "done"])
+    ranked = with_position(pieces, ["customer_id", *printed, "done"])
     starts = ranked.groupBy("customer_id").agg(F.min("position").alias("start"))
     block = F.floor((F.col("position") - F.col("start")) / block_lines).cast("int")
-    text = F.array_join(F.array_repeat("line", F.col("copies")), "\n")
+    text = F.array_join(F.array_repeat(sale_line(), F.col("copies")), "\n")
     blocks = (
         ranked.join(starts, "customer_id")
         .groupBy("customer_id", block.alias("block"))

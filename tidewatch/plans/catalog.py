@@ -112,7 +112,7 @@ class Desk:
             .when(kind == "MARGIN_RISK", F.substring(record(), 1, 20))
             .otherwise(record(severity=F.lit("SEVERE"), customer_id=F.col("pos")))
         )
-        return rows.select(F.col("customer_id").alias("key"), raw.alias("raw"))
+        return store(rows.select(F.col("customer_id").alias("key"), raw.alias("raw")), "records")
 
 
 _desks: dict[tuple[str, str], Desk] = {}
@@ -330,7 +330,7 @@ def _(d: Desk) -> DataFrame:
             F.concat(F.lit("names/"), "customer_id").alias("key"), F.col("rationale").alias("text")
         )
     )
-    return leak_audit.leaks(texts, d.run.dictionary, ["key"])
+    return leak_audit.leaks(store(texts, "texts"), d.run.dictionary, ["key"])
 
 
 @query("M11_masked_projection")

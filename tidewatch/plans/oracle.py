@@ -373,12 +373,13 @@ FROM strategies""",
         BASE,
         f"""SELECT customer_id, CAST(block AS INTEGER) AS block, CAST(count(*) AS INTEGER) AS pieces,
   CASE WHEN block = 0 THEN {NL} || '=== ' || customer_id || ' ===' || {NL} ELSE '' END
-    || string_agg(piece, {NL} ORDER BY transaction_date, line) AS text
+    || string_agg(rtrim(repeat({_LINE} || {NL}, CAST(copies AS BIGINT)), {NL}), {NL} ORDER BY n) AS text
 FROM (
-  SELECT customer_id, transaction_date, line,
-         rtrim(repeat(line || {NL}, CAST(copies AS BIGINT)), {NL}) AS piece,
-         (row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date, line) - 1) // 25 AS block
-  FROM (SELECT customer_id, transaction_date, {_LINE} AS line, count(*) AS copies FROM masked GROUP BY ALL))
+  SELECT *, (n - 1) // 25 AS block FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date, category, quantity,
+                                 unit_sales_price, unit_cost) AS n
+    FROM (SELECT customer_id, transaction_date, category, quantity, unit_sales_price, unit_cost,
+                 count(*) AS copies FROM masked GROUP BY ALL)))
 GROUP BY customer_id, block""",
     ),
     "A4_period_totals": _sql(
