@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,15 +45,10 @@ def decimal_text(value: Column, places: int) -> Column:
     spread = value * 134217729.0
     high = spread - (spread - value)
     lost = (high * power - shifted) + (value - high) * power
-    floor = F.floor(shifted).cast("double")
-    whole = (
-        F.when((shifted - floor == 0.5) & (lost > 0), floor + 1)
-        .when((shifted - floor == 0.5) & (lost < 0), floor)
-        .otherwise(F.rint(shifted))
+    nudge = F.when(F.abs(shifted) % 1 == 0.5, F.signum(lost) * 0.25).otherwise(0.0)
+    return F.call_function(
+        "format_number", F.rint(shifted + nudge) / power, F.lit("0." + "0" * places)
     )
-    scale = F.lit(Decimal(1).scaleb(-places))
-    digits = (whole.try_cast("decimal(34,0)") * scale).cast(f"decimal(38,{places})").cast("string")
-    return F.when((whole == 0) & (value < 0), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def margin_ratio(price: Column, cost: Column) -> Column:
