@@ -83,6 +83,23 @@ def test_log_reads_few_folders(spark, tmp_path):
     assert log.read(-1).count() == 0
 
 
+def test_log_opens_only_the_buckets_it_needs(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("n"), "id").alias("name"), "id")
+    log = BatchLog(spark, str(tmp_path), rows.schema, lambda df: df, every=2, key="name", buckets=5)
+    for number in range(3):
+        log.compact_before(number)
+        log.write(rows.where(F.col("id") % 3 == number), number)
+    assert {tuple(r) for r in log.read(2).collect()} == {tuple(r) for r in rows.collect()}
+    one = rows.where("id = 3")
+    log.compact_before(3)
+    log.write(one, 3)
+    hit = log.buckets_of(3)
+    assert len(hit) == 1
+    part = log.read(3, hit)
+    assert part.where("id = 3").count() == 2 and part.count() < 100
+    assert f"bucket#" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1][:40]
+
+
 def test_monitor_refuses_what_it_cannot_keep(spark, tmp_path):
     from tidewatch.config import RiskConfig
 

@@ -71,9 +71,15 @@ def number_names(names: DataFrame, prefix: str, start: int = 0) -> DataFrame:
     return ranked.select("name", token_for(number, prefix).alias("token"), number.alias("token_no"))
 
 
-def added_names(previous: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
-    """M2: the names that ``previous`` lacks, numbered after its last one."""
-    last = previous.agg(F.max("token_no").alias("last")).first()["last"] or 0
+def last_number(dictionary: DataFrame) -> int:
+    return dictionary.agg(F.max("token_no").alias("last")).first()["last"] or 0
+
+
+def added_names(previous: DataFrame, names: DataFrame, prefix: str, last: int | None = None) -> DataFrame:
+    """M2: the names that ``previous`` lacks, numbered after ``last``, by
+    default the last number of ``previous``."""
+    if last is None:
+        last = last_number(previous)
     unknown = names.join(previous.select("name"), "name", "left_anti")
     return number_names(unknown, prefix, last)
 

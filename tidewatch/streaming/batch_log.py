@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_BUCKET, _CHUNK = "bucket", "chunk"
+_FOLDERS = [T.StructField(_CHUNK, T.StringType()), T.StructField(_BUCKET, T.IntegerType())]
+
 
 class BatchLog:
     """One folder per micro-batch, merged into a base every ``every`` batches.
@@ -16,6 +20,9 @@ class BatchLog:
     base written just before the current group of batches, plus the batches of
     the group. Readers open at most ``every + 1`` folders, however long the
     stream has run.
+
+    With more than one bucket, rows are spread over sub-folders by a hash of
+    ``key``, and a reader that names its buckets opens only those.
     """
 
     def __init__(
@@ -25,34 +32,67 @@ class BatchLog:
         schema: T.StructType,
         merge: Callable[[DataFrame], DataFrame],
         every: int = 20,
+        key: str | None = None,
+        buckets: int = 1,
     ) -> None:
         self.spark, self.directory, self.schema = spark, directory, schema
         self.merge, self.every = merge, every
+        self.key, self.buckets = key, buckets if key else 1
 
     def _batch(self, number: int) -> str:
-        return f"{self.directory}/batch={number}"
+        return f"{self.directory}/{_CHUNK}=batch-{number}"
 
     def _base(self, through: int) -> str:
-        return f"{self.directory}/base={through}"
+        return f"{self.directory}/{_CHUNK}=base-{through}"
+
+    def _save(self, df: DataFrame, path: str) -> None:
+        rows = df.select(*self.schema.fieldNames())
+        if self.buckets > 1:
+            bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+            rows = rows.withColumn(_BUCKET, bucket).repartition(_BUCKET)
+            rows.write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
+    def _load(self, paths: list[str], buckets: list[int] | None) -> DataFrame:
+        if self.buckets == 1:
+            return self.spark.read.schema(self.schema).parquet(*paths)
+        rows = (
+            self.spark.read.schema(T.StructType([*self.schema.fields, *_FOLDERS]))
+            .option("basePath", self.directory)
+            .parquet(*paths)
+        )
+        if buckets is not None:
+            rows = rows.where(F.col(_BUCKET).isin(buckets))
+        return rows.drop(_CHUNK, _BUCKET)
 
     def write(self, df: DataFrame, batch: int) -> DataFrame:
         """Store the rows of one batch and return them read back."""
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._batch(batch))
-        return self.spark.read.schema(self.schema).parquet(self._batch(batch))
+        self._save(df, self._batch(batch))
+        return self._load([self._batch(batch)], None)
+
+    def buckets_of(self, batch: int) -> list[int] | None:
+        """Buckets that a batch wrote to, or None if there is only one."""
+        if self.buckets == 1:
+            return None
+        written = (
+            self.spark.read.schema(T.StructType(_FOLDERS))
+            .option("basePath", self.directory)
+            .parquet(self._batch(batch))
+            .select(_BUCKET)
+        )
+        return [row[_BUCKET] for row in written.distinct().collect()]
 
-    def read(self, through: int) -> DataFrame:
-        """All rows up to and including batch ``through``, not merged."""
+    def read(self, through: int, buckets: list[int] | None = None) -> DataFrame:
+        """Rows up to and including batch ``through``, not merged."""
         if through < 0:
             return self.spark.createDataFrame([], self.schema)
         group = through // self.every * self.every
         paths = [self._base(group - 1)] if group else []
         paths += [self._batch(number) for number in range(group, through + 1)]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self._load(paths, buckets)
 
     def compact_before(self, batch: int) -> None:
         """At the first batch of a group, merge all earlier rows into a base."""
         if batch and batch % self.every == 0:
-            merged = self.merge(self.read(batch - 1))
-            merged.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
-                self._base(batch - 1)
-            )
+            self._save(self.merge(self.read(batch - 1)), self._base(batch - 1))

@@ -16,7 +16,7 @@ from tidewatch.operators.periods import (
     period_totals,
     period_trends,
 )
-from tidewatch.operators.tokens import added_names, mask
+from tidewatch.operators.tokens import added_names, last_number, mask
 from tidewatch.schemas import ERROR, FINDING, SALES
 from tidewatch.streaming.batch_log import BatchLog
 
@@ -41,7 +41,9 @@ _NAMES = T.StructType(
 )
 # Healthy customers are logged too, without a type, to withdraw old findings.
 _FINDINGS = T.StructType([*FINDING.fields, T.StructField("batch_id", T.LongType())])
-_PROGRESS = T.StructType([T.StructField("batch_id", T.LongType())])
+_PROGRESS = T.StructType(
+    [T.StructField("batch_id", T.LongType()), T.StructField("last_token", T.LongType())]
+)
 
 
 def use_disk_state(spark: SparkSession) -> None:
@@ -80,6 +82,10 @@ class RiskMonitor:
     State lives under ``directory``, a folder all executors share: period sums,
     the token dictionary, the findings and the rejected rows, each a
     ``BatchLog``. Sums merge, so a late row corrects its own past period.
+
+    A batch reads period sums, never old sales, and of those only the buckets
+    of the customers it touches. Set ``buckets`` so high that a usual batch
+    touches a small part of them; each batch writes one file per bucket touched.
     """
 
     def __init__(
@@ -88,16 +94,20 @@ class RiskMonitor:
         directory: str,
         config: RiskConfig = RiskConfig(),
         compact_every: int = 20,
+        buckets: int = 8,
     ) -> None:
         if config.grain or config.fill_empty_periods:
             raise ValueError("the monitor works on customers and on observed periods")
         self.spark, self.directory, self.config = spark, directory.rstrip("/"), config
 
-        def log(name: str, schema: T.StructType, merge) -> BatchLog:
-            return BatchLog(spark, f"{self.directory}/{name}", schema, merge, compact_every)
+        def log(name: str, schema: T.StructType, merge, key: str | None = None) -> BatchLog:
+            path = f"{self.directory}/{name}"
+            return BatchLog(spark, path, schema, merge, compact_every, key, buckets)
 
-        self.totals = log("totals", _TOTALS, lambda df: merge_totals(df, ["customer_name"]))
-        self.names = log("names", _NAMES, lambda df: df)
+        self.totals = log(
+            "totals", _TOTALS, lambda df: merge_totals(df, ["customer_name"]), "customer_name"
+        )
+        self.names = log("names", _NAMES, lambda df: df, "name")
         self.results = log("findings", _FINDINGS, _latest)
         self.rejects = log("errors", ERROR, lambda df: df)
 
@@ -125,16 +135,19 @@ class RiskMonitor:
         )
         batch.unpersist()
 
+        hit = self.totals.buckets_of(batch_id)
         touched = new.groupBy("customer_name").agg(F.min("first_key").alias("first_key"))
         seen = touched.withColumnRenamed("customer_name", "name")
-        self.names.write(
-            added_names(self.names.read(batch_id - 1), seen, self.config.prefix), batch_id
+        last = self._last_token(batch_id - 1)
+        added = self.names.write(
+            added_names(self.names.read(batch_id - 1, hit), seen, self.config.prefix, last), batch_id
         )
+        last = max(last, last_number(added))
 
-        history = self.totals.read(batch_id).join(touched.select("customer_name"), "customer_name", "left_semi")
         keys = ["customer_name"]
+        history = self.totals.read(batch_id, hit).join(touched.select(*keys), keys, "left_semi")
         metrics = customer_metrics(period_trends(merge_totals(history, keys), keys), keys)
-        masked = mask(metrics, self.names.read(batch_id))
+        masked = mask(metrics, self.names.read(batch_id, hit))
         graded = risk.grade(risk.classify(masked, self.config), self.config)
         self.results.write(
             graded.withColumns(
@@ -145,9 +158,17 @@ class RiskMonitor:
             ),
             batch_id,
         )
-        self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).write.mode(
-            "overwrite"
-        ).parquet(f"{self.directory}/progress/done={batch_id}")
+        done = self.spark.createDataFrame([(batch_id, last)], _PROGRESS)
+        done.coalesce(1).write.mode("overwrite").parquet(self._progress(batch_id))
+
+    def _progress(self, batch_id: int) -> str:
+        return f"{self.directory}/progress/done={batch_id}"
+
+    def _last_token(self, batch_id: int) -> int:
+        """Highest token number after a batch."""
+        if batch_id < 0:
+            return 0
+        return self.spark.read.schema(_PROGRESS).parquet(self._progress(batch_id)).first()["last_token"]
 
     def last_batch(self) -> int:
         """Number of the newest finished batch, -1 before the first."""
