@@ -52,3 +52,17 @@ def test_distinct_count_aggregates_before_the_shuffle(spark, sample, tmp_path):
             stored(spark, sample, tmp_path / "again").select(F.col("customer_name").alias("customer_id"))
         )
     )
+
+
+def test_blocks_of_one_customer_are_spread(spark, sample, tmp_path):
+    """Neither the join nor the grouping hashes by customer alone."""
+    masked = stored(spark, sample, tmp_path).withColumnRenamed("customer_name", "customer_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(summaries.context_blocks(masked, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [customer_id" in plan and "salt" in plan
+    hashed = [part.split(")")[0] for part in plan.split("Exchange hashpartitioning(")[1:]]
+    by_customer = [part for part in hashed if part.count("#") == 1]
+    assert len(hashed) == 4 and len(by_customer) == 1, hashed

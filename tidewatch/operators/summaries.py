@@ -12,6 +12,9 @@ from tidewatch.functions import wording
 from tidewatch.functions.expressions import finding_line, rounded, sale_line, strategy_block
 from tidewatch.operators.ranking import with_position
 
+# Parts into which the rows of one customer are dealt where a join would gather them.
+_SPREAD = 16
+
 
 def load_counts(masked: DataFrame) -> DataFrame:
     """A1, A2: rows loaded and exact number of distinct customers.
@@ -37,8 +40,11 @@ def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
     printed columns. A customer with very many rows gets many blocks, never one
     huge group. Equal rows are counted before the shuffle and leave as pieces
     of at most ``block_lines`` copies, so that copies cannot pile up in one
-    range either; a block holds ``block_lines`` pieces. Only columns move until
-    the last step; the text is printed there.
+    range either; a block holds ``block_lines`` pieces. The join that tells
+    where a customer starts is salted: joined by customer alone, its
+    partitioning would also serve the grouping, and one task would get all
+    blocks of a customer. Only columns move until the last step; the text is
+    printed there.
     """
     printed = ["transaction_date", "category", "quantity", "unit_sales_price", "unit_cost"]
     pieces = (
@@ -48,11 +54,17 @@ def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
         .withColumn("copies", F.least(F.col("copies") - F.col("done"), F.lit(block_lines)).cast("int"))
     )
     ranked = with_position(pieces, ["customer_id", *printed, "done"])
-    starts = ranked.groupBy("customer_id").agg(F.min("position").alias("start"))
+    starts = (
+        ranked.groupBy("customer_id")
+        .agg(F.min("position").alias("start"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+    )
+    salt = (F.col("position") % _SPREAD).cast("int")
     block = F.floor((F.col("position") - F.col("start")) / block_lines).cast("int")
     text = F.array_join(F.array_repeat(sale_line(), F.col("copies")), "\n")
     blocks = (
-        ranked.join(starts, "customer_id")
+        ranked.withColumn("salt", salt)
+        .join(starts, ["customer_id", "salt"])
         .groupBy("customer_id", block.alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct("position", text.alias("text")))).alias("parts"))
     )

@@ -771,12 +771,12 @@ def _(d: Desk) -> DataFrame:
 
 @query("V3_token_check")
 def _(d: Desk) -> DataFrame:
-    masked = tokens.mask(d.sales, d.grown_dictionary)
-    return (
-        tokens.unknown_tokens(masked, d.early_dictionary)
-        .groupBy("customer_id", "reason")
+    rows = (
+        tokens.mask(d.sales, d.grown_dictionary)
+        .groupBy("customer_id")
         .agg(F.count("*").alias("rows"))
     )
+    return tokens.unknown_tokens(rows, d.early_dictionary)
 
 
 # --- streaming ------------------------------------------------------------------------------
