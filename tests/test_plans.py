@@ -1,5 +1,7 @@
 """The plans are the ones we want."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tests.helpers import plan_text
@@ -66,3 +68,18 @@ def test_blocks_of_one_customer_are_spread(spark, sample, tmp_path):
     hashed = [part.split(")")[0] for part in plan.split("Exchange hashpartitioning(")[1:]]
     by_customer = [part for part in hashed if part.count("#") == 1]
     assert len(hashed) == 4 and len(by_customer) == 1, hashed
+
+
+def test_generated_code_stays_compilable(spark, sample, capsys):
+    """The JVM interprets methods above 8000 bytes of code."""
+    run = RiskRun(sample)
+    frames = (run.findings, run.strategies, run.messages, run.cards, run.inbox)
+    run.metrics.count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in frames:
+            df.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

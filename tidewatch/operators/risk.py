@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,32 +60,35 @@ def grade(classified: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame
     return classified.withColumns({"severity": severity, "metric_value": rounded(metric)})
 
 
-def evidence(config: RiskConfig = RiskConfig()) -> Column:
-    """A sentence built from the token and the rounded metrics."""
-
-    def number(value: Column) -> Column:
-        return F.coalesce(decimal_text(value, 1), F.lit(NOT_MEASURED))
+def with_evidence(graded: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
+    """Add a sentence built from the token and the rounded metrics.
 
-    values = {
-        "{customer}": F.col("customer_id"),
-        "{two}": number(F.col("two_period_drop")),
-        "{single}": number(scoped_drop(config)),
-        "{margin}": number(F.col("current_margin") * 100),
-        "{gap}": number(F.col("growth_gap")),
+    The numbers are printed in a projection of their own. Each serves several
+    sentences, so Catalyst keeps that projection, and the generated code of
+    neither step grows past what the JVM compiles.
+    """
+    numbers = {
+        "two": F.col("two_period_drop"),
+        "single": scoped_drop(config),
+        "margin": F.col("current_margin") * 100,
+        "gap": F.col("growth_gap"),
     }
+    texts = {
+        f"_{mark}": F.coalesce(decimal_text(value, 1), F.lit(NOT_MEASURED))
+        for mark, value in numbers.items()
+    }
+    marks = {"{customer}": F.col("customer_id")}
+    marks |= {"{" + mark + "}": F.col(f"_{mark}") for mark in numbers}
 
     def filled(template: str) -> Column:
-        text = F.lit(template)
-        for mark, value in values.items():
-            if mark in template:
-                text = F.replace(text, F.lit(mark), value)
-        return text
-
-    return (
-        F.when(F.col("risk_type") == "CHURN_RISK", filled(EVIDENCE["CHURN_RISK"]))
-        .when(F.col("risk_type") == "MARGIN_RISK", filled(EVIDENCE["MARGIN_RISK"]))
-        .otherwise(filled(EVIDENCE["BOTH"]))
-    )
+        parts = re.split("(" + "|".join(map(re.escape, marks)) + ")", template)
+        return F.concat(*[marks[part] if part in marks else F.lit(part) for part in parts])
+
+    kind = F.col("risk_type")
+    sentence = F.when(kind == "CHURN_RISK", filled(EVIDENCE["CHURN_RISK"]))
+    for other in ("MARGIN_RISK", "BOTH"):
+        sentence = sentence.when(kind == other, filled(EVIDENCE[other]))
+    return graded.withColumns(texts).withColumn("evidence", sentence).drop(*texts)
 
 
 def at_risk(classified: DataFrame) -> DataFrame:
@@ -96,13 +101,13 @@ def findings(metrics: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame
 
     ``pos`` is the place of the finding in the output: the token number.
     """
-    graded = grade(at_risk(classify(metrics, config)), config)
+    graded = with_evidence(grade(at_risk(classify(metrics, config)), config), config)
     return graded.select(
         "customer_id",
         *config.grain,
         "risk_type",
         "severity",
-        evidence(config).alias("evidence"),
+        "evidence",
         "metric_value",
         position(config.prefix).alias("pos"),
     )

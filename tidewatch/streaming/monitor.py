@@ -150,11 +150,8 @@ class RiskMonitor:
         masked = mask(metrics, self.names.read(batch_id, hit))
         graded = risk.grade(risk.classify(masked, self.config), self.config)
         self.results.write(
-            graded.withColumns(
-                {
-                    "evidence": F.when(F.col("risk_type").isNotNull(), risk.evidence(self.config)),
-                    "batch_id": F.lit(batch_id).cast("bigint"),
-                }
+            risk.with_evidence(graded, self.config).withColumn(
+                "batch_id", F.lit(batch_id).cast("bigint")
             ),
             batch_id,
         )
