@@ -29,7 +29,7 @@ HEADLINES = (
     "A3_context_blocks",
     "A4_period_totals",
     "A5_period_spine",
-    "A7_smoke_metrics",
+    "A7_margin_and_velocity",
     "W5_growth_gap",
     "R6_evidence",
     "R9_drafts",

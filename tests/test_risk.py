@@ -133,9 +133,9 @@ def test_zero_quantity_base_is_no_drop(spark):
     assert classes(sales_of(spark, [("z", 1, 0, 10, 5), ("z", 4, 10, 10, 5), ("z", 7, 9, 10, 5)])) == {"z": None}
 
 
-def test_smoke_metrics(spark):
+def test_margin_and_velocity(spark):
     sales = sales_of(spark, [("a", 1, 100, 10, 5), ("a", 2, 100, 10, 8), ("a", 4, 150, 10, 5), ("b", 1, 1, 10, 5)])
-    got = {r["customer_name"]: (r[1], r[2]) for r in periods.smoke_metrics(sales, key="customer_name").collect()}
+    got = {r["customer_name"]: (r[1], r[2]) for r in periods.margin_and_velocity(sales, key="customer_name").collect()}
     assert got == {"a": (0.4, -25.0), "b": (0.5, None)}
 
 

@@ -46,6 +46,10 @@ def test_input_check(spark, sample):
         sales_table.check_input(sample.withColumn("quantity", F.lit("5")))
     with pytest.raises(ValueError):
         sales_table.check_input(sample.limit(0))
+    with pytest.raises(ValueError):
+        run_risk_analysis(sample.limit(0))
+    only_bad = run_risk_analysis(sample.withColumn("payment_term", F.lit("x" * 51)))
+    assert only_bad["findings"].count() == 0 and only_bad["errors"].count() == 20
 
 
 def test_outputs_are_written_and_pruned(spark, sample, tmp_path):

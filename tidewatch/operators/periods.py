@@ -161,7 +161,7 @@ def customer_metrics(trends: DataFrame, keys: Sequence[str] = ("customer_id",))
     )
 
 
-def smoke_metrics(sales: DataFrame, period: str = "quarter", key: str = "customer_id") -> DataFrame:
+def margin_and_velocity(sales: DataFrame, period: str = "quarter", key: str = "customer_id") -> DataFrame:
     """Mean row margin and change of the newest period, per customer.
 
     One pass: the row margins are summed per period next to the quantities.

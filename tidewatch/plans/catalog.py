@@ -485,9 +485,9 @@ def _(d: Desk) -> DataFrame:
     )
 
 
-@query("A7_smoke_metrics")
+@query("A7_margin_and_velocity")
 def _(d: Desk) -> DataFrame:
-    return periods.smoke_metrics(d.masked)
+    return periods.margin_and_velocity(d.masked)
 
 
 @query("A8_first_seen_order")

@@ -402,7 +402,7 @@ GROUP BY customer_id, block""",
         f"SELECT customer_id, {_SIX('first_price')}, {_SIX('last_price')}, {_SIX('first_cost')},"
         f" {_SIX('last_cost')}, cost_growth_pct, price_growth_pct FROM metrics",
     ),
-    "A7_smoke_metrics": _sql(
+    "A7_margin_and_velocity": _sql(
         METRICS,
         """SELECT customer_id, avg_margin_ratio, order_velocity_change_pct FROM
   (SELECT customer_id, round(avg((unit_sales_price - unit_cost) / nullif(unit_sales_price, 0)), 6)

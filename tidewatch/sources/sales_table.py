@@ -102,8 +102,8 @@ def load_or_default(spark: SparkSession, path: str, default: DataFrame) -> DataF
     return spark.read.schema(default.schema).parquet(path)
 
 
-def check_input(sales: DataFrame) -> DataFrame:
-    """A frame with the sales columns and at least one row, else an error."""
+def check_columns(sales: DataFrame) -> DataFrame:
+    """A frame with the sales columns in their types. Runs no job."""
     if not isinstance(sales, DataFrame):
         raise TypeError(f"expected a DataFrame, got {type(sales).__name__}")
     present = {f.name: f.dataType for f in sales.schema.fields}
@@ -115,7 +115,12 @@ def check_input(sales: DataFrame) -> DataFrame:
                 f"column {field.name} must be {field.dataType.simpleString()}, "
                 f"got {present[field.name].simpleString()}"
             )
-    if sales.isEmpty():
+    return sales
+
+
+def check_input(sales: DataFrame) -> DataFrame:
+    """The sales columns and at least one row, else an error."""
+    if check_columns(sales).isEmpty():
         raise ValueError("the sales table is empty")
     return sales
 
