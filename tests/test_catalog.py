@@ -5,8 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import rows_of
+from tidewatch.plans.catalog import QUERIES
+from tidewatch.plans.oracle import ORACLE
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -21,10 +23,10 @@ def tables():
     return base
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, tables, name):
-    ours = queries()[name](spark, DIRECTORY).toPandas()
-    theirs = tables.sql(oracle_sql()[name]).df()
+    ours = QUERIES[name](spark, DIRECTORY).toPandas()
+    theirs = tables.sql(ORACLE[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours) == rows_of(theirs)
 
