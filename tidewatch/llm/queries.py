@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, pii, sharding, token_output
+from tidewatch.llm import (
+    bpe,
+    decontamination,
+    language_id,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_output,
+)
 from tidewatch.llm.shared import table
 
 
@@ -31,8 +40,35 @@ def op10_elias_fano_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_anchor_pii, op7_automaton_bpe, op9_hash_tree_sharding, op10_elias_fano_output)
+    for f in (
+        op1_anchor_pii,
+        op2_attention_quality,
+        op5_byte_network_language,
+        op6_likelihood_ratio_rules,
+        op7_automaton_bpe,
+        op8_template_decontamination,
+        op9_hash_tree_sharding,
+        op10_elias_fano_output,
+    )
 }
 ORACLE: dict[str, str] = {}
