@@ -26,13 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Memo, pieces, texts_of
-from tidewatch.llm.token_words import PIECE
+from tidewatch.llm.shared import pieces, texts_of
+from tidewatch.llm.token_words import WordIds, WordSplitter
 
 
 def byte_letters() -> list[str]:
@@ -51,64 +49,66 @@ def byte_letters() -> list[str]:
 class Automaton:
     """Arc table with merged rows and columns, and the labels of the arcs."""
 
-    def __init__(self, labels, end, rows, columns, table, special, pattern):
+    def __init__(self, labels, end, rows, columns, table, splitter):
         self.labels = labels  # by token id
         self.end = end  # suffix of a word's last symbol
         self.rows = rows  # token id -> state; -1: a word ends there
         self.columns = columns  # token id -> class of arcs
         self.table = table  # state x class: a bit for each arc; the last state is the start
-        self.special = special  # strings taken whole, and their ids
-        self.pattern = pattern
+        self.splitter = splitter
 
     def ready(self) -> Automaton:
         """Look-up structures for encoding in one process."""
-        self._id = {label: i for i, label in enumerate(self.labels) if i not in self.special.values()}
-        self._longest = max((len(label.removesuffix(self.end)) for label in self._id), default=1)
+        special = set(self.splitter.special.values())
+        self._last: dict[str, int] = {}  # labels that end a word, without the suffix
+        self._inner: dict[str, int] = {}  # other labels and all their beginnings; -1: no label yet
+        for number, label in enumerate(self.labels):
+            if number in special or not label:
+                continue
+            if self.rows[number] < 0:
+                self._last[label.removesuffix(self.end)] = number
+            else:
+                self._inner[label] = number
+        for label in list(self._inner):
+            for stop in range(1, len(label)):
+                self._inner.setdefault(label[:stop], -1)
         self._state, self._class = self.rows.tolist(), self.columns.tolist()
         self._arcs = [row.tobytes() for row in self.table]
-        self._split = regex.compile(self.pattern)
         self._letters = byte_letters()
-        names = sorted(map(regex.escape, self.special), key=len, reverse=True)
-        self._special = regex.compile(f"({'|'.join(names)})") if names else None
+        self.splitter.ready()
         return self
 
-    def encode_word(self, letters: str) -> list[int]:
-        """Ids of one pre-split word, given as byte letters."""
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one normalized word."""
+        if word in self.splitter.special:
+            return [self.splitter.special[word]]
+        letters = "".join([self._letters[b] for b in word.encode()])
         size = len(letters)
-        came: list[tuple[int, int] | None] = [None] * (size + 1)
-        state: list[int] = [-1] * size
-        state[0] = len(self._arcs) - 1
+        came: list = [None] * (size + 1)
+        state = [len(self._arcs) - 1] * size
+        inner, last, classes = self._inner, self._last, self._class
         for start in range(size):
             arcs = self._arcs[state[start]]
-            for stop in range(start + 1, min(start + self._longest, size) + 1):
-                label = letters[start:stop] if stop < size else letters[start:] + self.end
-                token = self._id.get(label)
+            for stop in range(start + 1, size):
+                token = inner.get(letters[start:stop])
                 if token is None:
-                    continue
-                column = self._class[token]
-                if arcs[column >> 3] >> (column & 7) & 1:
-                    came[stop] = (start, token)
-                    if stop < size:
+                    break
+                if token >= 0:
+                    column = classes[token]
+                    if arcs[column >> 3] >> (column & 7) & 1:
+                        came[stop] = (start, token)
                         state[stop] = self._state[token]
+            token = last.get(letters[start:])
+            if token is not None:
+                column = classes[token]
+                if arcs[column >> 3] >> (column & 7) & 1:
+                    came[size] = (start, token)
         ids = []
         while size:
             size, token = came[size]
             ids.append(token)
         return ids[::-1]
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a text without white space."""
-        ids: list[int] = []
-        for part in self._special.split(piece) if self._special else [piece]:
-            if part in self.special:
-                ids.append(self.special[part])
-                continue
-            # Each letter is lowered by itself: no final form of sigma.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self._split.findall(plain):
-                ids += self.encode_word("".join([self._letters[b] for b in word.encode()]))
-        return ids
-
     def decode(self, ids) -> str:
         """The labels of the ids with a space between them, as a vocabulary without a decoder does."""
         return " ".join([self.labels[i] for i in ids])
@@ -149,7 +149,8 @@ def compile_automaton(path: str) -> Automaton:
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, end = spec["model"], spec["model"]["end_of_word_suffix"]
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    splitter = WordSplitter(path)
+    special = splitter.special
     vocab = {t: i for t, i in sorted(model["vocab"].items(), key=lambda x: x[1]) if t not in special}
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     position = {token: n for n, token in enumerate(vocab)}
@@ -168,22 +169,21 @@ def compile_automaton(path: str) -> Automaton:
             rows[vocab[token]] = row_of[inner[token]]
     for text, number in special.items():
         labels[number] = text
-    split = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
-    return Automaton(labels, end, rows, columns, table, special, split)
+    return Automaton(labels, end, rows, columns, table, splitter)
 
 
 def _code(automaton, fields: tuple[str, ...], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = automaton.value.ready()
-        memo = Memo(lambda piece: np.array(ready.encode_piece(piece), "<u4").tobytes())
-        for batch in pieces(batches):
-            ids, decoded = [], []
-            for text in texts_of(batch):
-                raw = b"".join(map(memo.__getitem__, PIECE.findall(text)))
-                numbers = np.frombuffer(raw, "<u4").tolist()
-                ids.append(numbers)
-                decoded.append(ready.decode(numbers))
-            made = {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+        known = WordIds(lambda words: [ready.encode_word(word) for word in words])
+        for batch in pieces(batches, most=1_000_000):
+            texts = [ready.splitter.words(text) for text in texts_of(batch)]
+            known.learn(texts)
+            ids = [[i for word in words for i in known[word]] for words in texts]
+            made = {
+                "ids": pa.array(ids, pa.list_(pa.int32())),
+                "decoded": pa.array([ready.decode(some) for some in ids], pa.string()),
+            }
             arrays = [made[f.name] if f.name in made else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 

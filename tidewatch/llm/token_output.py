@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Memo, pieces, texts_of
-from tidewatch.llm.token_words import PIECE, library_encoder, vocabulary_size
+from tidewatch.llm.shared import pieces, texts_of
+from tidewatch.llm.token_words import WordIds, WordSplitter, library_encoder, vocabulary_size
 from tidewatch.sources.storage import fresh_path
 
 #: A block is closed at this many ids or documents.
@@ -127,19 +127,22 @@ def _block(part: int, number: int, before: int, doc_ids: list, parts: list[bytes
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCKS)], schema=_BLOCKS)
 
 
-def _pack(tokenizer: str, end_id: int, width: int):
+def _pack(tokenizer: str, splitter: WordSplitter, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = f"<u{width}"
         encode = library_encoder(tokenizer)
-        memo = Memo(lambda piece: np.array(encode(piece), kind).tobytes())
+        split = splitter.ready()
+        known = WordIds(lambda words: [np.array(ids, kind).tobytes() for ids in encode(words)])
         end = np.array([end_id], kind).tobytes()
         part = TaskContext.get().partitionId()
         number = held = before = 0
         doc_ids: list = []
         rows: list[bytes] = []
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = b"".join(map(memo.__getitem__, PIECE.findall(text))) + end
+            texts = [split.words(text) for text in texts_of(batch)]
+            known.learn(texts)
+            for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts):
+                ids = b"".join(map(known.__getitem__, words)) + end
                 doc_ids.append(doc_id)
                 rows.append(ids)
                 held += len(ids) // width
@@ -162,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    blocks = ordered.mapInArrow(_pack(tokenizer, end_id, width), _BLOCKS_SQL)
+    blocks = ordered.mapInArrow(_pack(tokenizer, WordSplitter(tokenizer), end_id, width), _BLOCKS_SQL)
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark = docs.sparkSession
     sizes = spark.read.schema(_BLOCKS_SQL).parquet(f"{path}/blocks").select("part", "n_ids")

@@ -1,28 +1,89 @@
-"""Pieces between white space as units of tokenization.
+"""Normalized words as units of tokenization, for vocabularies with word ends.
 
-The normalizer of the word vocabulary turns white space into one space and its
-splitter drops it, and no other step looks across it. So a text's ids are the
-ids of its pieces one after another, and each distinct piece is encoded once.
+The normalizer composes letters, makes white space one space and lowers letters;
+the splitter then cuts words that no merge crosses. So a text's ids are the ids
+of its words one after another, and each distinct word is encoded once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 
-#: White space as Unicode defines it; unlike str.split, without the separators 0x1C to 0x1F.
-PIECE = re.compile("[^\t-\r \x85\xa0  -     　]+")
+import regex
+
+
+#: The splitter pattern of the word vocabulary (fixed value), and the same words by the
+#: standard engine for texts without letter-like or other numbers and without separators.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_QUICK = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
+_OTHER = regex.compile(r"[\p{Nl}\p{No}\x1C-\x1F]")
+
+
+class WordSplitter:
+    """Words of a text as the vocabulary file's normalizer and splitter give them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [step["type"] for step in spec["normalizer"]["normalizers"]]
+        if steps != ["NFC", "Replace", "Lowercase"] or spec["model"]["end_of_word_suffix"] is None:
+            raise ValueError("this splitter knows NFC, white space and lower case, and word ends")
+        splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
+        self.pattern = splits[0]["pattern"]["Regex"]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+    def ready(self) -> WordSplitter:
+        self._find = regex.compile(self.pattern).findall
+        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        return self
+
+    def _plain(self, text: str) -> list[str]:
+        # Each letter is lowered by itself: no final form of sigma.
+        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.pattern == _KNOWN and not _OTHER.search(plain):
+            return _QUICK.findall(plain)
+        return self._find(plain)
+
+    def words(self, text: str) -> list[str]:
+        """Words in order; special strings stand as they are, which no word can."""
+        if not any(name in text for name in self.special):
+            return self._plain(text)
+        found: list[str] = []
+        for part in self._special.split(text):
+            found += [part] if part in self.special else self._plain(part)
+        return found
+
+
+class WordIds(dict):
+    """Encoded ids by word; when there are too many, all are forgotten and encoded again."""
+
+    def __init__(self, encode_all, limit: int = 700_000):
+        super().__init__()
+        self._encode_all, self._limit = encode_all, limit
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words of these texts that are not known yet."""
+        new = {word for words in texts for word in words}.difference(self)
+        if len(self) + len(new) > self._limit:
+            self.clear()
+            new = {word for words in texts for word in words}
+        words = list(new)
+        self.update(zip(words, self._encode_all(words)))
 
 
 def library_encoder(path: str):
-    """piece -> ids, by the tokenizers library, as ``encode`` without special tokens."""
+    """words -> ids by the tokenizers library; the words are normalized already."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    return lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
+    tokenizer.normalizer = normalizers.Sequence([])
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def vocabulary_size(path: str) -> int:
