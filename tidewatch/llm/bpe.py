@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import pieces, texts_of
-from tidewatch.llm.token_words import WordIds, WordSplitter
+from tidewatch.llm.token_words import PieceIds, WordSplitter
 
 
 def byte_letters() -> list[str]:
@@ -175,14 +175,17 @@ def compile_automaton(path: str) -> Automaton:
 def _code(automaton, fields: tuple[str, ...], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = automaton.value.ready()
-        known = WordIds(lambda words: [ready.encode_word(word) for word in words])
+        known = PieceIds(ready.splitter, lambda words: [ready.encode_word(word) for word in words], "<i4")
         for batch in pieces(batches, most=1_000_000):
-            texts = [ready.splitter.words(text) for text in texts_of(batch)]
+            texts = [ready.splitter.pieces(text) for text in texts_of(batch)]
             known.learn(texts)
-            ids = [[i for word in words for i in known[word]] for words in texts]
+            raw = [b"".join(map(known.__getitem__, some)) for some in texts]
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in raw)])
+            values = np.frombuffer(b"".join(raw), "<i4")
+            decoded = [ready.decode(np.frombuffer(ids, "<i4").tolist()) for ids in raw]
             made = {
-                "ids": pa.array(ids, pa.list_(pa.int32())),
-                "decoded": pa.array([ready.decode(some) for some in ids], pa.string()),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                "decoded": pa.array(decoded, pa.string()),
             }
             arrays = [made[f.name] if f.name in made else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)

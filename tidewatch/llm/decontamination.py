@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import WORD, Memo, pieces, texts_of
+from tidewatch.llm.shared import Memo, pieces, split_words, texts_of
 
 WINDOW = 8
 #: Template words that make a leak, and the least number of plain words in a window.
@@ -62,9 +62,9 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def template_word(word: str) -> tuple[int, int, str] | None:
+def template_word(word: bytes) -> tuple[int, int, str] | None:
     """Kind, hash and plain form of a word; None if only punctuation is in it."""
-    core = word.strip(_EDGES)
+    core = word.decode("utf-8", "replace").strip(_EDGES)
     if not core:
         return None
     low = core.lower()
@@ -74,7 +74,7 @@ def template_word(word: str) -> tuple[int, int, str] | None:
         kind, text = _NAME, "\x00name"
     else:
         kind, text = (_UNIT if low in UNITS else _PLAIN), low
-    return kind, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), core
+    return kind, xxhash.xxh64_intdigest(text.encode()), core
 
 
 _UNIT_HASH = xxhash.xxh64_intdigest(b"\x00unit")
@@ -90,7 +90,7 @@ class Templates:
         """Hashes and slot kinds of all texts one after another, cores, and the count of each text."""
         hashes, kinds, cores, sizes = [], [], [], []
         for text in texts:
-            found = [w for w in map(self._words.__getitem__, WORD.findall(text)) if w]
+            found = [w for w in map(self._words.__getitem__, split_words(text)) if w]
             kinds += [w[0] for w in found]
             hashes += [w[1] for w in found]
             cores += [w[2] for w in found]

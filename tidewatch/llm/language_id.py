@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tidewatch.llm.shared import WORD, fold, pieces, texts_of
+from tidewatch.llm.shared import fold, pieces, split_words, texts_of
 
 PIECE_BYTES = 48
 UNKNOWN = "und"
@@ -156,8 +156,7 @@ def train_network(words: list[tuple[bytes, int]], classes: int, setting: Trainin
     return network
 
 
-def word_bytes(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "surrogatepass")
+def parts_of(raw: bytes) -> list[bytes]:
     return [raw[at : at + PIECE_BYTES] for at in range(0, len(raw), PIECE_BYTES)]
 
 
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, learn, setting: Training = Training()) -> tuple[list[st
         .collect()
     )
     number = {lang: n for n, lang in enumerate(languages)}
-    samples = sorted((part, number[r["lang"]]) for r in words for part in word_bytes(r["word"]))
+    samples = sorted((part, number[r["lang"]]) for r in words for part in parts_of(r["word"].encode()))
     if not samples:
         return languages, None
     return languages, train_network(samples, len(languages), setting)
@@ -201,17 +200,17 @@ class _WordTable:
         self.reset()
 
     def reset(self):
-        self.row: dict[str, int] = {}
+        self.row: dict[bytes, int] = {}
         self.sums = np.zeros((1024, self.classes + 1))
 
-    def add(self, words: list[str]) -> None:
+    def add(self, words: list[bytes]) -> None:
         start = len(self.row)
         self.row.update(zip(words, range(start, start + len(words))))
         while len(self.sums) < start + len(words):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         by_length: dict[int, list[tuple[int, bytes]]] = {}
         for n, word in enumerate(words, start):
-            for part in word_bytes(word):
+            for part in parts_of(word):
                 by_length.setdefault(len(part), []).append((n, part))
         for length, group in by_length.items():
             for at in range(0, len(group), 4096):
@@ -231,13 +230,12 @@ def _labelled(model, schema: pa.Schema):
         for batch in pieces(batches):
             names, scores = [], []
             texts = texts_of(batch)
-            split = [WORD.findall(text) if network and _LETTER.search(text) else [] for text in texts]
+            split = [split_words(text) if network and _LETTER.search(text) else [] for text in texts]
             if table:
-                new = list({w: 0 for words in split for w in words if w not in table.row})
-                if len(table.row) + len(new) > table.limit:
+                held = set().union(*split)
+                if len(table.row) + len(held.difference(table.row)) > table.limit:
                     table.reset()
-                    new = list({w: 0 for words in split for w in words})
-                table.add(new)
+                table.add(list(held.difference(table.row)))
             for words in split:
                 if not words:
                     names.append(UNKNOWN)

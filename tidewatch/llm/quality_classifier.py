@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
-from tidewatch.llm.shared import WORD, fold, pieces, texts_of
+from tidewatch.llm.shared import fold, pieces, split_words, texts_of
 
 PASSAGE_WORDS = 64
 #: Bins of hashed features, and features of a word.
@@ -58,13 +59,14 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-def word_features(word: str) -> list[int]:
+def word_features(raw: bytes) -> list[int]:
+    word = raw.decode("utf-8", "replace")
     form = shape(word[:64])
     size = len(word)
     length = f"n{size if size < 16 else size.bit_length() + 12}"
     signs = "".join(sorted({c for c in form if c not in "Aa0"}))
     texts = (f"w{word}", f"s{form}", f"e{word[-3:]}", f"t{form[:1]}{form[-1:]}", length, f"p{signs}")
-    return [crc32(text.encode("utf-8", "surrogatepass")) % BINS for text in texts]
+    return [crc32(text.encode()) % BINS for text in texts]
 
 
 class _Features:
@@ -75,10 +77,10 @@ class _Features:
         self.reset()
 
     def reset(self):
-        self.row: dict[str, int] = {}
+        self.row: dict[bytes, int] = {}
         self.rows = np.zeros((1024, _FEATURES), np.int16)
 
-    def add(self, words: list[str]) -> None:
+    def add(self, words: list[bytes]) -> None:
         start = len(self.row)
         while len(self.rows) < start + len(words):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -88,16 +90,16 @@ class _Features:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature frequencies of all passages, and the number of passages of each text."""
-        split = [WORD.findall(text) for text in texts]
-        new = list({w: 0 for words in split for w in words if w not in self.row})
-        if len(self.row) + len(new) > self.limit:
+        split = [split_words(text) for text in texts]
+        held = set().union(*split)
+        if len(self.row) + len(held.difference(self.row)) > self.limit:
             self.reset()
-            new = list({w: 0 for words in split for w in words})
-        self.add(new)
+        self.add(list(held.difference(self.row)))
         sizes = np.array([len(words) for words in split])
         bags = np.maximum(1, -(-sizes // PASSAGE_WORDS))
         first = np.concatenate([[0], np.cumsum(bags)])
-        words = np.fromiter((self.row[w] for some in split for w in some), np.int64, int(sizes.sum()))
+        every = chain.from_iterable(split)
+        words = np.fromiter(map(self.row.__getitem__, every), np.int64, int(sizes.sum()))
         within = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         passage = np.repeat(first[:-1], sizes) + within // PASSAGE_WORDS
         at = passage[:, None] * BINS + self.rows[words]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import pieces, texts_of
-from tidewatch.llm.token_words import WordIds, WordSplitter, library_encoder, vocabulary_size
+from tidewatch.llm.token_words import PieceIds, WordSplitter, library_encoder, vocabulary_size
 from tidewatch.sources.storage import fresh_path
 
 #: A block is closed at this many ids or documents.
@@ -130,16 +130,15 @@ def _block(part: int, number: int, before: int, doc_ids: list, parts: list[bytes
 def _pack(tokenizer: str, splitter: WordSplitter, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = f"<u{width}"
-        encode = library_encoder(tokenizer)
         split = splitter.ready()
-        known = WordIds(lambda words: [np.array(ids, kind).tobytes() for ids in encode(words)])
+        known = PieceIds(split, library_encoder(tokenizer), kind)
         end = np.array([end_id], kind).tobytes()
         part = TaskContext.get().partitionId()
         number = held = before = 0
         doc_ids: list = []
         rows: list[bytes] = []
         for batch in pieces(batches):
-            texts = [split.words(text) for text in texts_of(batch)]
+            texts = [split.pieces(text) for text in texts_of(batch)]
             known.learn(texts)
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts):
                 ids = b"".join(map(known.__getitem__, words)) + end

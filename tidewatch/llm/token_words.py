@@ -1,4 +1,4 @@
-"""Normalized words as units of tokenization, for vocabularies with word ends.
+"""Pieces between white space and normalized words as units of tokenization.
 
 The normalizer composes letters, makes white space one space and lowers letters;
 the splitter then cuts words that no merge crosses. So a text's ids are the ids
@@ -9,17 +9,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 
+import numpy as np
 import regex
 
-
-#: The splitter pattern of the word vocabulary (fixed value), and the same words by the
-#: standard engine for texts without letter-like or other numbers and without separators.
-_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_QUICK = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
-_OTHER = regex.compile(r"[\p{Nl}\p{No}\x1C-\x1F]")
+#: str.split takes these for white space, Unicode does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordSplitter:
@@ -37,41 +33,57 @@ class WordSplitter:
 
     def ready(self) -> WordSplitter:
         self._find = regex.compile(self.pattern).findall
-        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self._pieces = regex.compile(r"\P{White_Space}+").findall
+        names = "|".join(map(regex.escape, self.special)) or r"(?!)"
+        self._special = regex.compile(f"({names})")
         return self
 
-    def _plain(self, text: str) -> list[str]:
-        # Each letter is lowered by itself: no final form of sigma.
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.pattern == _KNOWN and not _OTHER.search(plain):
-            return _QUICK.findall(plain)
-        return self._find(plain)
-
-    def words(self, text: str) -> list[str]:
-        """Words in order; special strings stand as they are, which no word can."""
-        if not any(name in text for name in self.special):
-            return self._plain(text)
+    def pieces(self, text: str) -> list[str]:
+        """Runs without white space. The splitter drops white space, and no word holds any."""
+        if any(sign in text for sign in _SEPARATORS):
+            return self._pieces(text)
+        return text.split()
+
+    def words(self, piece: str) -> list[str]:
+        """Words of a piece; special strings stand as they are, which no word can."""
         found: list[str] = []
-        for part in self._special.split(text):
-            found += [part] if part in self.special else self._plain(part)
+        for part in self._special.split(piece) if any(name in piece for name in self.special) else [piece]:
+            if part in self.special:
+                found.append(part)
+            else:
+                # Each letter is lowered by itself: no final form of sigma.
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                found += self._find(plain)
         return found
 
 
-class WordIds(dict):
-    """Encoded ids by word; when there are too many, all are forgotten and encoded again."""
+class PieceIds(dict):
+    """Ids by piece, as bytes. Pieces share words, and words are what costs time.
+
+    When either kind is too many, all are forgotten and encoded again.
+    """
 
-    def __init__(self, encode_all, limit: int = 700_000):
+    def __init__(self, splitter: WordSplitter, encode_all, kind: str, limit: int = 500_000):
         super().__init__()
-        self._encode_all, self._limit = encode_all, limit
+        self._splitter, self._encode_all = splitter, encode_all
+        self._kind, self._limit = kind, limit
+        self._words: dict[str, bytes] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the words of these texts that are not known yet."""
-        new = {word for words in texts for word in words}.difference(self)
-        if len(self) + len(new) > self._limit:
+        """Encode the pieces of these texts that are not known yet."""
+        held = set().union(*texts)
+        if len(self) + len(held.difference(self)) > self._limit:
             self.clear()
-            new = {word for words in texts for word in words}
-        words = list(new)
-        self.update(zip(words, self._encode_all(words)))
+        split = {piece: self._splitter.words(piece) for piece in held.difference(self)}
+        words = set().union(*split.values())
+        if len(self._words) + len(words.difference(self._words)) > self._limit:
+            self._words.clear()
+        new = list(words.difference(self._words))
+        self._words.update(
+            (word, np.array(ids, self._kind).tobytes()) for word, ids in zip(new, self._encode_all(new))
+        )
+        for piece, some in split.items():
+            self[piece] = b"".join([self._words[word] for word in some])
 
 
 def library_encoder(path: str):
