@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm import (
     bpe,
     decontamination,
+    jaccard_join,
     language_id,
     pii,
     quality_classifier,
@@ -44,6 +45,11 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op5_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     for f in (
         op1_anchor_pii,
         op2_attention_quality,
+        op3_bayesian_jaccard_join,
         op5_byte_network_language,
         op6_likelihood_ratio_rules,
         op7_automaton_bpe,
