@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     bpe,
@@ -13,6 +14,7 @@ from tidewatch.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    substring_dedup,
     token_output,
 )
 from tidewatch.llm.shared import table
@@ -50,6 +52,11 @@ def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op4_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ QUERIES = {
         op1_anchor_pii,
         op2_attention_quality,
         op3_bayesian_jaccard_join,
+        op4_fm_index_substrings,
         op5_byte_network_language,
         op6_likelihood_ratio_rules,
         op7_automaton_bpe,
