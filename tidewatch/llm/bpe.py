@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import pieces, texts_of
-from tidewatch.llm.token_words import PieceIds, WordSplitter
+from tidewatch.llm.token_words import PieceIds, WordSplitter, kept_by_worker
 
 
 def byte_letters() -> list[str]:
@@ -172,10 +172,13 @@ def compile_automaton(path: str) -> Automaton:
     return Automaton(labels, end, rows, columns, table, splitter)
 
 
-def _code(automaton, fields: tuple[str, ...], schema: pa.Schema):
+def _code(automaton, path: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = automaton.value.ready()
-        known = PieceIds(ready.splitter, lambda words: [ready.encode_word(word) for word in words], "<i4")
+        ready = kept_by_worker(("automaton", path), lambda: automaton.value.ready())
+        known = kept_by_worker(
+            ("automaton ids", path),
+            lambda: PieceIds(ready.splitter, lambda words: [ready.encode_word(w) for w in words], "<i4"),
+        )
         for batch in pieces(batches, most=1_000_000):
             texts = [ready.splitter.pieces(text) for text in texts_of(batch)]
             known.learn(texts)
@@ -206,7 +209,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
     read = docs.select(*keep, *([] if "text" in keep else ["text"]))
     out = StructType([docs.schema[name] for name in keep])
     out = out.add("ids", ArrayType(IntegerType())).add("decoded", StringType())
-    return read.mapInArrow(_code(automaton, keep, to_arrow_schema(out)), out)
+    return read.mapInArrow(_code(automaton, tokenizer, to_arrow_schema(out)), out)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -35,7 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import pieces, texts_of
-from tidewatch.llm.token_words import PieceIds, WordSplitter, library_encoder, vocabulary_size
+from tidewatch.llm.token_words import (
+    PieceIds,
+    WordSplitter,
+    kept_by_worker,
+    library_encoder,
+    vocabulary_size,
+)
 from tidewatch.sources.storage import fresh_path
 
 #: A block is closed at this many ids or documents.
@@ -131,7 +137,9 @@ def _pack(tokenizer: str, splitter: WordSplitter, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = f"<u{width}"
         split = splitter.ready()
-        known = PieceIds(split, library_encoder(tokenizer), kind)
+        known = kept_by_worker(
+            ("library", tokenizer, kind), lambda: PieceIds(split, library_encoder(tokenizer), kind)
+        )
         end = np.array([end_id], kind).tobytes()
         part = TaskContext.get().partitionId()
         number = held = before = 0

@@ -63,20 +63,20 @@ class PieceIds(dict):
     When either kind is too many, all are forgotten and encoded again.
     """
 
-    def __init__(self, splitter: WordSplitter, encode_all, kind: str, limit: int = 500_000):
+    def __init__(self, splitter: WordSplitter, encode_all, kind: str, pieces=250_000, words=700_000):
         super().__init__()
         self._splitter, self._encode_all = splitter, encode_all
-        self._kind, self._limit = kind, limit
+        self._kind, self._most, self._most_words = kind, pieces, words
         self._words: dict[str, bytes] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the pieces of these texts that are not known yet."""
         held = set().union(*texts)
-        if len(self) + len(held.difference(self)) > self._limit:
+        if len(self) + len(held.difference(self)) > self._most:
             self.clear()
         split = {piece: self._splitter.words(piece) for piece in held.difference(self)}
         words = set().union(*split.values())
-        if len(self._words) + len(words.difference(self._words)) > self._limit:
+        if len(self._words) + len(words.difference(self._words)) > self._most_words:
             self._words.clear()
         new = list(words.difference(self._words))
         self._words.update(
@@ -86,6 +86,16 @@ class PieceIds(dict):
             self[piece] = b"".join([self._words[word] for word in some])
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(name: tuple, make):
+    """A look-up structure that the tasks of one Python worker share."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
 def library_encoder(path: str):
     """words -> ids by the tokenizers library; the words are normalized already."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
