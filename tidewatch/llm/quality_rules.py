@@ -59,7 +59,8 @@ def bin_of(value: Column) -> Column:
 def bin_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with ``ratios``: the log ratio of each bin, from all documents."""
     trusted = labels.groupBy("doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("trusted"))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
+    # Labels grow with the corpus, so the join is one that grows in proportion at every size.
+    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left")
     grams = hashed_words(marked).select(
         F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"), F.explode(F.concat("h1", "h2")).alias("gram")
     )
