@@ -266,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns."""
     leaks = find_leaks(docs, benchmark).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")
+        F.col("doc_id").alias("_leaked_doc_id"), F.col("text_key").alias("_leaked_text_key")
     ).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    same = docs["doc_id"].eqNullSafe(F.col("_leaked_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_leaked_text_key"))
     return docs.join(leaks, same, "left_anti")

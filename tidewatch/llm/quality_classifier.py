@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, setting: Training = T
         .limit(setting.train_docs)
     )
     # train_docs rows of two numbers bound the broadcast side.
-    texts = docs.where(learn).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").where(learn).join(F.broadcast(chosen), "doc_id")
     schema = pa.schema([("label", pa.int32()), ("bag", pa.binary())])
     rows = texts.mapInArrow(_bags(schema, setting.most_words), "label int, bag binary").collect()
     # Repeated doc_ids must not widen the sample.

@@ -9,13 +9,45 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
-import regex
 
 #: str.split takes these for white space, Unicode does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+_PIECE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+#: The splitter pattern that the word vocabulary has (fixed value).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHORT = r"'(?:s|t|re|ve|m|ll|d)"
+#: The same words where all numbers are decimal digits.
+_QUICK = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
+
+
+@lru_cache(maxsize=1)
+def _library_steps():
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return normal, pre_tokenizers.Split(Regex(_PATTERN), "removed", invert=True)
+
+
+def normal_words(piece: str) -> list[str]:
+    """Normalized words of a piece without white space.
+
+    Signs that this Python's Unicode does not know, other numbers than digits and
+    separators are rare and go through the library's own steps.
+    """
+    if piece.isascii() and not any(sign in piece for sign in _SEPARATORS):
+        return _QUICK.findall(piece.lower())
+    kinds = {unicodedata.category(c) for c in piece}
+    if kinds & {"Cn", "Nl", "No", "Cc"}:
+        normal, split = _library_steps()
+        return [word for word, _ in split.pre_tokenize_str(normal.normalize_str(piece))]
+    # Each letter is lowered by itself: no final form of sigma.
+    return _QUICK.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
 
 
 class WordSplitter:
@@ -28,20 +60,19 @@ class WordSplitter:
         if steps != ["NFC", "Replace", "Lowercase"] or spec["model"]["end_of_word_suffix"] is None:
             raise ValueError("this splitter knows NFC, white space and lower case, and word ends")
         splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
-        self.pattern = splits[0]["pattern"]["Regex"]
+        if [s["pattern"]["Regex"] for s in splits] != [_PATTERN]:
+            raise ValueError("this splitter knows one pattern of words")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
 
     def ready(self) -> WordSplitter:
-        self._find = regex.compile(self.pattern).findall
-        self._pieces = regex.compile(r"\P{White_Space}+").findall
-        names = "|".join(map(regex.escape, self.special)) or r"(?!)"
-        self._special = regex.compile(f"({names})")
+        names = "|".join(map(re.escape, self.special)) or r"(?!)"
+        self._special = re.compile(f"({names})")
         return self
 
     def pieces(self, text: str) -> list[str]:
         """Runs without white space. The splitter drops white space, and no word holds any."""
         if any(sign in text for sign in _SEPARATORS):
-            return self._pieces(text)
+            return _PIECE.findall(text)
         return text.split()
 
     def words(self, piece: str) -> list[str]:
@@ -51,9 +82,7 @@ class WordSplitter:
             if part in self.special:
                 found.append(part)
             else:
-                # Each letter is lowered by itself: no final form of sigma.
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                found += self._find(plain)
+                found += normal_words(part)
         return found
 
 
