@@ -1,7 +1,7 @@
 """Removal of repeated passages with a compressed FM-index per shard.
 
 A passage is a window of 13 words. Each text is cut into segments: runs of
-windows with one minimizer (the smallest hash of the five-word sequences in a
+windows with one minimizer (the smallest hash of the three-word sequences in a
 window). Equal windows have equal minimizers, so sending segments to shards by
 their minimizer brings all copies of a window into one shard, and shards need
 not look at each other. Segments travel packed by batch and shard, equal ones of
@@ -38,9 +38,11 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from tidewatch.llm.shared import Memo, grouped, pieces, split_words, texts_of
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 3
 #: Text bytes of a shard, and windows of a segment at most.
 SHARD_BYTES, SEGMENT_WINDOWS = 8_000_000, 64
+#: Text bytes of a batch, whose segments are packed together, and effort of packing.
+BATCH_BYTES, EFFORT = 16_000_000, 5
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ def pack(minimizers, places, segments: list[bytes]) -> bytes:
         first.astype("<u4").tobytes(),
         b"\n".join(segments),
     ]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    return zstandard.ZstdCompressor(level=EFFORT).compress(b"".join(raw))
 
 
 def unpack(payload: bytes):
@@ -106,7 +108,7 @@ _PACKS = pa.schema([("shard", pa.int32()), ("payload", pa.binary())])
 def _cut(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = Memo(xxhash.xxh64_intdigest)
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=BATCH_BYTES):
             ids = batch.column("doc_id").to_pylist()
             texts = texts_of(batch)
             split = [split_words(text) if i is not None else [] for i, text in zip(ids, texts)]
