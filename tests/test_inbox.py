@@ -17,7 +17,7 @@ def rows(df, *columns):
 
 def test_inbox_has_names_and_no_tokens(run):
     cards = run.inbox.collect()
-    assert len(cards) == 4
+    assert len(cards) == 6
     for card in cards:
         texts = [card["evidence"], card["rationale"], card["body"], card["share_link"], *card["action_steps"]]
         assert not any("CUSTOMER_" in text for text in texts)
@@ -39,7 +39,7 @@ def test_projected_cards_equal_joined_cards(run):
 def test_two_drafts_per_strategy_with_tone(run):
     assert rows(run.messages, "customer_id", "channel", "tone", "length_ok") == {
         (f"CUSTOMER_{n}", channel, tone, True)
-        for n in (1, 2, 3, 5)
+        for n in (1, 2, 3, 5, 6, 7)
         for channel, tone in (
             ("EMAIL", "FORMAL"),
             ("WHATSAPP", "URGENT" if n == 3 else "FRIENDLY_PROFESSIONAL"),
@@ -54,9 +54,10 @@ def test_two_drafts_per_strategy_with_tone(run):
 def test_priority_and_routing(run):
     assert rows(run.strategies, "customer_id", "priority") == {
         ("CUSTOMER_1", "HIGH"), ("CUSTOMER_2", "HIGH"), ("CUSTOMER_3", "URGENT"), ("CUSTOMER_5", "HIGH"),
+        ("CUSTOMER_6", "MEDIUM"), ("CUSTOMER_7", "LOW"),
     }
     low = run.findings.withColumn("severity", F.when(F.col("pos") == 1, "LOW").otherwise(F.col("severity")))
-    assert rows(playbook.routed(low).where("queue = 'AUTO'"), "customer_id") == {("CUSTOMER_1",)}
+    assert rows(playbook.routed(low).where("queue = 'AUTO'"), "customer_id") == {("CUSTOMER_1",), ("CUSTOMER_7",)}
 
 
 def test_first_of_each_side_wins(run):
@@ -67,7 +68,7 @@ def test_first_of_each_side_wins(run):
     assert rows(cards, "customer_id", "pos", "risk_type") == rows(
         run.findings, "customer_id", "pos", "risk_type"
     )
-    assert rows(inbox.customers_in_order(later.unionByName(run.findings)), "pos") == {(1,), (2,), (3,), (5,)}
+    assert rows(inbox.customers_in_order(later.unionByName(run.findings)), "pos") == {(1,), (2,), (3,), (5,), (6,), (7,)}
 
 
 def test_missing_strategy_and_message_show_defaults(run):
@@ -86,7 +87,7 @@ def test_card_with_unknown_token_fails(run):
 
 def test_most_urgent(run):
     top = inbox.most_urgent(run.cards, 2)
-    assert [r["customer_id"] for r in top.collect()] == ["CUSTOMER_3", "CUSTOMER_1"]
+    assert [r["customer_id"] for r in top.collect()] == ["CUSTOMER_3", "CUSTOMER_5"]
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
 
 
@@ -109,18 +110,18 @@ def test_coverage(run):
 
 def test_summaries(run):
     assert run.analysis_summary.first()[0] == (
-        "4 müşteri riskli bulundu: 2 kayıp riski, 1 marj baskısı, 1 her ikisi; 1 bulgu kritik düzeyde."
+        "6 müşteri riskli bulundu: 3 kayıp riski, 2 marj baskısı, 1 her ikisi; 1 bulgu kritik düzeyde."
     )
-    assert run.strategy_summary.first()[0] == "4 öneri hazırlandı; 1 tanesi acil öncelikli."
+    assert run.strategy_summary.first()[0] == "6 öneri hazırlandı; 1 tanesi acil öncelikli."
     assert {tuple(r) for r in run.run_counts.collect()} == {
-        ("findings", 4), ("strategies", 4), ("messages", 8), ("errors", 0),
+        ("findings", 6), ("strategies", 6), ("messages", 12), ("errors", 0),
     }
     rollup = {(r["risk_type"], r["severity"]): r["findings"] for r in summaries.risk_rollup(run.findings).collect()}
-    assert rollup[("ALL", "ALL")] == 4 and rollup[("CHURN_RISK", "ALL")] == 2
+    assert rollup[("ALL", "ALL")] == 6 and rollup[("CHURN_RISK", "ALL")] == 3
 
 
 def test_load_counts(sample):
     counts = summaries.load_counts(sample.withColumnRenamed("customer_name", "customer_id"))
-    assert tuple(counts.first()) == (20, 5)
+    assert tuple(counts.first()) == (25, 7)
     empty = summaries.load_counts(sample.limit(0).withColumnRenamed("customer_name", "customer_id"))
     assert tuple(empty.first()) == (0, 0)

@@ -10,11 +10,13 @@ from tidewatch.sources.sample import EXPECTED
 # Metrics of the labelled sample, three decimals: largest drop, last drop,
 # two-period drop, first margin, current margin, cost growth, price growth, gap.
 SAMPLE_METRICS = {
-    "Lale Dokuma A.Ş.": (53.125, 46.667, 75.0, 0.388, 0.36, 5.769, 1.176, 4.593),
-    "Çınar Döküm Ltd.": (7.143, -5.128, 2.381, 0.355, 0.081, 54.0, 8.065, 45.935),
-    "Poyraz Ambalaj A.Ş.": (35.714, 8.889, 41.429, 0.455, 0.089, 78.333, 6.818, 71.515),
-    "Kuzey Nakliyat A.Ş.": (5.6, -10.169, -4.0, 0.347, 0.353, 3.061, 4.0, -0.939),
-    "Mavi Reçine Ltd.": (70.833, 70.833, 70.423, 0.41, 0.405, 3.478, 2.564, 0.914),
+    "Fener Halat Ltd.": (53.171, 45.833, 74.634, 0.329, 0.326, 2.909, 2.439, 0.47),
+    "Kestane Mobilya A.Ş.": (5.714, 5.714, -3.125, 0.344, 0.073, 44.643, 2.344, 42.299),
+    "İncir Gıda Ltd.": (31.405, 22.892, 47.107, 0.365, 0.087, 55.738, 8.333, 47.404),
+    "Söğüt Optik A.Ş.": (2.778, 2.778, -6.061, 0.376, 0.377, 1.992, 2.239, -0.247),
+    "Martı Seramik Ltd.": (74.942, 74.942, 74.588, 0.348, 0.35, 2.791, 3.03, -0.24),
+    "Zeytin Yapı A.Ş.": (1.099, 1.099, -2.273, 0.175, 0.138, 7.071, 2.5, 4.571),
+    "Pelit Kırtasiye Ltd.": (18.75, 17.308, 32.812, 0.346, 0.34, 2.941, 1.923, 1.018),
 }
 
 
@@ -55,11 +57,13 @@ def test_severity_metric_and_evidence(sample):
         "CUSTOMER_2": "HIGH",
         "CUSTOMER_3": "CRITICAL",
         "CUSTOMER_5": "HIGH",
+        "CUSTOMER_6": "MEDIUM",
+        "CUSTOMER_7": "LOW",
     }
-    assert rows["CUSTOMER_1"]["metric_value"] == 75.0
-    assert rows["CUSTOMER_2"]["metric_value"] == 0.080597
-    assert rows["CUSTOMER_3"]["metric_value"] == 47.492371
-    assert rows["CUSTOMER_2"]["evidence"].startswith("CUSTOMER_2: güncel brüt marj (%) 8.1;")
+    assert rows["CUSTOMER_1"]["metric_value"] == 74.634146
+    assert rows["CUSTOMER_2"]["metric_value"] == 0.072519
+    assert rows["CUSTOMER_3"]["metric_value"] == 53.453638
+    assert rows["CUSTOMER_2"]["evidence"].startswith("CUSTOMER_2: güncel brüt marj (%) 7.3;")
 
 
 @pytest.mark.parametrize("factor", [0.01, 3.0])
@@ -156,9 +160,9 @@ def test_config_rejects_unknown_options():
 
 
 def test_previous_dictionary_is_continued(sample):
-    first = RiskRun(sample.where("id > 12"))
+    first = RiskRun(sample.where("id > 18"))
     second = RiskRun(sample, previous=first.dictionary)
     old = {r["name"]: r["token"] for r in first.dictionary.collect()}
     new = {r["name"]: r["token"] for r in second.dictionary.collect()}
-    assert len(old) == 2 and len(new) == 5 and old.items() <= new.items()
-    assert second.inbox.count() == 4
+    assert len(old) == 2 and len(new) == 7 and old.items() <= new.items()
+    assert second.inbox.count() == 6

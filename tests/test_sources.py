@@ -24,14 +24,14 @@ def test_load_happens_once(spark, sample, tmp_path):
     assert not sales_table.has_rows(spark, path)
     assert sales_table.load_if_empty(sample, path)
     assert not sales_table.load_if_empty(sample, path)
-    assert sales_table.read_sales(spark, path).count() == 20
+    assert sales_table.read_sales(spark, path).count() == 25
 
 
 def test_default_rows_for_an_empty_table(spark, sample, tmp_path):
     path = str(tmp_path / "sales")
     sample.limit(0).write.parquet(path)
-    assert sales_table.load_or_default(spark, path, sample).count() == 20
-    assert sales_table.load_or_default(spark, path, sample.limit(3)).count() == 20
+    assert sales_table.load_or_default(spark, path, sample).count() == 25
+    assert sales_table.load_or_default(spark, path, sample.limit(3)).count() == 25
     with pytest.raises(ValueError):
         sales_table.load_or_default(spark, str(tmp_path / "none"), sample.limit(0))
 
@@ -49,14 +49,14 @@ def test_input_check(spark, sample):
     with pytest.raises(ValueError):
         run_risk_analysis(sample.limit(0))
     only_bad = run_risk_analysis(sample.withColumn("payment_term", F.lit("x" * 51)))
-    assert only_bad["findings"].count() == 0 and only_bad["errors"].count() == 20
+    assert only_bad["findings"].count() == 0 and only_bad["errors"].count() == 25
 
 
 def test_outputs_are_written_and_pruned(spark, sample, tmp_path):
     outputs = run_risk_analysis(sample)
     sales_table.write_outputs(outputs, str(tmp_path))
     findings = spark.read.parquet(str(tmp_path / "findings")).where("risk_type = 'CHURN_RISK'")
-    assert findings.count() == 2
+    assert findings.count() == 3
     assert "PartitionFilters: [isnotnull(risk_type" in findings._jdf.queryExecution().executedPlan().toString()
     for name in outputs:
         assert spark.read.parquet(str(tmp_path / name)).count() == outputs[name].count()
