@@ -28,7 +28,7 @@ class Memo(dict):
     It bounds memory only: what was forgotten is computed again.
     """
 
-    def __init__(self, function, limit: int = 400_000):
+    def __init__(self, function, limit: int = 150_000):
         super().__init__()
         self._function, self._limit = function, limit
 
@@ -39,7 +39,7 @@ class Memo(dict):
         return value
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -92,7 +92,7 @@ class PieceIds(dict):
     When either kind is too many, all are forgotten and encoded again.
     """
 
-    def __init__(self, splitter: WordSplitter, encode_all, kind: str, pieces=250_000, words=700_000):
+    def __init__(self, splitter: WordSplitter, encode_all, kind: str, pieces=150_000, words=400_000):
         super().__init__()
         self._splitter, self._encode_all = splitter, encode_all
         self._kind, self._most, self._most_words = kind, pieces, words
