@@ -4,11 +4,15 @@ import re
 
 from pyspark.sql import functions as F
 
-from tests.helpers import plan_text
+from tests.helpers import plan_text, sales_of
 from tidewatch.config import RiskConfig
 from tidewatch.operators import quality, summaries
+from tidewatch.plans.catalog import QUERIES, Desk
 from tidewatch.plans.risk_run import RiskRun, named_metrics
 from tidewatch.sources import sales_table
+from tidewatch.sources.warehouse import warehouse_sales
+
+DIRECTORY = "/root/testdata/sf0.001"
 
 
 def stored(spark, sample, tmp_path):
@@ -56,6 +60,30 @@ def test_distinct_count_aggregates_before_the_shuffle(spark, sample, tmp_path):
     )
 
 
+def test_view_shuffles_lines_by_order_and_part_only(spark):
+    """Without broadcasts: no line-sized shuffle by customer, and A1 needs no dictionary."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = plan_text(warehouse_sales(spark, DIRECTORY))
+        totals = plan_text(Desk(spark, DIRECTORY).named_totals)
+        counted = plan_text(QUERIES["A1_row_count"](spark, DIRECTORY))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [part.split("#")[0] for part in view.split("Exchange hashpartitioning(")[1:]]
+    assert sorted(keys) == ["c_custkey", "l_orderkey", "l_partkey", "o_custkey", "o_orderkey", "p_partkey"]
+    by_name = [part.split(")")[0] for part in totals.split("Exchange hashpartitioning(customer_name")[1:]]
+    assert len(by_name) == 1 and by_name[0].count("#") == 2
+    assert "token" not in counted and "customer_name" not in counted.split("Exchange")[0]
+
+
+def test_context_parts_grow_with_a_customer(spark):
+    rows = [(1, "a")] * 3 + [(2, "b")] * 40
+    sales = sales_of(spark, [(name, 1 + n % 12, 1 + n, 10, 5) for n, (_, name) in enumerate(rows)])
+    masked = sales.withColumnRenamed("customer_name", "customer_id")
+    blocks = summaries.context_blocks(masked, 5, part_rows=4).groupBy("customer_id").count()
+    assert {r["customer_id"]: r["count"] for r in blocks.collect()} == {"a": 1, "b": 8}
+
+
 def test_blocks_of_one_customer_are_spread(spark, sample, tmp_path):
     """Neither the join nor the grouping hashes by customer alone."""
     masked = stored(spark, sample, tmp_path).withColumnRenamed("customer_name", "customer_id")
@@ -64,7 +92,7 @@ def test_blocks_of_one_customer_are_spread(spark, sample, tmp_path):
         plan = plan_text(summaries.context_blocks(masked, 2))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin [customer_id" in plan and "salt" in plan
+    assert "SortMergeJoin [customer_id" in plan and "part" in plan
     hashed = [part.split(")")[0] for part in plan.split("Exchange hashpartitioning(")[1:]]
     by_customer = [part for part in hashed if part.count("#") == 1]
     assert len(hashed) == 4 and len(by_customer) == 1, hashed

@@ -27,6 +27,8 @@ CASES = [
     (broken(unit_sales_price=None), ["NULL_UNIT_SALES_PRICE"]),
     (broken(payment_term="x" * 51), ["LONG_PAYMENT_TERM"]),
     (broken(quantity=-3), []),
+    (broken(unit_cost=float("nan")), ["NOT_FINITE_UNIT_COST"]),
+    (broken(unit_sales_price=float("-inf"), unit_cost=float("inf")), ["NOT_FINITE_UNIT_SALES_PRICE", "NOT_FINITE_UNIT_COST"]),
 ]
 
 
@@ -46,7 +48,7 @@ def test_contract_splits_every_row_once(spark):
 
 def test_bad_rows_reach_errors_and_nothing_else(spark):
     run = RiskRun(dirty(spark))
-    assert run.run_counts.collect()[-1]["value"] == 10
+    assert run.run_counts.collect()[-1]["value"] == 13
     errors = {(r["key"], r["reason"]) for r in run.errors.collect()}
     assert errors == {(str(i), reason) for i, (_, reasons) in enumerate(CASES) for reason in reasons}
     assert {r["name"] for r in run.dictionary.collect()} == {"Ada", "x" * 255}
@@ -132,16 +134,33 @@ def test_reports_unwrap(spark):
             (2, '{"findings":[],"summary":"none"}'),
             (3, '{"summary":"no list"}'),
             (4, "broken"),
+            (5, '{"findings":"text","summary":"s"}'),
+            (6, '{"findings":[%s]}' % (item % 6)),
+            (7, '{"findings":null,"summary":7}'),
         ],
         "key int, raw string",
     )
-    items, notes = quality.unwrap_reports(rows, "findings", "summary", keep=("key",))
+    items, notes, broken_reports = quality.unwrap_reports(rows, "findings", "summary", keep=("key",))
     valid, rejected = quality.validate_objects(items, schemas.FINDING, keep=("key", "item_no"))
     assert {(r["key"], r["item_no"], r["customer_id"]) for r in valid.collect()} == {
         (1, 0, "CUSTOMER_1"), (1, 1, "CUSTOMER_2"),
     }
     assert [(r["key"], r["item_no"], len(r["reasons"])) for r in rejected.collect()] == [(1, 2, 5)]
-    assert {r["key"]: r["summary"] for r in notes.collect()} == {1: "two", 2: "none", 3: "no list", 4: None}
+    assert {r["key"]: r["summary"] for r in notes.collect()} == {1: "two", 2: "none", 3: "no list"}
+    assert {r["key"]: r["reasons"] for r in broken_reports.collect()} == {
+        4: ["BROKEN_JSON"],
+        5: ["TYPE_findings"],
+        6: ["MISSING_summary"],
+        7: ["TYPE_findings", "TYPE_summary"],
+    }
+
+
+def test_null_items_are_no_steps(spark):
+    record = '{"customer_id":"C","risk_type":"BOTH","strategy_title":"t","rationale":"r","action_steps":%s,"priority":"LOW"}'
+    rows = spark.createDataFrame([(n, record % s) for n, s in enumerate(('["a",null]', "[null]", "[]"))], "key int, raw string")
+    valid, rejected = quality.validate_json(rows, schemas.STRATEGY, keep=("key",))
+    assert [r["key"] for r in valid.collect()] == [2]
+    assert {r["key"]: r["reasons"] for r in rejected.collect()} == {0: ["TYPE_action_steps"], 1: ["TYPE_action_steps"]}
 
 
 def test_accumulate_and_last_write(spark):

@@ -27,6 +27,10 @@ def contract_rules() -> dict[str, Column]:
     for column, limit in schemas.TEXT_LIMITS.items():
         rules[f"LONG_{column.upper()}"] = F.coalesce(F.length(column) > limit, F.lit(False))
     rules["ZERO_UNIT_SALES_PRICE"] = F.coalesce(F.col("unit_sales_price") == 0, F.lit(False))
+    for column in ("unit_sales_price", "unit_cost"):
+        # NaN compares above every number, so one bound finds it as well.
+        beyond = (F.col(column) >= float("inf")) | (F.col(column) <= float("-inf"))
+        rules[f"NOT_FINITE_{column.upper()}"] = F.coalesce(beyond, F.lit(False))
     return rules
 
 
@@ -67,7 +71,8 @@ def _field_reason(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.DoubleType):
         usable = value.isNotNull()
     elif isinstance(field.dataType, T.ArrayType):
-        usable = kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
+        empty = F.exists(value, lambda part: part.isNull())
+        usable = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(empty, F.lit(True))
     else:
         usable = kind == "STRING"
     reason = F.when(~usable, f"TYPE_{name}")
@@ -117,23 +122,45 @@ def validate_json(
 
 def unwrap_reports(
     rows: DataFrame, list_field: str, summary_field: str, raw_col: str = "raw", keep: tuple[str, ...] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """V2: report wrappers as one row per list item, and one summary each.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """V2: report wrappers as one row per list item, one summary each, and what was rejected.
 
-    A missing list counts as empty. Items stay VARIANT values for
-    ``validate_objects``; ``item_no`` is their place in the list.
+    A missing list counts as empty. A wrapper that is no JSON, whose list is no
+    list, or whose summary is missing or no text is rejected as a whole with its
+    ``reasons``. Items stay VARIANT values for ``validate_objects``; ``item_no``
+    is their place in the list.
     """
     report = once(rows, list(keep), report=F.try_parse_json(raw_col))
-    items = report.select(
+
+    def kind_of(field: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("report", f"$.{field}", "variant"))
+
+    read = once(
+        report,
+        [*keep, "report"],
+        summary=F.try_variant_get("report", f"$.{summary_field}", "string"),
+        _list=kind_of(list_field),
+        _summary=kind_of(summary_field),
+    )
+    reasons = [
+        F.when(~F.col("_list").startswith("ARRAY"), f"TYPE_{list_field}"),
+        F.when(F.col("_summary").isNull(), f"MISSING_{summary_field}").when(
+            F.col("_summary") != "STRING", f"TYPE_{summary_field}"
+        ),
+    ]
+    fits = F.col("report").isNotNull() & reduce(Column.__and__, [r.isNull() for r in reasons])
+    problems = F.when(F.col("report").isNull(), F.array(F.lit("BROKEN_JSON"))).otherwise(
+        F.array_compact(F.array(*reasons))
+    )
+    items = read.where(fits).select(
         *keep,
         F.posexplode(F.try_variant_get("report", f"$.{list_field}", "array<variant>")).alias(
             "item_no", "item"
         ),
     )
-    summaries = report.select(
-        *keep, F.try_variant_get("report", f"$.{summary_field}", "string").alias("summary")
+    return items, read.where(fits).select(*keep, "summary"), read.where(~fits).select(
+        *keep, problems.alias("reasons")
     )
-    return items, summaries
 
 
 def accumulate(*steps: tuple[str, DataFrame]) -> DataFrame:

@@ -12,27 +12,34 @@ from tidewatch.functions import wording
 from tidewatch.functions.expressions import finding_line, rounded, sale_line, strategy_block
 from tidewatch.operators.ranking import with_position
 
-# Parts into which the rows of one customer are dealt where a join would gather them.
-_SPREAD = 16
+# Rows of one customer that a join may gather in one task.
+_PART_ROWS = 100_000
 
 
-def load_counts(masked: DataFrame) -> DataFrame:
-    """A1, A2: rows loaded and exact number of distinct customers.
+def row_count(sales: DataFrame) -> DataFrame:
+    """A1: rows loaded."""
+    return sales.agg(F.count("*").alias("records"))
+
+
+def load_counts(sales: DataFrame, key: str = "customer_id") -> DataFrame:
+    """A1, A2: rows loaded and exact number of distinct customers, by name or token.
 
     Rows are first counted per customer, with partial sums before the shuffle,
     so the distinct count needs no expansion of the input.
     """
     return (
-        masked.groupBy("customer_id")
+        sales.groupBy(key)
         .agg(F.count("*").alias("rows"))
         .agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("records"),
-            F.count("customer_id").alias("customers"),
+            F.count(key).alias("customers"),
         )
     )
 
 
-def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
+def context_blocks(
+    masked: DataFrame, block_lines: int = 200, part_rows: int = _PART_ROWS
+) -> DataFrame:
     """A3: the sales of each customer as text, by date, in numbered blocks.
 
     Joining the ``text`` of a customer's blocks with line feeds, in ``block``
@@ -41,10 +48,10 @@ def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
     huge group. Equal rows are counted before the shuffle and leave as pieces
     of at most ``block_lines`` copies, so that copies cannot pile up in one
     range either; a block holds ``block_lines`` pieces. The join that tells
-    where a customer starts is salted: joined by customer alone, its
-    partitioning would also serve the grouping, and one task would get all
-    blocks of a customer. Only columns move until the last step; the text is
-    printed there.
+    where a customer starts goes by customer and range of positions: by customer
+    alone, one task would get all blocks of a customer. A customer's start row is
+    repeated once for each range it reaches into, so small customers have one or
+    two. Only columns move until the last step; the text is printed there.
     """
     printed = ["transaction_date", "category", "quantity", "unit_sales_price", "unit_cost"]
     pieces = (
@@ -56,15 +63,20 @@ def context_blocks(masked: DataFrame, block_lines: int = 200) -> DataFrame:
     ranked = with_position(pieces, ["customer_id", *printed, "done"])
     starts = (
         ranked.groupBy("customer_id")
-        .agg(F.min("position").alias("start"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+        .agg(F.min("position").alias("start"), F.max("position").alias("end"))
+        .select(
+            "customer_id",
+            "start",
+            F.explode(
+                F.sequence(F.floor(F.col("start") / part_rows), F.floor(F.col("end") / part_rows))
+            ).alias("part"),
+        )
     )
-    salt = (F.col("position") % _SPREAD).cast("int")
     block = F.floor((F.col("position") - F.col("start")) / block_lines).cast("int")
     text = F.array_join(F.array_repeat(sale_line(), F.col("copies")), "\n")
     blocks = (
-        ranked.withColumn("salt", salt)
-        .join(starts, ["customer_id", "salt"])
+        ranked.withColumn("part", F.floor(F.col("position") / part_rows))
+        .join(starts, ["customer_id", "part"])
         .groupBy("customer_id", block.alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct("position", text.alias("text")))).alias("parts"))
     )

@@ -63,18 +63,38 @@ class Desk:
     def run(self) -> RiskRun:
         return RiskRun(self.sales, order_key="customer_key")
 
+    @cached_property
+    def named(self) -> DataFrame:
+        """Sales with a usable name. Names are grouping keys; few rows are masked after summing."""
+        return tokens.split_by_name(self.sales)[0]
+
+    @cached_property
+    def named_totals(self) -> DataFrame:
+        return periods.period_totals(self.named, ["customer_name"])
+
+    @cached_property
+    def named_trends(self) -> DataFrame:
+        return periods.period_trends(self.named_totals, ["customer_name"])
+
+    def mask(self, summed: DataFrame) -> DataFrame:
+        return tokens.mask(summed, self.dictionary)
+
     @cached_property
     def totals(self) -> DataFrame:
-        return periods.period_totals(self.masked)
+        return self.mask(self.named_totals)
 
     @cached_property
     def trends(self) -> DataFrame:
-        return periods.period_trends(self.totals)
+        return self.mask(self.named_trends)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return self.mask(periods.customer_metrics(self.named_trends, ["customer_name"]))
 
     @cached_property
     def dirty_sales(self) -> DataFrame:
         """The sales with the gaps their sources suggest: unspecified terms,
-        accounts in debt without a name, samples without a price."""
+        accounts in debt without a name, samples without a price, numbers out of range."""
         named = warehouse_sales(self.spark, self.directory)
         accounts = warehouse_table(self.spark, self.directory, "customer")
         return named.join(
@@ -87,8 +107,11 @@ class Desk:
             .otherwise(F.col("category"))
             .alias("category"),
             F.when(F.col("quantity") < 50, F.col("quantity")).alias("quantity"),
-            F.when(F.col("quantity") == 1, 0.0).otherwise(F.col("unit_sales_price")).alias("unit_sales_price"),
-            "unit_cost",
+            F.when(F.col("quantity") == 1, 0.0)
+            .when(F.col("quantity") == 3, float("inf"))
+            .otherwise(F.col("unit_sales_price"))
+            .alias("unit_sales_price"),
+            F.when(F.col("quantity") == 2, float("nan")).otherwise(F.col("unit_cost")).alias("unit_cost"),
             F.when(F.col("payment_term") != "Net 45", F.col("payment_term")).alias("payment_term"),
         )
 
@@ -268,7 +291,7 @@ def _(d: Desk) -> DataFrame:
 
 @query("M4_unmask")
 def _(d: Desk) -> DataFrame:
-    totals = periods.period_totals(tokens.mask(d.sales, d.grown_dictionary))
+    totals = tokens.mask(d.named_totals, d.grown_dictionary)
     named = tokens.unmask(totals, d.early_dictionary, strict=False)
     return named.select(
         "customer_id",
@@ -440,12 +463,12 @@ def _(d: Desk) -> DataFrame:
 
 @query("A1_row_count")
 def _(d: Desk) -> DataFrame:
-    return summaries.load_counts(d.masked).select("records")
+    return summaries.row_count(d.named)
 
 
 @query("A2_distinct_customers")
 def _(d: Desk) -> DataFrame:
-    return summaries.load_counts(d.masked).select("customers")
+    return summaries.load_counts(d.named, "customer_name").select("customers")
 
 
 @query("A3_context_blocks")
@@ -462,19 +485,19 @@ def _(d: Desk) -> DataFrame:
 
 @query("A4_month_and_category")
 def _(d: Desk) -> DataFrame:
-    totals = periods.period_totals(d.masked, ["customer_id", "category"], "month")
-    return totals.select("customer_id", "category", day("period"), "quantity", six("revenue"))
+    totals = periods.period_totals(d.named, ["customer_name", "category"], "month")
+    return d.mask(totals).select("customer_id", "category", day("period"), "quantity", six("revenue"))
 
 
 @query("A5_period_spine")
 def _(d: Desk) -> DataFrame:
-    filled = periods.fill_periods(d.totals)
+    filled = periods.fill_periods(store(d.totals, "totals"))
     return filled.select("customer_id", day("period"), "quantity", six("revenue"))
 
 
 @query("A6_first_last")
 def _(d: Desk) -> DataFrame:
-    return periods.customer_metrics(d.trends).select(
+    return d.metrics.select(
         "customer_id",
         six("first_price"),
         six("last_price"),
@@ -487,7 +510,7 @@ def _(d: Desk) -> DataFrame:
 
 @query("A7_margin_and_velocity")
 def _(d: Desk) -> DataFrame:
-    return periods.margin_and_velocity(d.masked)
+    return d.mask(periods.margin_and_velocity(d.named, key="customer_name"))
 
 
 @query("A8_first_seen_order")
@@ -539,14 +562,14 @@ def _(d: Desk) -> DataFrame:
 
 @query("W4_current_period")
 def _(d: Desk) -> DataFrame:
-    return periods.customer_metrics(d.trends).select(
+    return d.metrics.select(
         "customer_id", "periods", day("current_period"), "current_quantity", "current_margin"
     )
 
 
 @query("W5_growth_gap")
 def _(d: Desk) -> DataFrame:
-    return periods.growth_trends(d.trends).select(
+    return d.mask(periods.growth_trends(d.named_trends, ["customer_name"])).select(
         "customer_id", day("period"), "cost_growth_pct", "price_growth_pct", "growth_gap"
     )
 
@@ -731,7 +754,15 @@ def _(d: Desk) -> DataFrame:
     as_text = F.to_json(
         F.struct(*[F.lit("one step").alias(n) if n == "action_steps" else F.col(n) for n in fields])
     )
-    raw = F.when(steps.isNotNull(), as_text).otherwise(listed)
+    with_gap = F.to_json(
+        F.struct(
+            *[
+                F.array(F.lit("first"), F.lit(None).cast("string")).alias(n) if n == "action_steps" else F.col(n)
+                for n in fields
+            ]
+        )
+    )
+    raw = F.when(steps.isNotNull(), as_text).when(F.col("priority") == "LOW", with_gap).otherwise(listed)
     rows = d.run.strategies.select(F.col("customer_id").alias("key"), raw.alias("raw"))
     valid, rejected = quality.validate_json(rows, schemas.STRATEGY, keep=("key",))
     return valid.select(
@@ -759,23 +790,35 @@ def _(d: Desk) -> DataFrame:
 @query("V2_reports")
 def _(d: Desk) -> DataFrame:
     record = F.struct(*[f.name for f in schemas.FINDING.fields])
-    reports = d.run.findings.groupBy("customer_id").agg(
-        F.to_json(
-            F.struct(F.collect_list(record).alias("findings"), F.first("risk_type").alias("summary"))
-        ).alias("raw")
-    ).withColumnRenamed("customer_id", "key")
-    items, notes = quality.unwrap_reports(reports, "findings", "summary", keep=("key",))
+    summary = F.min_by("risk_type", "pos").alias("summary")
+    severity = F.min_by("severity", "pos")
+    listed = F.collect_list(record).alias("findings")
+    whole = F.to_json(F.struct(listed, summary))
+    raw = (
+        F.when(severity == "HIGH", F.substring(whole, 1, 20))
+        .when(severity == "MEDIUM", F.to_json(F.struct(F.lit("none").alias("findings"), summary)))
+        .when(severity == "LOW", F.to_json(F.struct(listed)))
+        .otherwise(whole)
+    )
+    reports = d.run.findings.groupBy(F.col("customer_id").alias("key")).agg(raw.alias("raw"))
+    items, notes, broken = quality.unwrap_reports(reports, "findings", "summary", keep=("key",))
     valid, _ = quality.validate_objects(items, schemas.FINDING, keep=("key", "item_no"))
-    return valid.join(notes, "key").select("key", "item_no", "severity", "metric_value", "summary")
+    columns = ["key", "item_no", "severity", "metric_value", "summary", "reasons"]
+    rejected = broken.select(
+        "key",
+        F.lit(-1).alias("item_no"),
+        F.lit("").alias("severity"),
+        F.lit(0.0).alias("metric_value"),
+        F.lit("").alias("summary"),
+        F.array_join("reasons", ",").alias("reasons"),
+    )
+    return valid.join(notes, "key").withColumn("reasons", F.lit("")).select(columns).unionByName(rejected)
 
 
 @query("V3_token_check")
 def _(d: Desk) -> DataFrame:
-    rows = (
-        tokens.mask(d.sales, d.grown_dictionary)
-        .groupBy("customer_id")
-        .agg(F.count("*").alias("rows"))
-    )
+    by_name = d.sales.groupBy("customer_name").agg(F.count("*").alias("rows"))
+    rows = tokens.mask(by_name, d.grown_dictionary).select("customer_id", "rows")
     return tokens.unknown_tokens(rows, d.early_dictionary)
 
 

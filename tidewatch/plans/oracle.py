@@ -62,8 +62,9 @@ DIRTY = """dirty AS (
          CASE WHEN c_acctbal < 0 THEN '   ' ELSE customer_name END AS customer_name,
          CASE WHEN category = 'PROMO' THEN repeat(category, 21) ELSE category END AS category,
          CASE WHEN quantity < 50 THEN quantity END AS quantity,
-         CASE WHEN quantity = 1 THEN 0e0 ELSE unit_sales_price END AS unit_sales_price,
-         unit_cost, CASE WHEN payment_term <> 'Net 45' THEN payment_term END AS payment_term
+         CASE quantity WHEN 1 THEN 0e0 WHEN 3 THEN CAST('Infinity' AS DOUBLE) ELSE unit_sales_price END
+           AS unit_sales_price,
+         CASE WHEN quantity = 2 THEN CAST('NaN' AS DOUBLE) ELSE unit_cost END AS unit_cost, CASE WHEN payment_term <> 'Net 45' THEN payment_term END AS payment_term
   FROM sales),
 judged AS (
   SELECT *, concat_ws(',',
@@ -71,7 +72,9 @@ judged AS (
       CASE WHEN payment_term IS NULL THEN 'NULL_PAYMENT_TERM' END,
       CASE WHEN trim(customer_name) = '' THEN 'MASK_EMPTY' END,
       CASE WHEN length(category) > 100 THEN 'LONG_CATEGORY' END,
-      CASE WHEN unit_sales_price = 0 THEN 'ZERO_UNIT_SALES_PRICE' END) AS reasons
+      CASE WHEN unit_sales_price = 0 THEN 'ZERO_UNIT_SALES_PRICE' END,
+      CASE WHEN NOT isfinite(unit_sales_price) THEN 'NOT_FINITE_UNIT_SALES_PRICE' END,
+      CASE WHEN NOT isfinite(unit_cost) THEN 'NOT_FINITE_UNIT_COST' END) AS reasons
   FROM dirty)"""
 
 
@@ -574,17 +577,22 @@ FROM findings WHERE severity IN ('MEDIUM', 'LOW')""",
     "V1_strategies": _sql(
         RISKS,
         """SELECT customer_id AS key,
-  CASE WHEN risk_type <> 'BOTH' THEN strategy_title ELSE '' END AS strategy_title,
-  CASE WHEN risk_type <> 'BOTH' THEN CAST(len(action_steps) AS INTEGER) ELSE 0 END AS steps,
-  CASE WHEN risk_type = 'BOTH' THEN 'TYPE_action_steps' ELSE '' END AS reasons FROM strategies""",
+  CASE WHEN sound THEN strategy_title ELSE '' END AS strategy_title,
+  CASE WHEN sound THEN CAST(len(action_steps) AS INTEGER) ELSE 0 END AS steps,
+  CASE WHEN sound THEN '' ELSE 'TYPE_action_steps' END AS reasons
+FROM (SELECT *, risk_type <> 'BOTH' AND priority <> 'LOW' AS sound FROM strategies)""",
     ),
     "V1_messages": _sql(
         RISKS, "SELECT pos AS key, customer_id, channel, subject, body, tone FROM messages"
     ),
     "V2_reports": _sql(
         RISKS,
-        "SELECT customer_id AS key, CAST(0 AS INTEGER) AS item_no, severity, metric_value,"
-        " risk_type AS summary FROM findings",
+        """SELECT customer_id AS key, CAST(CASE WHEN sound THEN 0 ELSE -1 END AS INTEGER) AS item_no,
+  CASE WHEN sound THEN severity ELSE '' END AS severity, CASE WHEN sound THEN metric_value ELSE 0 END AS metric_value,
+  CASE WHEN sound THEN risk_type ELSE '' END AS summary,
+  CASE severity WHEN 'HIGH' THEN 'BROKEN_JSON' WHEN 'MEDIUM' THEN 'TYPE_findings'
+    WHEN 'LOW' THEN 'MISSING_summary' ELSE '' END AS reasons
+FROM (SELECT *, severity = 'CRITICAL' AS sound FROM findings)""",
     ),
     "V3_token_check": _sql(
         f"{SALES},\n{EARLY}",

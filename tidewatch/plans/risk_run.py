@@ -122,7 +122,8 @@ def named_metrics(sales: DataFrame, config: RiskConfig, order_key: str) -> DataF
     keys = ["customer_name", *config.grain]
     totals = period_totals(sales, keys, config.period, order_key)
     if config.fill_empty_periods:
-        totals = fill_periods(totals, keys, config.period)
+        # Stored, because the newest period is asked of the same rows.
+        totals = fill_periods(store(totals, "totals"), keys, config.period)
     return customer_metrics(period_trends(totals, keys), keys)
 
 
