@@ -108,6 +108,26 @@ def test_coverage(run):
     }
 
 
+def test_checks_of_all_hand_offs_reach_errors(sample):
+    spoiled = RiskRun(sample)
+    first = spoiled.messages.withColumn("body", F.when(F.col("customer_id") == "CUSTOMER_1", "Fener Halat Ltd.").otherwise(F.col("body")))
+    spoiled.messages = playbook.length_check(first.drop("length_ok")).where("NOT (customer_id = 'CUSTOMER_2' AND channel = 'EMAIL')")
+    spoiled.findings = spoiled.findings.withColumn(
+        "customer_id", F.when(F.col("pos") == 3, "CUSTOMER_90").otherwise(F.col("customer_id"))
+    )
+    assert {tuple(r) for r in spoiled.errors.collect()} == {
+        ("coverage", "CUSTOMER_2", "EMAIL_MISSING"),
+        ("coverage", "CUSTOMER_3", "STRATEGY_ORPHAN"),
+        ("coverage", "CUSTOMER_90", "STRATEGY_MISSING"),
+        ("tokens", "CUSTOMER_90", "UNKNOWN_TOKEN"),
+        ("length", "CUSTOMER_1", "LENGTH_EMAIL"),
+        ("length", "CUSTOMER_1", "LENGTH_WHATSAPP"),
+        ("leaks", "tokens/CUSTOMER_1/EMAIL/body", "LEAKED_NAME"),
+        ("leaks", "tokens/CUSTOMER_1/WHATSAPP/body", "LEAKED_NAME"),
+    }
+    assert spoiled.run_counts.where("metric = 'errors'").first()["value"] == 8
+
+
 def test_summaries(run):
     assert run.analysis_summary.first()[0] == (
         "6 müşteri riskli bulundu: 3 kayıp riski, 2 marj baskısı, 1 her ikisi; 1 bulgu kritik düzeyde."

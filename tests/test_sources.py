@@ -54,12 +54,15 @@ def test_input_check(spark, sample):
 
 def test_outputs_are_written_and_pruned(spark, sample, tmp_path):
     outputs = run_risk_analysis(sample)
-    sales_table.write_outputs(outputs, str(tmp_path))
-    findings = spark.read.parquet(str(tmp_path / "findings")).where("risk_type = 'CHURN_RISK'")
+    sales_table.write_outputs(outputs, str(tmp_path / "open"), str(tmp_path / "named"))
+    with pytest.raises(ValueError, match="folder of their own"):
+        sales_table.write_outputs(outputs, str(tmp_path), f"{tmp_path}/")
+    findings = spark.read.parquet(str(tmp_path / "open" / "findings")).where("risk_type = 'CHURN_RISK'")
     assert findings.count() == 3
     assert "PartitionFilters: [isnotnull(risk_type" in findings._jdf.queryExecution().executedPlan().toString()
     for name in outputs:
-        assert spark.read.parquet(str(tmp_path / name)).count() == outputs[name].count()
+        folder = "named" if name == "inbox" else "open"
+        assert spark.read.parquet(str(tmp_path / folder / name)).count() == outputs[name].count()
 
 
 def test_table_is_created_once(spark, tmp_path):

@@ -167,6 +167,16 @@ def test_leaks_equal_brute_force(spark, names):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_short_and_long_names_in_a_long_text(spark):
+    """A one-letter name does not widen the search for long ones."""
+    names = ["Q", "\\E[x]", *[f"N{n:03d}" + "z" * (n - 4) for n in range(100, 256)]]
+    dictionary = spark.createDataFrame([(n, f"T{i}", i) for i, n in enumerate(names)], "name string, token string, token_no bigint")
+    filler = "lorem ipsum dolor sit amet " * 4000
+    texts = spark.createDataFrame([(0, filler), (1, filler + names[60] + filler), (2, "a\\E[x]b" + filler + "Q")], "key int, text string")
+    found = leak_audit.leaks(texts, dictionary, ["key"]).collect()
+    assert {(r["key"], r["name"]) for r in found} == {(1, names[60]), (2, "Q"), (2, "\\E[x]")}
+
+
 def test_leak_audit_has_no_cross_join(spark):
     dictionary = spark.createDataFrame([("Ada", "T")], "name string, token string")
     texts = spark.createDataFrame([("1", "Ada")], "key string, text string")

@@ -4,50 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Longest shared head of names that is used to find candidates.
-_MAX_HEAD = 32
 
+def matches_anywhere(text: Column, pattern: Column) -> Column:
+    """What ``pattern`` matches at each place of a text, places that overlap included.
 
-# So many first characters of names narrow the search, if they are not too varied.
-_MASK_LENGTH = 3
-_MAX_CHARACTERS = 500
-
+    The look-ahead is tried at every place in one walk, where a substring call
+    per place would start over each time.
+    """
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=("), pattern, F.lit("))")), F.lit(1))
 
-def substrings(text: Column, size: Column, start: str = "", known: int = 0) -> Column:
-    """All substrings of one size, optionally only those matching ``start``,
-    a pattern for the first ``known`` characters.
 
-    The look-ahead matches at every place of the text in one walk, where a
-    substring call per place would start over each time.
-    """
-    rest = (size - known).cast("string")
-    pattern = F.concat(F.lit("(?s)(?=(" + start + ".{"), rest, F.lit("}))"))
-    return F.regexp_extract_all(text, pattern, F.lit(1))
+def quoted(text: Column) -> Column:
+    """A pattern for just this text."""
+    inside = F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("\\Q"), inside, F.lit("\\E"))
 
 
-def start_pattern(names: DataFrame, length: int) -> str:
-    """Pattern of the characters that names have at their first places.
+def name_classes(names: DataFrame) -> list[Row]:
+    """One row for each power of two that is the ``width`` of names, with their first characters.
 
-    At most ``_MAX_CHARACTERS`` characters per place come to the driver; a
-    place with more of them accepts any.
+    Wider classes look at more places. A place has as many characters as the
+    alphabet of the names, whatever their number.
     """
-    characters = names.agg(
-        *[
-            F.slice(F.sort_array(F.collect_set(F.substring("name", at, 1))), 1, _MAX_CHARACTERS + 1).alias(
-                str(at)
-            )
-            for at in range(1, length + 1)
-        ]
-    ).first()
-    return "".join(
-        "."
-        if len(found) > _MAX_CHARACTERS
-        else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in found) + "]"
-        for found in characters
-    )
+    widest = names.agg(F.max("width")).first()[0] or 0
+    places = [
+        F.sort_array(F.collect_set(F.substring("name", at, 1))).alias(f"at{at}")
+        for at in range(1, widest.bit_length() + 1)
+    ]
+    return names.groupBy("width").agg(*places).orderBy("width").collect() if widest else []
+
+
+def head_pattern(found: Row) -> str:
+    """Pattern of heads of one class: known first characters, then any."""
+    width = found["width"]
+    known = [found[f"at{at}"] for at in range(1, width.bit_length() + 1)]
+    start = "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in place) + "]" for place in known)
+    return start + f".{{{width - len(known)}}}" if width > len(known) else start
 
 
 def leaks(
@@ -58,52 +53,54 @@ def leaks(
 ) -> DataFrame:
     """Every ``(key, name)`` such that the text of the key contains the name.
 
-    Two equality joins replace a comparison of each text with each name:
+    Names fall into classes by length: the head of a name is as long as the
+    largest power of two that fits, so short names do not widen the search for
+    long ones. Two equality joins replace a comparison of each text with each
+    name:
 
-    1. Substrings as long as the shortest name, if they start like some name,
-       meet the distinct heads of the names. A head is one row however many
-       names share it, so this join never multiplies rows. Repeated substrings
-       of a text count once.
-    2. For the surviving texts, substrings of exactly the lengths that names
-       with this head have meet the names.
+    1. Substrings of a text that start like heads of a class meet the distinct
+       heads. A head is one row however many names share it, so this join never
+       multiplies rows. Repeated substrings of a text count once.
+    2. In the surviving texts, heads that were met are prolonged, where they
+       stand, to the lengths of names with this head, and meet the names.
 
     ``key_cols`` identify a text.
     """
     keys = list(key_cols)
-    names = dictionary.select("name").where(F.length("name") > 0).distinct()
-    shortest = names.agg(F.min(F.length("name")).alias("n")).first()["n"]
-    if shortest is None:
+    names = (
+        dictionary.select("name")
+        .where(F.length("name") > 0)
+        .distinct()
+        .withColumn("width", F.expr("shiftleft(1, length(bin(length(name))) - 1)"))
+    )
+    classes = name_classes(names)
+    if not classes:
         return texts.select(*keys).withColumn("name", F.lit("")).limit(0)
-    width = min(shortest, _MAX_HEAD)
-    known = min(width, _MASK_LENGTH)
-    start = start_pattern(names, known)
-
-    heads = names.groupBy(F.substring("name", 1, width).alias("head")).agg(
+    heads = names.groupBy("width", F.col("name").substr(F.lit(1), F.col("width")).alias("head")).agg(
         F.collect_set(F.length("name")).alias("lengths")
     )
-    long_enough = texts.where(F.length(text_col) >= width)
+
+    def heads_in(found: Row) -> Column:
+        parts = F.array_distinct(matches_anywhere(F.col(text_col), F.lit(head_pattern(found))))
+        return F.transform(parts, lambda head: F.struct(F.lit(found["width"]).alias("width"), head.alias("head")))
+
+    met = [heads_in(found) for found in classes]
     candidates = (
-        long_enough.select(
-            *keys,
-            F.explode(
-                F.array_distinct(substrings(F.col(text_col), F.lit(width), start, known))
-            ).alias("head"),
-        )
-        .join(heads, "head")
+        texts.where(F.length(text_col) > 0)
+        .select(*keys, F.inline(F.concat(*met)))
+        .join(heads, ["width", "head"])
         .groupBy(*keys)
-        .agg(F.collect_set(F.struct("head", "lengths")).alias("found"))
+        .agg(F.collect_set(F.struct("width", "head", "lengths")).alias("found"))
     )
-    windows = candidates.join(long_enough.select(*keys, text_col), keys).select(
+    hits = candidates.join(texts.select(*keys, text_col), keys).select(
         *keys, text_col, F.explode("found").alias("hit")
     )
-    whole = F.flatten(
-        F.transform(
-            F.col("hit.lengths"),
-            lambda size: F.filter(
-                substrings(F.col(text_col), size),
-                lambda part: F.startswith(part, F.col("hit.head")),
-            ),
-        )
-    )
-    spelled = windows.select(*keys, F.explode(F.array_distinct(whole)).alias("name"))
-    return spelled.join(names, "name", "left_semi").select(*keys, "name").distinct()
+
+    def prolonged(size: Column) -> Column:
+        rest = (size - F.col("hit.width")).cast("string")
+        pattern = F.concat(quoted(F.col("hit.head")), F.lit(".{"), rest, F.lit("}"))
+        return matches_anywhere(F.col(text_col), pattern)
+
+    whole = F.flatten(F.transform("hit.lengths", prolonged))
+    spelled = hits.select(*keys, F.explode(F.array_distinct(whole)).alias("name"))
+    return spelled.join(names.select("name"), "name", "left_semi").select(*keys, "name").distinct()

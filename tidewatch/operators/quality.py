@@ -184,3 +184,21 @@ def as_errors(rejected: DataFrame, step: str, key: Column) -> DataFrame:
     return rejected.select(
         F.lit(step).alias("step"), key.cast("string").alias("key"), reason.alias("reason")
     )
+
+
+def hand_on_texts(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> DataFrame:
+    """``key, text`` of every text that a run hands on and that must hold tokens only."""
+
+    def parts(rows: DataFrame, start: Column, *columns: str) -> list[DataFrame]:
+        return [rows.select(F.concat(start, F.lit(name)).alias("key"), F.col(name).alias("text")) for name in columns]
+
+    own = F.concat(F.lit("tokens/"), "customer_id", F.lit("/"))
+    listed = strategies.withColumn("action_steps", F.array_join("action_steps", "\n"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            *parts(findings, own, "evidence"),
+            *parts(listed, own, "strategy_title", "rationale", "action_steps"),
+            *parts(messages, F.concat(own, "channel", F.lit("/")), "subject", "body"),
+        ],
+    )

@@ -95,6 +95,18 @@ def export_map(dictionary: DataFrame) -> DataFrame:
     return dictionary.select("name", "token")
 
 
+def reset_dictionary(
+    sales: DataFrame, path: str, name_col: str = "customer_name", order_key: str = "id", prefix: str = "CUSTOMER"
+) -> DataFrame:
+    """M9: replace the dictionary stored at ``path``; numbers start again at 1.
+
+    Nothing of the old one is read, so its tokens do not resolve any more.
+    """
+    fresh = build_dictionary(sales, name_col, order_key, prefix)
+    fresh.write.mode("overwrite").parquet(path)
+    return sales.sparkSession.read.schema(fresh.schema).parquet(path)
+
+
 def mask(
     df: DataFrame, dictionary: DataFrame, name_col: str = "customer_name", out: str = "customer_id"
 ) -> DataFrame:

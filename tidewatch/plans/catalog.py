@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,12 +260,20 @@ def _(d: Desk) -> DataFrame:
 
 @query("S7_output_sinks")
 def _(d: Desk) -> DataFrame:
-    path = fresh_path(d.spark, "outputs")
-    sales_table.write_outputs({"findings": d.run.findings, "run_counts": d.run.run_counts}, path)
-    findings = d.spark.read.schema(d.run.findings.schema).parquet(f"{path}/findings")
-    return findings.where(F.col("risk_type") == "BOTH").select(
-        "customer_id", "risk_type", "severity", "metric_value"
-    )
+    """All outputs written, named ones apart, and each read back."""
+    path, named = fresh_path(d.spark, "outputs"), fresh_path(d.spark, "named-outputs")
+    outputs = d.run.outputs()
+    sales_table.write_outputs(outputs, path, named)
+
+    def counted(name: str) -> DataFrame:
+        folder = named if name in sales_table.NAMED_OUTPUTS else path
+        rows = d.spark.read.schema(outputs[name].schema).parquet(f"{folder}/{name}")
+        kind = F.col("risk_type") if name == "findings" else F.lit("")
+        return rows.groupBy(kind.alias("part")).agg(F.count("*").alias("rows")).select(
+            F.lit(name).alias("output"), "part", "rows"
+        )
+
+    return reduce(DataFrame.unionByName, [counted(name) for name in outputs])
 
 
 # --- tokens -----------------------------------------------------------------------
@@ -340,20 +348,38 @@ def _(d: Desk) -> DataFrame:
 
 @query("M9_reset")
 def _(d: Desk) -> DataFrame:
-    late = d.sales.where(F.col("transaction_date") >= F.lit("2001-01-01").cast("date"))
-    return tokens.build_dictionary(late, order_key="customer_key")
+    """The early dictionary is replaced: a new token for each name, and whose the old token is now."""
+    path = fresh_path(d.spark, "dictionary")
+    d.early_dictionary.write.parquet(path)
+    old = store(d.early_dictionary, "dictionary").select("name", F.col("token").alias("old_token"))
+    fresh = tokens.reset_dictionary(d.sales, path, order_key="customer_key")
+    owner = fresh.select(F.col("token").alias("old_token"), F.col("name").alias("now"))
+    return (
+        fresh.join(old.join(owner, "old_token", "left"), "name", "left")
+        .select(
+            "name", "token", "token_no",
+            F.coalesce("old_token", F.lit("")).alias("old_token"),
+            F.coalesce("now", F.lit("")).alias("old_token_now"),
+        )
+    )
 
 
 @query("M10_leak_audit")
 def _(d: Desk) -> DataFrame:
-    texts = d.run.cards.select(
-        F.concat(F.lit("tokens/"), "customer_id").alias("key"), F.col("rationale").alias("text")
-    ).unionByName(
-        d.run.inbox.select(
-            F.concat(F.lit("names/"), "customer_id").alias("key"), F.col("rationale").alias("text")
-        )
-    )
-    return leak_audit.leaks(store(texts, "texts"), d.run.dictionary, ["key"])
+    """All texts with tokens, which hold no name, and all texts of the inbox, which do."""
+    def parts(rows: DataFrame, kind: str, *columns: str) -> list[DataFrame]:
+        start = F.concat(F.lit(f"{kind}/"), "customer_id", F.lit("/"))
+        return [
+            rows.select(F.concat(start, F.lit(name)).alias("key"), F.col(name).alias("text")) for name in columns
+        ]
+
+    def with_steps(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("action_steps", steps_text())
+
+    texts = quality.hand_on_texts(d.run.findings, d.run.strategies, d.run.messages)
+    named = parts(with_steps(d.run.inbox), "names", "evidence", "rationale", "action_steps", "body")
+    every = reduce(DataFrame.unionByName, [texts, *named])
+    return leak_audit.leaks(store(every, "texts"), d.run.dictionary, ["key"])
 
 
 @query("M11_masked_projection")
@@ -711,14 +737,14 @@ def _(d: Desk) -> DataFrame:
 
 @query("U3_errors")
 def _(d: Desk) -> DataFrame:
-    _, bad_rows = quality.enforce_contract(d.dirty_sales)
+    """The errors of a run over spoiled sales, and those of spoiled records and unknown tokens."""
     _, bad_json = quality.validate_json(d.finding_json, schemas.FINDING, keep=("key",))
     strangers = tokens.unknown_tokens(
         d.grown_dictionary.select(F.col("token").alias("customer_id")), d.early_dictionary
     )
     errors = (
-        quality.as_errors(bad_rows, "load", F.col("customer_key"))
-        .unionByName(quality.as_errors(bad_json, "findings", F.col("key")))
+        RiskRun(d.dirty_sales, order_key="customer_key")
+        .errors.unionByName(quality.as_errors(bad_json, "findings", F.col("key")))
         .unionByName(quality.as_errors(strangers, "unmask", F.col("customer_id")))
     )
     return errors.groupBy("step", "reason").agg(

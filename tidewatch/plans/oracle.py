@@ -264,7 +264,12 @@ ORACLE: dict[str, str] = {
     ),
     "S7_output_sinks": _sql(
         RISKS,
-        "SELECT customer_id, risk_type, severity, metric_value FROM findings WHERE risk_type = 'BOTH'",
+        """SELECT 'findings' AS output, risk_type AS part, count(*) AS rows FROM findings GROUP BY 1, 2
+UNION ALL SELECT 'strategies', '', count(*) FROM strategies
+UNION ALL SELECT 'messages', '', count(*) FROM messages
+UNION ALL SELECT 'inbox', '', count(*) FROM findings
+UNION ALL SELECT unnest(['analysis_summary', 'strategy_summary']), '', 1
+UNION ALL SELECT 'run_counts', '', 4""",
     ),
     "M1_token_dictionary": _sql(f"{SALES},\n{DICT}", "SELECT name, token, token_no FROM dict"),
     "M2_dictionary_extension": _sql(
@@ -305,19 +310,39 @@ LEFT JOIN early c ON c.token_no = n * 10 + 1""",
     ),
     "M8_export_map": _sql(f"{SALES},\n{DICT}", "SELECT name, token FROM dict"),
     "M9_reset": _sql(
-        SALES,
-        "SELECT customer_name AS name,"
-        " 'CUSTOMER_' || row_number() OVER (ORDER BY min(customer_key)) AS token,"
-        " row_number() OVER (ORDER BY min(customer_key)) AS token_no"
-        " FROM sales WHERE transaction_date >= DATE '2001-01-01' GROUP BY customer_name",
+        f"{SALES},\n{DICT},\n{EARLY}",
+        """SELECT d.name, d.token, d.token_no, coalesce('CUSTOMER_' || e.token_no, '') AS old_token,
+  coalesce(n.name, '') AS old_token_now
+FROM dict d LEFT JOIN early e ON e.name = d.name LEFT JOIN dict n ON n.token_no = e.token_no""",
     ),
     "M10_leak_audit": _sql(
-        RISKS,
-        f"""SELECT t.key, n.name FROM (
-  SELECT 'tokens/' || customer_id AS key, rationale AS text FROM strategies
-  UNION ALL
-  SELECT 'names/' || customer_id, {_named('rationale')} FROM strategies JOIN dict ON token = customer_id) t
-JOIN dict n ON contains(t.text, n.name)""",
+        ALL,
+        "SELECT t.key, n.name FROM ("
+        + " UNION ALL ".join(
+            [
+                f"SELECT 'tokens/' || customer_id || '/{name}' AS key, {value} AS text FROM {source}"
+                for name, value, source in (
+                    ("evidence", "evidence", "findings"),
+                    ("strategy_title", "strategy_title", "strategies"),
+                    ("rationale", "rationale", "strategies"),
+                    ("action_steps", f"array_to_string(action_steps, {NL})", "strategies"),
+                )
+            ]
+            + [
+                f"SELECT 'tokens/' || customer_id || '/' || channel || '/{name}', {name} FROM messages"
+                for name in ("subject", "body")
+            ]
+            + [
+                f"SELECT 'names/' || customer_id || '/{name}', {_named(value)} FROM cards JOIN dict ON token = customer_id"
+                for name, value in (
+                    ("evidence", "evidence"),
+                    ("rationale", "rationale"),
+                    ("action_steps", f"array_to_string(action_steps, {NL})"),
+                    ("body", "body"),
+                )
+            ]
+        )
+        + ") t JOIN dict n ON contains(t.text, n.name)",
     ),
     "M11_masked_projection": _sql(BASE, f"SELECT customer_id, {_COLUMNS} FROM masked"),
     "P1_row_margin": _sql(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import RiskConfig
-from tidewatch.operators import inbox, playbook, quality, risk, summaries
+from tidewatch.operators import inbox, leak_audit, playbook, quality, risk, summaries
 from tidewatch.operators.periods import (
     customer_metrics,
     fill_periods,
@@ -16,7 +16,13 @@ from tidewatch.operators.periods import (
     period_trends,
 )
 from tidewatch.operators.ranking import with_position
-from tidewatch.operators.tokens import extend_dictionary, mask, number_names, token_for
+from tidewatch.operators.tokens import (
+    extend_dictionary,
+    mask,
+    number_names,
+    token_for,
+    unknown_tokens,
+)
 from tidewatch.sources.sales_table import check_columns, check_input
 from tidewatch.sources.storage import store
 
@@ -27,7 +33,8 @@ class RiskRun:
 
     The metrics are computed and stored when first asked for. Every other
     output is a plan over those few stored rows; only ``errors`` reads the
-    sales again, for the rows the contract rejects.
+    sales again, for the rows the contract rejects, next to what the checks of
+    the other hand-offs find.
     """
 
     def __init__(
@@ -77,7 +84,30 @@ class RiskRun:
 
     @cached_property
     def errors(self) -> DataFrame:
-        return quality.as_errors(self.rejected, "load", F.col(self.order_key))
+        """What any check of a hand-off found, in one table.
+
+        Rows the contract rejects, findings and drafts that do not match one to
+        one, tokens without a name, drafts of a wrong length, and real names in
+        texts that must hold tokens only.
+        """
+        findings, strategies, messages = self.findings, self.strategies, self.messages
+        gaps = inbox.coverage_gaps(findings, strategies, messages).withColumnRenamed("problems", "reasons")
+        lengths = messages.where(~F.col("length_ok")).withColumn(
+            "reason", F.concat(F.lit("LENGTH_"), "channel")
+        )
+        texts = quality.hand_on_texts(findings, strategies, messages)
+        leaked = leak_audit.leaks(texts, self.dictionary, ["key"]).select("key").distinct()
+        own = F.col("customer_id")
+        return reduce(
+            DataFrame.unionByName,
+            [
+                quality.as_errors(self.rejected, "load", F.col(self.order_key)),
+                quality.as_errors(gaps, "coverage", own),
+                quality.as_errors(unknown_tokens(findings, self.dictionary), "tokens", own),
+                quality.as_errors(lengths, "length", own),
+                quality.as_errors(leaked.withColumn("reason", F.lit("LEAKED_NAME")), "leaks", F.col("key")),
+            ],
+        )
 
     @cached_property
     def analysis_summary(self) -> DataFrame:

@@ -125,10 +125,21 @@ def check_input(sales: DataFrame) -> DataFrame:
     return sales
 
 
-def write_outputs(outputs: dict[str, DataFrame], directory: str) -> None:
-    """One Parquet dataset per output; findings are split by risk type."""
+#: Outputs that carry real names.
+NAMED_OUTPUTS = ("inbox",)
+
+
+def write_outputs(outputs: dict[str, DataFrame], directory: str, named_directory: str) -> None:
+    """One Parquet dataset per output; findings are split by risk type.
+
+    Outputs with real names go to a folder of their own, which can be kept under
+    stricter access than the rest.
+    """
+    if named_directory.rstrip("/") == directory.rstrip("/"):
+        raise ValueError("outputs with real names need a folder of their own")
     for name, df in outputs.items():
         writer = df.write.mode("overwrite")
         if name == "findings":
             writer = writer.partitionBy("risk_type")
-        writer.parquet(f"{directory.rstrip('/')}/{name}")
+        folder = named_directory if name in NAMED_OUTPUTS else directory
+        writer.parquet(f"{folder.rstrip('/')}/{name}")
