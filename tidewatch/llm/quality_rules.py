@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hash bins, pseudo-count of a bin, and the score from which documents are kept.
-BINS, PSEUDO, THRESHOLD = 1 << 16, 1.0, -0.15
+BINS, PSEUDO, THRESHOLD = 1 << 16, 1.0, -0.12
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
