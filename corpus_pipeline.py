@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, decontamination, jaccard_join, pii, quality_classifier
 from tidewatch.llm.queries import word_vocabulary
-from tidewatch.llm.shared import table
+from tidewatch.llm.shared import free_name, table
 from tidewatch.sources.storage import store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a score below the cut. Labels teach the model and decide nothing else."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = quality_classifier.score(docs, model, "_quality_score")
-    return scored.where(F.col("_quality_score") >= quality_classifier.CUT).select(docs.columns)
+    name = free_name("_quality_score", docs)
+    scored = quality_classifier.score(docs, model, name)
+    return scored.where(F.col(name) >= quality_classifier.CUT).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact texts; ``n_chars`` of a changed text is counted anew."""
-    redacted = pii.redact(docs.withColumn("_raw", F.col("text")))
+    raw = free_name("_raw_text", docs)
+    redacted = pii.redact(docs.withColumn(raw, F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = ~F.col("text").eqNullSafe(F.col("_raw"))
+        changed = ~F.col("text").eqNullSafe(F.col(raw))
         counted = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind)
         redacted = redacted.withColumn("n_chars", counted)
     return redacted.select(docs.columns)

@@ -95,6 +95,7 @@ def test_stages(spark, tmp_path, odd, labels, benchmark, name):
     result = stage(spark, odd, str(tmp_path))
     if name != "bpe_encoding":
         assert result.columns == odd.columns and result.dtypes == odd.dtypes
+        assert {r[0] for r in result.select("_raw").union(result.select("_quality_score")).collect()} == {"x"}
     assert 0 < result.count() <= odd.count()
     assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
     if name == "ngram_jaccard_join":

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.shared import Memo, grouped, pieces, split_words, texts_of
+from tidewatch.llm.shared import Memo, free_name, grouped, pieces, split_words, texts_of
 from tidewatch.sources.storage import store
 
 SHINGLE = 5
@@ -357,7 +357,7 @@ def keep_first(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     Rows without words stay. Null doc_ids come last; of texts with one doc_id the
     one with the smaller hash stays, of equal rows one.
     """
-    ids, texts = "_class_doc_id", "_class_text_key"
+    ids, texts = free_name("_class_doc_id", docs), free_name("_class_text_key", docs)
     nothing = F.lit(-(1 << 63))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = (

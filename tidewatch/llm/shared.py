@@ -22,6 +22,14 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def free_name(wanted: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {name.lower() for name in df.columns}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
 class Memo(dict):
     """Results of a pure function by argument, forgotten when ``limit`` is reached.
 
