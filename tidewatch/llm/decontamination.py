@@ -25,6 +25,7 @@ the inputs are not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Memo, pieces, split_words, texts_of
+from tidewatch.llm.shared import pieces, split_words, texts_of
 
 WINDOW = 8
 #: Template words that make a leak, and the least number of plain words in a window.
@@ -81,29 +82,43 @@ _UNIT_HASH = xxhash.xxh64_intdigest(b"\x00unit")
 
 
 class Templates:
-    """Template words of texts, each distinct word looked at once."""
+    """Template words of texts. Hashes and kinds stand in tables, by the number of a word."""
 
-    def __init__(self):
-        self._words = Memo(template_word)
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self.reset()
+
+    def reset(self):
+        self.number: dict[bytes, int] = {}
+        self.hash, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+
+    def add(self, words: list[bytes]) -> None:
+        while len(self.hash) < len(self.number) + len(words):
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
+            self.kind = np.concatenate([self.kind, np.zeros_like(self.kind)])
+        for n, word in enumerate(words, len(self.number)):
+            self.number[word] = n
+            self.kind[n], self.hash[n], _ = template_word(word) or (-1, 0, "")
 
     def of(self, texts: list[str]):
-        """Hashes and slot kinds of all texts one after another, cores, and the count of each text."""
-        hashes, kinds, cores, sizes = [], [], [], []
-        for text in texts:
-            found = [w for w in map(self._words.__getitem__, split_words(text)) if w]
-            kinds += [w[0] for w in found]
-            hashes += [w[1] for w in found]
-            cores += [w[2] for w in found]
-            sizes.append(len(found))
-        kind, value = np.array(kinds, np.int8), np.array(hashes, np.uint64)
-        size = np.array(sizes, np.int64)
-        text = np.repeat(np.arange(len(texts)), size)
+        """Hashes and kinds of all template words in order, the words, words and number of each text."""
+        split = [split_words(text) for text in texts]
+        held = set().union(*split)
+        if len(self.number) + len(held.difference(self.number)) > self.limit:
+            self.reset()
+        self.add(list(held.difference(self.number)))
+        words = list(chain.from_iterable(split))
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        kept = np.flatnonzero(self.kind[numbers] >= 0)
+        numbers = numbers[kept]
+        text = np.repeat(np.arange(len(texts)), [len(some) for some in split])[kept]
+        value, kind = self.hash[numbers], self.kind[numbers]
         unit = kind == _UNIT
         counted = np.zeros(len(kind), bool)
         counted[1:] = (kind[:-1] == _NUMBER) & (text[:-1] == text[1:])
         value[unit & counted] = _UNIT_HASH
         kind[unit & ~counted] = _PLAIN
-        return value, kind, cores, size, text
+        return value, kind, lambda n: template_word(words[kept[n]])[2], np.bincount(text, minlength=len(texts)), text
 
 
 def windows(value: np.ndarray, kind: np.ndarray, text: np.ndarray, width: int):
@@ -140,7 +155,7 @@ def _window_rows(keys: pa.Schema, passing, widths: tuple[int, ...]):
         bits = np.frombuffer(passing.value, np.uint8) if passing else None
         schema = pa.schema([*keys, *_FIELDS])
         for batch in pieces(batches):
-            value, kind, cores, size, text = templates.of(texts_of(batch))
+            value, kind, core, size, text = templates.of(texts_of(batch))
             first = np.cumsum(size) - size
             for width in widths:
                 starts, hashes = windows(value, kind, text, width)
@@ -155,7 +170,7 @@ def _window_rows(keys: pa.Schema, passing, widths: tuple[int, ...]):
                     continue
                 row = text[starts]
                 slots = [
-                    [f"{k - s}:{kind[k]}:{cores[k]}" for k in range(s, s + width) if kind[k] != _PLAIN]
+                    [f"{k - s}:{kind[k]}:{core(k)}" for k in range(s, s + width) if kind[k] != _PLAIN]
                     for s in starts.tolist()
                 ]
                 made = [
