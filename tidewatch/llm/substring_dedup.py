@@ -42,7 +42,7 @@ WINDOW, GRAM = 13, 3
 #: Text bytes of a shard, and windows of a segment at most.
 SHARD_BYTES, SEGMENT_WINDOWS = 8_000_000, 64
 #: Text bytes of a batch, whose segments are packed together, and effort of packing.
-BATCH_BYTES, EFFORT = 16_000_000, 5
+BATCH_BYTES, EFFORT = 8_000_000, 9
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
