@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.config import RiskConfig
 from tidewatch.operators import tokens
 from tidewatch.plans.risk_run import RiskRun
 from tidewatch.streaming.batch_log import BatchLog
@@ -62,11 +63,11 @@ def test_replayed_batches_change_nothing(spark, sample, tmp_path):
 
 def test_withdrawn_finding(spark, sample, tmp_path):
     """A customer who recovers leaves the findings."""
-    falling = sample.where("id IN (17, 18, 19, 20)")
+    falling = sample.where("id IN (15, 16, 17, 18)")
     monitor = RiskMonitor(spark, str(tmp_path / "state"))
     monitor.absorb(falling, 0)
     assert len(current(monitor)) == 1
-    makeup = falling.where("id = 20").withColumns({"id": F.lit(21).cast("bigint"), "quantity": F.lit(300)})
+    makeup = falling.where("id = 18").withColumns({"id": F.lit(99).cast("bigint"), "quantity": F.lit(300)})
     monitor.absorb(makeup, 1)
     assert current(monitor) == set()
 
@@ -124,3 +125,12 @@ def test_hot_key_is_spread_before_it_is_counted(spark, tmp_path):
     query.awaitTermination()
     kept = spark.read.parquet(str(tmp_path / "out"))
     assert kept.count() == kept.distinct().count() == 2001
+
+
+def test_restart_with_other_settings_is_refused(spark, tmp_path):
+    path = str(tmp_path / "state")
+    RiskMonitor(spark, path, buckets=4)
+    RiskMonitor(spark, path, buckets=4)
+    for other in ({"buckets": 7}, {"buckets": 4, "compact_every": 3}, {"buckets": 4, "config": RiskConfig(period="month")}):
+        with pytest.raises(ValueError, match="was made with buckets=4, compact_every=20"):
+            RiskMonitor(spark, path, **other)

@@ -41,6 +41,7 @@ _NAMES = T.StructType(
 )
 # Healthy customers are logged too, without a type, to withdraw old findings.
 _FINDINGS = T.StructType([*FINDING.fields, T.StructField("batch_id", T.LongType())])
+_SETTINGS = "name string, value string"
 _PROGRESS = T.StructType(
     [T.StructField("batch_id", T.LongType()), T.StructField("last_token", T.LongType())]
 )
@@ -86,6 +87,8 @@ class RiskMonitor:
     A batch reads period sums, never old sales, and of those only the buckets
     of the customers it touches. Set ``buckets`` so high that a usual batch
     touches a small part of them; each batch writes one file per bucket touched.
+    Buckets, compaction, prefix and period are kept with the state: a restart
+    with other values is refused.
     """
 
     def __init__(
@@ -99,6 +102,7 @@ class RiskMonitor:
         if config.grain or config.fill_empty_periods:
             raise ValueError("the monitor works on customers and on observed periods")
         self.spark, self.directory, self.config = spark, directory.rstrip("/"), config
+        self._bind(buckets=buckets, compact_every=compact_every, prefix=config.prefix, period=config.period)
 
         def log(name: str, schema: T.StructType, merge, key: str | None = None) -> BatchLog:
             path = f"{self.directory}/{name}"
@@ -111,6 +115,21 @@ class RiskMonitor:
         self.results = log("findings", _FINDINGS, _latest)
         self.rejects = log("errors", ERROR, lambda df: df)
 
+    def _bind(self, **settings) -> None:
+        """Keep what the state is laid out by beside it, and refuse other values later."""
+        path = f"{self.directory}/settings"
+        rows = sorted((name, str(value)) for name, value in settings.items())
+        try:
+            known = self.spark.read.schema(_SETTINGS).parquet(path).collect()
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.spark.createDataFrame(rows, _SETTINGS).coalesce(1).write.parquet(path)
+            return
+        if sorted(map(tuple, known)) != rows:
+            kept = ", ".join(f"{name}={value}" for name, value in sorted(map(tuple, known)))
+            raise ValueError(f"the state in {self.directory} was made with {kept}")
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run on ``stream``. ``trigger`` is passed on; by default the query
         takes what is there and stops."""
@@ -128,12 +147,14 @@ class RiskMonitor:
             log.compact_before(batch_id)
 
         batch = batch.persist()
-        valid, rejected = quality.enforce_contract(batch)
-        self.rejects.write(quality.as_errors(rejected, "load", F.col("id")), batch_id)
-        new = self.totals.write(
-            period_totals(valid, ["customer_name"], self.config.period, "id"), batch_id
-        )
-        batch.unpersist()
+        try:
+            valid, rejected = quality.enforce_contract(batch)
+            self.rejects.write(quality.as_errors(rejected, "load", F.col("id")), batch_id)
+            new = self.totals.write(
+                period_totals(valid, ["customer_name"], self.config.period, "id"), batch_id
+            )
+        finally:
+            batch.unpersist()
 
         hit = self.totals.buckets_of(batch_id)
         touched = new.groupBy("customer_name").agg(F.min("first_key").alias("first_key"))
