@@ -17,6 +17,7 @@ from tidewatch.llm import (
     substring_dedup,
     token_output,
 )
+from tidewatch.llm.oracle import ORACLE as ORACLE
 from tidewatch.llm.shared import table
 
 
@@ -86,4 +87,3 @@ QUERIES = {
         op10_elias_fano_output,
     )
 }
-ORACLE: dict[str, str] = {}
