@@ -16,7 +16,8 @@ Base kinds, with the results of their patterns (leftmost, not overlapping):
 Further kinds, each validated, so that plain prose yields none:
 
     login     a scheme followed by ``user:password@host``
-    iban      the word IBAN, then a country's account number, checked modulo 97
+    iban      the word IBAN, then a country's account number, checked modulo 97;
+              capital words right after it do not belong to it
     national  the words SSN or NINO, then a number of that form
 
 Defined results: a null or empty text has no spans; offsets are code points with
@@ -49,6 +50,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?")
 _IBAN = re.compile(r"[\s:#]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+#: Characters of an account number by country; other countries go by modulo 97 alone.
+_IBAN_LENGTHS = {
+    name[:2]: int(name[2:])
+    for name in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18"
+        " FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20"
+        " LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24"
+        " SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 _NATIONAL = re.compile(r"[\s:#]*([0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} ?(?:[0-9]{2} ?){3}[A-D])(?![A-Za-z0-9])")
 _CUES = {
     "@": "email",
@@ -74,6 +85,14 @@ def _iban_valid(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _account_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number in a run ends: at its country's length if valid there, else at the last valid gap."""
+    ends = [end, *(at for at in range(end - 1, start, -1) if text[at] == " ")]
+    wanted = _IBAN_LENGTHS.get(text[start : start + 2])
+    ends.sort(key=lambda at: at - start - text.count(" ", start, at) != wanted)
+    return next((at for at in ends if _iban_valid(text[start:at])), None)
+
+
 def cue_automaton():
     """The anchors; longer cues that end in the same place come as well."""
     import ahocorasick
@@ -134,8 +153,12 @@ def find_spans(text: str, cues) -> list[Span]:
                 continue
             pattern, number = (_IBAN, 5) if kind == "iban" else (_NATIONAL, 6)
             match = pattern.match(text, last + 1)
-            if match and (number == 6 or _iban_valid(match[1])):
-                spans.append((match.start(1), number, match.end(1)))
+            if match:
+                start, end = match.span(1)
+                if number == 5:
+                    end = _account_end(text, start, end)
+                if end is not None:
+                    spans.append((start, number, end))
     spans.sort()
     return spans
 
