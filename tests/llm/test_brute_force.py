@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     bpe,
@@ -268,6 +269,38 @@ def test_ratios(spark):
     assert np.isclose(sorted(ratios)[0], np.log(1 / (5 + n)) - np.log(2 / (6 + n)))
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_rules_at_every_size(spark, size):
+    """Labels of a fold are withheld; verdicts on them, and the share dropped, do not go with the table's size."""
+    if not __import__("os").path.exists(f"/root/testdata/{size}"):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{name}.parquet") for name in ("documents", "labels"))
+    withheld = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    rows = quality_rules.apply_rules(docs, labels.where(~withheld)).where("NOT base_failed").collect()
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    apart = {r["doc_id"] for r in labels.where(withheld).collect()}
+    good = [r["kept"] for r in rows if r["doc_id"] in apart and quality[r["doc_id"]] == 1]
+    assert np.mean(good) > 0.93
+    dropped = np.mean([not r["kept"] for r in rows if r["doc_id"] not in quality])
+    assert dropped < 0.2
+    if size != "sf0.001":  # there a handful of bad labels sets the cut, and most bad documents are kept
+        assert 0.05 < dropped
+        assert np.mean([r["kept"] for r in rows if r["doc_id"] in apart and quality[r["doc_id"]] == 0]) < 0.35
+
+
+def test_own_words_do_not_count(spark):
+    shared = " ".join(f"w{n % 40}x{n}" for n in range(60))
+    texts = [(1, shared + " a"), (2, shared + " b"), (3, " ".join(f"alone{n}" for n in range(60)))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    one = spark.createDataFrame([(3, 1)], "doc_id bigint, quality int")
+    three = {r["doc_id"]: r["score"] for r in quality_rules.apply_rules(docs, one).collect()}
+    assert three[3] == -quality_rules.LOWEST  # no other document is trusted
+    judged = [(0.5, 1), (0.4, 1), (-0.2, 0), (-0.6, 1), (-0.9, 0), (-0.9, 0)]
+    frame = spark.createDataFrame(judged, "mean double, quality int")
+    assert abs(quality_rules.best_cut(frame).first()["cut"] + 0.75) < 0.01
+    assert quality_rules.best_cut(frame.where("quality = 0")).first()["cut"] == quality_rules.LOWEST
+
+
 # --- tokens ---------------------------------------------------------------------
 
 

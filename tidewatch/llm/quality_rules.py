@@ -1,21 +1,34 @@
 """Selection by the log-likelihood ratio of hashed n-grams, in DataFrame functions only.
 
 Words and word pairs of every text fall into hash bins. Two multinomials over
-the bins are estimated: one from all documents (raw), one from the trusted ones
-(labelled with quality 1). A document's score is the mean over its n-grams of
-``log p_trusted - log p_raw``; it is kept if the score reaches a fixed threshold
-and the base rules hold.
+the bins are counted: one from all documents (raw), one from the trusted ones
+(labelled with quality 1). A document's mean is the mean over its n-grams of
+``log p_trusted - log p_raw``, where its own n-grams are taken out of both
+counts, so a labelled document is judged as any other. The trusted share of a
+bin is drawn to the trusted share of all n-grams with the weight of PRIOR
+n-grams; a bin that no other document has so adds nothing.
+
+The cut is the one with the fewest errors on all labelled documents that pass
+the base rules (in the middle of its gap, the lowest if several are as good).
+The score is the mean less the cut; a document is kept if the score reaches the
+threshold 0 and the base rules hold. So size and mix of a table move no verdict
+by a fixed number.
 
 Two passes over the texts. The first sums n-grams per bin before its shuffle, so
 at most one row for each bin and task moves. The second needs no shuffle: the
-ratios are one array of fixed length, read as a scalar subquery.
+counts are arrays of fixed length, read as a scalar subquery, and each document
+gets its mean both as a trusted and as another one. Its rows, without texts, are
+written once; labels meet those. The cut is found from counts per step of the
+mean, of which there are a fixed number at most.
 
 Word windows are compared by 64-bit hashes within one document.
 
 Defined results: a null text has no words, so it fails the base rules; a
-document without n-grams has score 0; missing or null labels are not trusted; if
-several labels of one document differ, one with quality 1 decides; equal rows
-give equal rows; an empty table gives no rows; other columns are not used.
+document without n-grams, or without other trusted ones, has mean 0; missing or
+null labels are not trusted; if several labels of one document differ, one with
+quality 1 decides; without labels of both qualities the cut is LOWEST, so only
+base rules drop; equal rows give equal rows; an empty table gives no rows;
+other columns are not used.
 """
 
 from __future__ import annotations
@@ -23,8 +36,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash bins, pseudo-count of a bin, and the score from which documents are kept.
-BINS, PSEUDO, THRESHOLD = 1 << 16, 1.0, -0.12
+from tidewatch.sources.storage import store
+
+#: Hash bins, and the score (mean less cut) from which documents are kept.
+BINS, THRESHOLD = 1 << 16, 0.0
+#: N-grams that the overall trusted share weighs in a bin; pseudo-count of ``bin_ratios``.
+PRIOR, PSEUDO = 3.0, 1.0
+#: Steps of the mean per unit in the search for the cut, and a cut below every mean.
+STEPS, LOWEST = 2000, -100.0
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -56,13 +75,16 @@ def bin_of(value: Column) -> Column:
     return F.pmod(value, F.lit(BINS)).cast("int")
 
 
-def bin_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with ``ratios``: the log ratio of each bin, from all documents."""
-    trusted = labels.groupBy("doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("trusted"))
-    # Labels grow with the corpus, so the join is one that grows in proportion at every size.
-    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left")
+def _by_document(labels: DataFrame) -> DataFrame:
+    """doc_id, quality; labels grow with the corpus, so the join is one that grows in proportion at every size."""
+    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).hint("merge")
+
+
+def bin_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: ``raw`` and ``trusted`` n-grams of each bin, and their sums."""
+    marked = docs.select("doc_id", "text").join(_by_document(labels), "doc_id", "left")
     grams = hashed_words(marked).select(
-        F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"), F.explode(F.concat("h1", "h2")).alias("gram")
+        F.coalesce("quality", F.lit(0)).cast("long").alias("trusted"), F.explode(F.concat("h1", "h2")).alias("gram")
     )
     counts = grams.groupBy(bin_of(F.col("gram")).alias("bin")).agg(
         F.count("*").alias("raw"), F.sum("trusted").alias("trusted")
@@ -74,21 +96,88 @@ def bin_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("raw", F.lit(0)).alias("raw"),
         F.coalesce("trusted", F.lit(0)).alias("trusted"),
     )
-    arrays = full.agg(
+    return full.agg(
         F.array_sort(F.collect_list(F.struct("bin", "raw", "trusted"))).alias("bins"),
         F.sum("raw").alias("all_raw"),
         F.sum("trusted").alias("all_trusted"),
+    ).select(
+        F.col("bins")["raw"].cast("array<double>").alias("raw"),
+        F.col("bins")["trusted"].cast("array<double>").alias("trusted"),
+        F.col("all_raw").cast("double").alias("all_raw"),
+        F.col("all_trusted").cast("double").alias("all_trusted"),
     )
+
+
+def bin_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row with ``ratios``: log ratios under flat pseudo-counts. Verdicts do not use them: they depend on table size."""
     mass = F.lit(PSEUDO * BINS)
     shift = F.ln(F.col("all_raw") + mass) - F.ln(F.col("all_trusted") + mass)
-    return arrays.select("bins", _once(shift).alias("shift")).select(
-        F.transform(
-            "bins",
-            lambda b: F.ln(b["trusted"] + F.lit(PSEUDO)) - F.ln(b["raw"] + F.lit(PSEUDO)) + F.col("shift"),
+    return bin_counts(docs, labels).select("raw", "trusted", _once(shift).alias("shift")).select(
+        F.zip_with(
+            "trusted", "raw", lambda t, r: F.ln(t + F.lit(PSEUDO)) - F.ln(r + F.lit(PSEUDO)) + F.col("shift")
         ).alias("ratios")
     )
 
 
+def _shares(n: Column, counts: Column) -> Column:
+    """Trusted share of all n-grams without the n own ones, of a document that is not trusted and of one that is."""
+    rest = counts["all_raw"] - n
+    return F.struct(
+        F.try_divide(counts["all_trusted"], rest).alias("other"),
+        F.try_divide(counts["all_trusted"] - n, rest).alias("trusted"),
+    )
+
+
+def _means(grams: Column, shares: Column, counts: Column) -> Column:
+    """Means ``other`` and ``trusted`` of sorted bins, of which the counts hold the own n-grams as well."""
+    n, kinds = F.size(grams).cast("double"), ("other", "trusted")
+
+    def with_run(state: Column) -> list[Column]:
+        """The sums with the run of equal bins that has just ended."""
+        at, own = state["bin"], state["n"]
+        held, raw = F.get(counts["trusted"], at), F.ln(F.get(counts["raw"], at) - own + PRIOR)
+        less = {"other": held, "trusted": F.greatest(held - own, F.lit(0.0))}
+        return [(state[k] + own * (F.ln(less[k] + PRIOR * shares[k]) - raw)).alias(k) for k in kinds]
+
+    def step(state: Column, at: Column) -> Column:
+        same = F.struct(state["bin"].alias("bin"), (state["n"] + 1.0).alias("n"), *[state[k].alias(k) for k in kinds])
+        return F.when(at == state["bin"], same).otherwise(
+            F.struct(at.alias("bin"), F.lit(1.0).alias("n"), *with_run(state))
+        )
+
+    start = F.struct(F.get(grams, F.lit(0)).alias("bin"), F.lit(0.0).alias("n"), *[F.lit(0.0).alias(k) for k in kinds])
+    sums = F.aggregate(grams, start, step, lambda state: F.struct(*with_run(state)))
+    return F.struct(
+        *[F.coalesce(F.try_divide(sums[k], n) - F.ln(shares[k]), F.lit(0.0)).alias(k) for k in kinds]
+    )
+
+
+def best_cut(judged: DataFrame) -> DataFrame:
+    """One row with ``cut``, from rows of ``mean`` and ``quality``."""
+    steps = judged.groupBy(F.floor(F.col("mean") * STEPS).alias("step")).agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")
+    )
+    one = steps.agg(
+        F.sort_array(F.collect_list(F.struct("step", "good", "bad"))).alias("steps"),
+        F.coalesce(F.sum("good"), F.lit(0)).alias("good"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+    )
+    places = F.transform("steps", lambda s, i: s.withField("next", F.get("steps", i + 1)["step"]))
+
+    def lower(state: Column, s: Column) -> Column:
+        errors = state["errors"] + s["good"] - s["bad"]
+        better = (errors < state["least"]) & s["next"].isNotNull()
+        return F.struct(
+            errors.alias("errors"),
+            F.when(better, errors).otherwise(state["least"]).alias("least"),
+            F.when(better, (s["step"] + 1 + s["next"]).cast("double") / (2.0 * STEPS)).otherwise(state["cut"]).alias("cut"),
+        )
+
+    nothing = F.struct(F.col("bad").alias("errors"), F.col("bad").alias("least"), F.lit(LOWEST).alias("cut"))
+    found = F.aggregate(places, nothing, lower, lambda state: state["cut"])
+    return one.select(F.when(F.col("good") > 0, found).otherwise(F.lit(LOWEST)).alias("cut"))
+
+
 def _repeated_words(rows: DataFrame) -> DataFrame:
     """Add n_repeat_words: words in 3-word windows that the text holds twice or more."""
     most = F.greatest(F.size("h1") - 2, F.lit(0))
@@ -122,33 +211,33 @@ def _repeated_words(rows: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base figures, score and verdict of every document."""
-    spark = docs.sparkSession
-    ratios = bin_ratios(docs, labels).scalar()
+    counts = bin_counts(docs, labels).select(F.struct("raw", "trusted", "all_raw", "all_trusted")).scalar()
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     hashed = _repeated_words(hashed_words(docs.select("doc_id", "text"))).withColumn("lines", _once(lines))
-
-    def total(grams: str) -> Column:
-        return F.aggregate(grams, F.lit(0.0), lambda s, h: s + F.get(F.col("ratios"), bin_of(h)))
-
-    n_words = F.size("words").cast("long")
-    scored = hashed.select(
+    grams = F.sort_array(F.transform(F.concat("h1", "h2"), bin_of))
+    figures = hashed.select(
         "doc_id",
-        n_words.alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        "h1",
-        "h2",
-        ratios.alias("ratios"),
-    ).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((total("h1") + total("h2")) / F.greatest(F.size("h1") + F.size("h2"), F.lit(1))).alias("score"),
-    )
+        _once(grams).alias("grams"),
+    ).withColumn("shares", _once(_shares(F.size("grams").cast("double"), counts)))
+    # The counts come after the last generator, which would copy them with every row.
+    means = _means(F.col("grams"), F.col("shares"), F.col("counts"))
+    scored = figures.withColumn("counts", counts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", means.alias("means")
+    )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select(
+    # Rows without texts: the labels meet these, so texts move once only.
+    written = store(scored.withColumn("base_failed", failed), "rule-means")
+    mean = F.when(F.col("quality") == 1, F.col("means")["trusted"]).otherwise(F.col("means")["other"])
+    meant = written.join(_by_document(labels), "doc_id", "left").withColumn("mean", mean)
+    cut = best_cut(meant.where(~F.col("base_failed") & F.col("quality").isNotNull())).scalar()
+    return meant.withColumn("score", F.col("mean") - cut).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (F.col("score") >= threshold)).alias("kept"),
+        "base_failed",
+        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"),
         "score",
     )
