@@ -8,6 +8,14 @@ and item on one diagonal (document position less item position) are then put
 together, and slots are compared: a value of the item must stand for one value
 throughout, and two different names may not become one. An item that was given
 other numbers or names so is still found; chance meetings of templates are not.
+Windows whose slots are equal always count. If a value stands both for itself and
+for another one, only windows with the other one go; if it stands for two others,
+all changed windows of the diagonal go.
+
+Each window has up to three forms, all hashed alike and joined together: with all
+placeholders; with names as lower-cased words; and with no placeholder at all. The
+first two need PLAIN_WORDS plain words, the last none. So a copy in other case, or
+one of numbers and names alone, is found by its words.
 
 A document is contaminated by an item if consistent diagonals cover 13 template
 words of the item, or half of an item that has fewer than 26.
@@ -63,21 +71,23 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def template_word(word: bytes) -> tuple[int, int, str] | None:
-    """Kind, hash and plain form of a word; None if only punctuation is in it."""
+def template_word(word: bytes) -> tuple[int, int, int, int, str] | None:
+    """Kind and hash, kind and hash without regard to case, and folded form; None if only punctuation is in it."""
     core = word.decode("utf-8", "replace").strip(_EDGES)
     if not core:
         return None
-    low = core.lower()
+    low, folded = core.lower(), core.casefold()
+    own = xxhash.xxh64_intdigest(folded.encode())
     if core[0].isdigit() or low in NUMBER_WORDS:
-        kind, text = _NUMBER, "\x00number"
-    elif len(core) > 1 and core[0].isupper() and core[1:] == low[1:]:
-        kind, text = _NAME, "\x00name"
-    else:
-        kind, text = (_UNIT if low in UNITS else _PLAIN), low
-    return kind, xxhash.xxh64_intdigest(text.encode()), core
+        return _NUMBER, _NUMBER_HASH, _NUMBER, _NUMBER_HASH, folded
+    plain = _UNIT if low in UNITS else _PLAIN
+    if len(core) > 1 and core[0].isupper() and core[1:] == low[1:]:
+        return _NAME, _NAME_HASH, plain, own, folded
+    return plain, own, plain, own, folded
 
 
+_NUMBER_HASH = xxhash.xxh64_intdigest(b"\x00number")
+_NAME_HASH = xxhash.xxh64_intdigest(b"\x00name")
 _UNIT_HASH = xxhash.xxh64_intdigest(b"\x00unit")
 
 
@@ -90,18 +100,23 @@ class Templates:
 
     def reset(self):
         self.number: dict[bytes, int] = {}
-        self.hash, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+        self.folded: list[str] = []
+        # With names, without names, and the words themselves.
+        self.hash, self.kind = np.zeros((3, 1024), np.uint64), np.zeros((3, 1024), np.int8)
 
     def add(self, words: list[bytes]) -> None:
-        while len(self.hash) < len(self.number) + len(words):
-            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
-            self.kind = np.concatenate([self.kind, np.zeros_like(self.kind)])
+        while self.hash.shape[1] < len(self.number) + len(words):
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)], axis=1)
+            self.kind = np.concatenate([self.kind, np.zeros_like(self.kind)], axis=1)
         for n, word in enumerate(words, len(self.number)):
             self.number[word] = n
-            self.kind[n], self.hash[n], _ = template_word(word) or (-1, 0, "")
+            kind, value, bare_kind, bare_value, folded = template_word(word) or (-1, 0, -1, 0, "")
+            own = xxhash.xxh64_intdigest(folded.encode())
+            self.kind[:, n], self.hash[:, n] = (kind, bare_kind, _PLAIN), (value, bare_value, own)
+            self.folded.append(folded)
 
     def of(self, texts: list[str]):
-        """Hashes and kinds of all template words in order, the words, words and number of each text."""
+        """Hashes and kinds by form of all template words in order, their folded forms, words and number of each text."""
         split = [split_words(text) for text in texts]
         held = set().union(*split)
         if len(self.number) + len(held.difference(self.number)) > self.limit:
@@ -109,32 +124,40 @@ class Templates:
         self.add(list(held.difference(self.number)))
         words = list(chain.from_iterable(split))
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        kept = np.flatnonzero(self.kind[numbers] >= 0)
+        kept = np.flatnonzero(self.kind[0, numbers] >= 0)
         numbers = numbers[kept]
         text = np.repeat(np.arange(len(texts)), [len(some) for some in split])[kept]
-        value, kind = self.hash[numbers], self.kind[numbers]
-        unit = kind == _UNIT
-        counted = np.zeros(len(kind), bool)
-        counted[1:] = (kind[:-1] == _NUMBER) & (text[:-1] == text[1:])
-        value[unit & counted] = _UNIT_HASH
-        kind[unit & ~counted] = _PLAIN
-        return value, kind, lambda n: template_word(words[kept[n]])[2], np.bincount(text, minlength=len(texts)), text
+        value, kind = self.hash[:, numbers], self.kind[:, numbers]
+        for form in (0, 1):
+            unit = kind[form] == _UNIT
+            counted = np.zeros(len(numbers), bool)
+            counted[1:] = (kind[form, :-1] == _NUMBER) & (text[:-1] == text[1:])
+            value[form, unit & counted] = _UNIT_HASH
+            kind[form, unit & ~counted] = _PLAIN
+        return value, kind, lambda n: self.folded[numbers[n]], np.bincount(text, minlength=len(texts)), text
 
 
 def windows(value: np.ndarray, kind: np.ndarray, text: np.ndarray, width: int):
-    """Starts and hashes of the windows that lie in one text and hold enough plain words."""
-    count = len(value) - width + 1
+    """Starts, hashes and forms of the windows that lie in one text; equal forms of a window come once."""
+    count = value.shape[1] - width + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total, factor = np.zeros(count, np.uint64), 1
-    for k in range(width):
-        total += value[k : k + count] * np.uint64(factor)
-        factor = factor * _BASE & _ALL
-    plain = np.concatenate([[0], np.cumsum(kind == _PLAIN)])
-    held = plain[width:] - plain[:-width]
-    good = (text[:count] == text[width - 1 :]) & (held >= min(PLAIN_WORDS, width))
-    starts = np.flatnonzero(good)
-    return starts, _mixed(total[starts] + np.uint64(width))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = text[:count] == text[width - 1 :]
+    earlier, found = [], []
+    for form in range(3):
+        total, factor = np.zeros(count, np.uint64), 1
+        for k in range(width):
+            total += value[form, k : k + count] * np.uint64(factor)
+            factor = factor * _BASE & _ALL
+        plain = np.concatenate([[0], np.cumsum(kind[form] == _PLAIN)])
+        good = inside & (plain[width:] - plain[:-width] >= min(PLAIN_WORDS, width))
+        new = good.copy()
+        for others, there in earlier:
+            new &= ~(there & (others == total))
+        earlier.append((total, good))
+        starts = np.flatnonzero(new)
+        found.append((starts, _mixed(total[starts] + np.uint64(width)), np.full(len(starts), form)))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 _COLUMNS = "hash bigint, at int, width int, words int, slots array<string>"
@@ -158,20 +181,20 @@ def _window_rows(keys: pa.Schema, passing, widths: tuple[int, ...]):
             value, kind, core, size, text = templates.of(texts_of(batch))
             first = np.cumsum(size) - size
             for width in widths:
-                starts, hashes = windows(value, kind, text, width)
+                starts, hashes, forms = windows(value, kind, text, width)
                 if bits is not None:
                     place = hashes >> np.uint64(64 - FILTER_BITS)
                     held = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    starts, hashes = starts[held], hashes[held]
+                    starts, hashes, forms = starts[held], hashes[held], forms[held]
                 elif width < WINDOW:  # only items of just that length
                     short = size[text[starts]] == width
-                    starts, hashes = starts[short], hashes[short]
+                    starts, hashes, forms = starts[short], hashes[short], forms[short]
                 if not len(starts):
                     continue
                 row = text[starts]
                 slots = [
-                    [f"{k - s}:{kind[k]}:{core(k)}" for k in range(s, s + width) if kind[k] != _PLAIN]
-                    for s in starts.tolist()
+                    [f"{k - s}:{kind[form, k]}:{core(k)}" for k in range(s, s + width) if kind[form, k] != _PLAIN]
+                    for s, form in zip(starts.tolist(), forms.tolist())
                 ]
                 made = [
                     pa.array(hashes.view(np.int64)),
@@ -229,22 +252,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.zip_with(
         "item_slots",
         "slots",
-        lambda a, b: F.struct(F.regexp_replace(a, "^[0-9]+:", "").alias("item"), F.regexp_replace(b, "^[0-9]+:[0-9]:", "").alias("doc")),
+        lambda a, b: F.struct(F.regexp_replace(a, "^[0-9]+:", "").alias("item"), F.regexp_replace(b, "^[0-9]+:", "").alias("doc")),
     )
-    # A diagonal has as many windows as the item has words at most.
+    # A diagonal has at most three times as many windows as the item has words.
     diagonal = met.groupBy("doc_id", "text_key", "item_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
-        F.max("words").alias("words"),
-        F.array_distinct(
-            F.flatten(F.collect_set(F.sequence(F.col("item_at"), F.col("item_at") + F.col("width") - 1)))
-        ).alias("covered"),
-    )
-    names = F.filter("pairs", lambda p: p["item"].startswith(f"{_NAME}:"))
-    one_value = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    apart = F.size(F.array_distinct(F.transform(names, lambda p: p["doc"]))) == F.size(names)
-    same = F.size(F.filter("pairs", lambda p: F.regexp_replace(p["item"], "^[0-9]:", "") != p["doc"])) == 0
+        F.collect_set(F.struct("item_at", "width", pairs.alias("pairs"))).alias("windows"), F.max("words").alias("words")
+    ).withColumn("pairs", F.array_distinct(F.flatten(F.col("windows")["pairs"])))
+
+    def itself(p: Column) -> Column:
+        return p["item"] == p["doc"]
+
+    def rival(p: Column, q: Column) -> Column:
+        two_names = p["item"].startswith(f"{_NAME}:") & q["item"].startswith(f"{_NAME}:")
+        return (p["item"] == q["item"]) | (two_names & (p["doc"] == q["doc"]))
+
+    clashing = F.filter("pairs", lambda p: ~itself(p) & F.exists("pairs", lambda q: (p != q) & rival(p, q)))
+    held = diagonal.withColumn("clashing", clashing).withColumn(
+        "broken",
+        F.exists("clashing", lambda p: ~F.exists("pairs", lambda q: itself(q) & rival(p, q))),
+    )
+    counted = F.filter(
+        "windows",
+        lambda w: F.forall(w["pairs"], itself)
+        | (~F.col("broken") & ~F.arrays_overlap(w["pairs"], F.col("clashing"))),
+    )
+    covered = F.array_distinct(
+        F.flatten(F.transform(counted, lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1)))
+    )
     per_item = (
-        diagonal.where((one_value & apart) | same)
+        held.withColumn("covered", covered)
         .groupBy("doc_id", "text_key", "item_id", "item")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
