@@ -21,4 +21,33 @@ kept AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)""",
+    "op12_shared_sum_search": r"""WITH split AS (
+  SELECT doc_id, row_number() OVER () AS place, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+corpus AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS terms FROM split WHERE len(terms) > 0),
+lengths AS (
+  SELECT place, 10 + (90 * CAST(len(split.terms) AS BIGINT) * docs) // corpus.terms AS m FROM split, corpus),
+spread AS (SELECT doc_id, place, unnest(terms) AS term FROM split),
+counted AS (
+  SELECT doc_id, place, term, count(*) AS tf FROM spread
+  WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, place, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counted, corpus GROUP BY term),
+summands AS (
+  SELECT doc_id, place, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part
+  FROM counted JOIN weights USING (term) JOIN lengths USING (place)),
+scored AS (
+  SELECT item_id, doc_id, place, CAST(sum(part) AS BIGINT) AS score
+  FROM wanted JOIN summands USING (term) GROUP BY item_id, doc_id, place HAVING sum(part) > 0),
+ranked AS (
+  SELECT item_id, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }

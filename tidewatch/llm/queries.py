@@ -10,11 +10,13 @@ from tidewatch.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    lexical_search,
     pii,
     quality_classifier,
     quality_rules,
     sharding,
     substring_dedup,
+    token_counts,
     token_output,
 )
 from tidewatch.llm.oracle import ORACLE as ORACLE
@@ -28,6 +30,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,14 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_shared_sum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pre_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +101,7 @@ QUERIES = {
         op8_template_decontamination,
         op9_hash_tree_sharding,
         op10_elias_fano_output,
+        op12_shared_sum_search,
+        op13_pre_token_counts,
     )
 }
