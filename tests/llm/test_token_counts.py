@@ -61,7 +61,7 @@ def test_no_rows(nothing, path):
 
 def test_bound_of_the_frequent_table(spark):
     rows = [(f"w{n}", 2 ** (n // 10), 1) for n in range(100)] + [("x" * 40, 10_000, 9)]
-    words = spark.createDataFrame(rows, "piece string, docs bigint, n bigint")
+    words = spark.createDataFrame(rows, "piece string, times bigint, n bigint")
     sizes, bound = token_counts.frequent_sizes(words, 35)
     assert len(sizes) == 30 and bound == 2**7 and "x" * 40 not in sizes
     assert len(token_counts.frequent_sizes(words, 1000)[0]) == 100

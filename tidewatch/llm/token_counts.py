@@ -3,8 +3,8 @@
 A byte-level BPE never merges across pre-tokens, so the number of ids of a text
 is the sum over its pre-tokens. The work therefore goes by distinct pre-tokens:
 
-1. every task counts in how many documents each of its pre-tokens stands; the
-   sums of all tasks are the vocabulary of the corpus
+1. every task counts how often each of its pre-tokens stands; the sums of all
+   tasks are the vocabulary of the corpus
 2. the pieces of each distinct pre-token are counted once, and stored
 3. the pre-token frequencies of a document meet these counts: frequent
    pre-tokens in a table that all tasks hold, all others in an equality join
@@ -81,20 +81,25 @@ class PreTokens:
         self._special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         return self
 
-    def frequencies(self, text: str) -> Counter:
-        """Frequency of each pre-token; special strings stand as they are."""
-        found: Counter = Counter()
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """Pre-tokens in parts of bounded size; special strings stand as they are."""
         held = self._special and any(name in text for name in self.special)
         for part in self._special.split(text) if held else [text]:
             if held and part in self.special:
-                found[part] += 1
+                yield [part]
                 continue
             start = 0
             while start < len(part):
                 cut = _CUT.search(part, start + _PART)
                 end = cut.end() if cut else len(part)
-                found.update(self._split(part[start:end]))
+                yield self._split(part[start:end])
                 start = end
+
+    def frequencies(self, text: str) -> Counter:
+        """Frequency of each pre-token."""
+        found: Counter = Counter()
+        for part in self.parts(text):
+            found.update(part)
         return found
 
     def _split(self, part: str) -> list[str]:
@@ -107,57 +112,58 @@ class PreTokens:
         return [len(e.ids) for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
 
-def _documents_of_pre_tokens(split: PreTokens):
-    schema = pa.schema([("piece", pa.string()), ("docs", pa.int64())])
+def _count_pre_tokens(split: PreTokens):
+    schema = pa.schema([("piece", pa.string()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = split.ready(), Counter()
         for batch in pieces(batches):
             for text in texts_of(batch):
-                held.update(words.frequencies(text).keys())
+                for part in words.parts(text):
+                    held.update(part)
                 if len(held) >= _HELD:
-                    yield pa.RecordBatch.from_pydict({"piece": list(held), "docs": list(held.values())}, schema)
+                    yield pa.RecordBatch.from_pydict({"piece": list(held), "times": list(held.values())}, schema)
                     held = Counter()
         if held:
-            yield pa.RecordBatch.from_pydict({"piece": list(held), "docs": list(held.values())}, schema)
+            yield pa.RecordBatch.from_pydict({"piece": list(held), "times": list(held.values())}, schema)
 
     return run
 
 
 def _count_pieces(split: PreTokens):
-    schema = pa.schema([("piece", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("piece", pa.string()), ("times", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = split.ready()
         for batch in pieces(batches, "piece"):
             known = batch.column("piece")
             sizes = pa.array(words.sizes(known.to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([known, batch.column("docs"), sizes], schema=schema)
+            yield pa.RecordBatch.from_arrays([known, batch.column("times"), sizes], schema=schema)
 
     return run
 
 
 def vocabulary(docs: DataFrame, split: PreTokens) -> DataFrame:
-    """``piece, docs, n``: each distinct pre-token, the documents that hold it and its number of pieces."""
-    held = docs.select("text").mapInArrow(_documents_of_pre_tokens(split), "piece string, docs bigint")
-    distinct = held.groupBy("piece").agg(F.sum("docs").alias("docs"))
-    return store(distinct.mapInArrow(_count_pieces(split), "piece string, docs bigint, n bigint"), "pre-tokens")
+    """``piece, times, n``: each distinct pre-token, how often it stands in the corpus, its number of pieces."""
+    held = docs.select("text").mapInArrow(_count_pre_tokens(split), "piece string, times bigint")
+    distinct = held.groupBy("piece").agg(F.sum("times").alias("times"))
+    return store(distinct.mapInArrow(_count_pieces(split), "piece string, times bigint, n bigint"), "pre-tokens")
 
 
 def frequent_sizes(words: DataFrame, most: int) -> tuple[dict[str, int], int]:
-    """Pieces of the most frequent pre-tokens, and from how many documents on a pre-token is one.
+    """Pieces of the most frequent pre-tokens, and how often a pre-token must stand to be one.
 
     The bound comes from a histogram over powers of two, so the driver gets at most ``most`` rows.
     """
     short = words.where(F.length("piece") <= FREQUENT_LETTERS)
-    level = F.floor(F.log2("docs")).cast("int")
+    level = F.floor(F.log2("times")).cast("int")
     held, bound = 0, 1
     for row in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         held += row["count"]
         if held > most:
             bound = 2 ** (row["level"] + 1)
             break
-    rows = short.where(F.col("docs") >= bound).select("piece", "n").toArrow()
+    rows = short.where(F.col("times") >= bound).select("piece", "n").toArrow()
     return dict(zip(rows.column("piece").to_pylist(), rows.column("n").to_pylist())), bound
 
 
@@ -214,7 +220,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: in
     )
     kinds = "row bigint, doc_id bigint, n_bytes bigint, known bigint, piece string, times bigint"
     rows = texts.mapInArrow(_document_rows(split, sent), kinds)
-    others = words.where((F.col("docs") < bound) | (F.length("piece") > FREQUENT_LETTERS)).select("piece", "n")
+    others = words.where((F.col("times") < bound) | (F.length("piece") > FREQUENT_LETTERS)).select("piece", "n")
     counted = F.col("known") + F.col("times") * F.coalesce("n", F.lit(0))
     summed = (
         rows.join(others, "piece", "left")
