@@ -50,4 +50,49 @@ ranked AS (
   SELECT item_id, doc_id, score,
     CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op11_screened_prefix_trie": r"""WITH crc_table AS (
+  SELECT list(value ORDER BY byte) AS crcs FROM (
+    SELECT byte, list_reduce([byte, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda crc, round: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END) AS value
+    FROM (SELECT CAST(range AS BIGINT) AS byte FROM range(256)))),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table),
+said AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, size, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
+  FROM said),
+sizes AS (SELECT conv_id, max(place) AS turns FROM own GROUP BY conv_id),
+rebuilt AS (
+  SELECT heads.conv_id, place AS depth, size, digest FROM heads JOIN own ON own.conv_id = base AND place <= h
+  UNION ALL
+  SELECT own.conv_id, least(h, coalesce(turns, 0)) + place - h, size, digest
+  FROM heads JOIN own ON own.conv_id = heads.conv_id AND place > h LEFT JOIN sizes ON sizes.conv_id = base),
+listed AS (
+  SELECT conv_id, depth, size, list(digest) OVER (PARTITION BY conv_id ORDER BY depth) AS digests FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, size, array_to_string(digests, ',') AS node, array_to_string(digests[:-2], ',') AS parent
+  FROM listed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM heads),
+lasts AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+  FROM paths JOIN lasts USING (conv_id) GROUP BY node),
+families AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT DISTINCT tops.node, lower.node AS other
+  FROM paths AS tops JOIN paths AS lower ON lower.conv_id = tops.conv_id AND lower.depth >= tops.depth),
+subtrees AS (
+  SELECT below.node, count(*) FILTER (families.node IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM below JOIN nodes ON nodes.node = other LEFT JOIN families ON families.node = other GROUP BY below.node)
+SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, nodes.n_convs,
+  coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN subtrees USING (node) LEFT JOIN families USING (node) LEFT JOIN nodes AS above ON above.node = nodes.parent""",
 }

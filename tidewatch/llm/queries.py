@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     bpe,
+    conversation_trie,
     decontamination,
     jaccard_join,
     language_id,
@@ -80,6 +81,10 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_screened_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_shared_sum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +106,7 @@ QUERIES = {
         op8_template_decontamination,
         op9_hash_tree_sharding,
         op10_elias_fano_output,
+        op11_screened_prefix_trie,
         op12_shared_sum_search,
         op13_pre_token_counts,
     )
