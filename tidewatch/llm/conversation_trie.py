@@ -371,8 +371,12 @@ def _tails(screened: DataFrame) -> DataFrame:
 def _members(rows: DataFrame, root: int) -> DataFrame:
     """Where the own nodes of each conversation start, who owns the node before, its text so far, and its leaf."""
     ends_here = F.col("depth") == F.col("total")
-    nodes = rows.groupBy(*_NODE).agg(
-        F.min("conv_id").alias("owner"), F.count("*").alias("n"), F.count_if(ends_here).alias("n_ends")
+    # Stored, so that the rows of a node that very many share are a side of the join that Spark can split.
+    nodes = store(
+        rows.groupBy(*_NODE).agg(
+            F.min("conv_id").alias("owner"), F.count("*").alias("n"), F.count_if(ends_here).alias("n_ends")
+        ),
+        "nodes",
     )
     own = F.col("owner") == F.col("conv_id")
     foreign = F.when(~own, F.col("depth"))
