@@ -1,136 +1,230 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewatch.config import RiskConfig
 from tidewatch.operators import tokens
 from tidewatch.plans.risk_run import RiskRun
-from tidewatch.streaming.batch_log import BatchLog
-from tidewatch.streaming.monitor import RiskMonitor, count_once, sales_stream, use_disk_state
+from tidewatch.streaming.ids import _SPAN, count_once, packed, unpacked
+from tidewatch.streaming.monitor import RiskMonitor, latest, sales_stream, use_disk_state
 
 COLUMNS = ("customer_name", "risk_type", "severity", "metric_value")
+TEXTS = ("customer_name", "evidence", "strategy_title", "rationale", "action_steps", "body", "share_link", "queue")
 
 
-def expected(sample):
-    run = RiskRun(sample)
-    return {tuple(r) for r in tokens.unmask(run.findings, run.dictionary).select(*COLUMNS).collect()}
+def rows_of(df, columns):
+    return {tuple(map(str, row)) for row in df.select(*columns).collect()}
+
+
+def expected(sample, config=RiskConfig()):
+    run = RiskRun(sample, config)
+    return rows_of(tokens.unmask(run.findings, run.dictionary), COLUMNS)
 
 
 def current(monitor):
-    named = tokens.unmask(monitor.findings(), monitor.dictionary())
-    return {tuple(r) for r in named.select(*COLUMNS).collect()}
+    return rows_of(tokens.unmask(monitor.findings(), monitor.dictionary()), COLUMNS)
+
+
+def arrive(rows, folder):
+    rows.coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run(monitor, folder):
+    stream = count_once(sales_stream(monitor.spark, str(folder), files_per_batch=1))
+    monitor.start(stream).awaitTermination()
+
+
+@pytest.fixture(autouse=True)
+def disk_state(spark):
+    """State on disk, in few partitions, as each has a process of its own."""
+    use_disk_state(spark)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
 def test_late_files_and_copies_equal_the_batch_result(spark, sample, tmp_path):
     """Newest quarter first; every file repeats rows of the newest quarter."""
-    use_disk_state(spark)
     quarter = F.quarter("transaction_date")
     newest = sample.where(quarter == 4)
     for number in (4, 2, 1, 3):
-        rows = sample.where(quarter == number).unionByName(newest).unionByName(newest)
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    monitor = RiskMonitor(spark, str(tmp_path / "state"), compact_every=2)
-    stream = count_once(sales_stream(spark, str(tmp_path / "in"), files_per_batch=1))
-    monitor.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
-    assert monitor.last_batch() == 3
+        arrive(sample.where(quarter == number).unionByName(newest).unionByName(newest), tmp_path / "in")
+    monitor = RiskMonitor(spark, str(tmp_path / "state"))
+    run(monitor, tmp_path / "in")
     assert current(monitor) == expected(sample)
-    assert monitor.errors().count() == 0
+    first_ids = {r[0]: f"CUSTOMER_{r[1]}" for r in newest.groupBy("customer_name").agg(F.min("id")).collect()}
+    held = {r["name"]: r["token"] for r in monitor.dictionary().collect()}
+    assert len(held) == 7 and held.items() >= first_ids.items()
 
     # Files that come later go on from the checkpoint and keep all tokens.
-    before = {tuple(r) for r in monitor.dictionary().collect()}
     more = sample.where(quarter == 4).withColumns(
         {"id": F.col("id") + 100, "transaction_date": F.add_months("transaction_date", 3), "quantity": F.lit(1)}
     )
-    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    again = RiskMonitor(spark, str(tmp_path / "state"), compact_every=2)
-    stream = count_once(sales_stream(spark, str(tmp_path / "in"), files_per_batch=1))
-    again.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
-    assert again.last_batch() == 4
-    assert before == {tuple(r) for r in again.dictionary().collect()}
+    arrive(more, tmp_path / "in")
+    again = RiskMonitor(spark, str(tmp_path / "state"))
+    run(again, tmp_path / "in")
+    assert held == {r["name"]: r["token"] for r in again.dictionary().collect()}
     assert current(again) == expected(sample.unionByName(more))
 
 
-def test_replayed_batches_change_nothing(spark, sample, tmp_path):
-    monitor = RiskMonitor(spark, str(tmp_path / "state"), compact_every=2)
-    assert monitor.last_batch() == -1
+def test_inbox_follows_each_batch_and_withdraws(spark, sample, tmp_path):
+    """After each of three batches the changes add up to the batch inbox; one customer recovers."""
+    parts = [
+        sample.where("id <= 9 OR id IN (15, 16, 17, 18)"),
+        sample.where("id > 9 AND id NOT IN (15, 16, 17, 18)"),
+        sample.where("id = 18").withColumns({"id": F.lit(99).cast("bigint"), "quantity": F.lit(300)}),
+    ]
+    monitor = RiskMonitor(spark, str(tmp_path / "state"))
+    so_far, before = sample.limit(0), set()
+    for part in parts:
+        so_far = so_far.unionByName(part)
+        arrive(part, tmp_path / "in")
+        run(monitor, tmp_path / "in")
+        wanted = rows_of(RiskRun(so_far).inbox, TEXTS)
+        feed = latest(monitor.changes())
+        assert rows_of(feed.where("holds"), TEXTS) == wanted == rows_of(monitor.inbox(), TEXTS)
+        withdrawn = {r[0] for r in feed.where("NOT holds").select("customer_name").collect()}
+        assert withdrawn.isdisjoint({row[0] for row in wanted})
+        gone = {row[0] for row in before} - {row[0] for row in wanted}
+        assert gone <= withdrawn
+        before = wanted
+    assert gone
+    assert feed.where("NOT holds AND (body IS NOT NULL OR risk_type IS NOT NULL)").count() == 0
+
+
+def test_customers_who_stop_are_seen_without_a_row(spark, sample, tmp_path):
+    """One customer orders on for a year; the others fall silent and come up month by month."""
+    config = RiskConfig(period="month", fill_empty_periods=True)
+    monitor = RiskMonitor(spark, str(tmp_path / "state"), config)
+    arrive(sample, tmp_path / "in")
+    run(monitor, tmp_path / "in")
+    assert current(monitor) == expected(sample, config)
+    loyal = sample.where("id = 18")
+    name = loyal.first()["customer_name"]
+    newest = sample.agg(F.max("transaction_date")).first()[0]
+    so_far = sample
+    for months in (2, 5):
+        more = loyal.withColumns(
+            {"id": F.lit(100 + months).cast("bigint"), "transaction_date": F.add_months(F.lit(newest), months)}
+        )
+        so_far = so_far.unionByName(more)
+        arrive(more, tmp_path / "in")
+        run(monitor, tmp_path / "in")
+        assert current(monitor) == expected(so_far, config)
+        feed = latest(monitor.changes())
+        assert rows_of(feed.where("holds"), COLUMNS) == expected(so_far, config)
+        others = monitor.changes().where(F.col("customer_name") != name)
+        last = monitor.changes().agg(F.max("batch_id")).first()[0]
+        assert others.where(F.col("batch_id") == last).select("customer_name").distinct().count() == 6
+    # A late row of a silent customer still counts in its own past month.
+    late = sample.where("id = 1").withColumns({"id": F.lit(900).cast("bigint"), "quantity": F.lit(5000)})
+    arrive(late, tmp_path / "in")
+    run(monitor, tmp_path / "in")
+    assert current(monitor) == expected(so_far.unionByName(late), config)
+    assert rows_of(latest(monitor.changes()).where("holds"), COLUMNS) == current(monitor)
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    monitor = RiskMonitor(spark, str(tmp_path / "state"))
+    rows = spark.sql(
+        "SELECT 'a' AS customer_name, DATE '2024-01-01' AS period, 5L AS quantity, 50D AS revenue, 49D AS cost_total,"
+        " 3L AS first_key, DATE '2024-01-01' AS newest"
+    )
+    for _ in range(2):
+        monitor.absorb(rows, 0)
+    assert [tuple(r) for r in monitor.changes().select("customer_id", "customer_name", "holds").collect()] == [
+        ("CUSTOMER_3", "a", True)
+    ]
+
+
+def test_rejected_rows(spark, sample, tmp_path):
     bad = sample.where("id = 1").withColumns({"id": F.lit(999).cast("bigint"), "unit_sales_price": F.lit(0.0)})
-    parts = [sample.where("id <= 9"), sample.where("id > 9").unionByName(bad), sample.limit(0)]
-    for number, part in enumerate(parts):
-        monitor.absorb(part, number)
-        monitor.absorb(part, number)
+    arrive(sample.unionByName(bad).unionByName(bad), tmp_path / "in")
+    monitor = RiskMonitor(spark, str(tmp_path / "state"))
+    run(monitor, tmp_path / "in")
+    monitor.start_errors(sales_stream(spark, str(tmp_path / "in"))).awaitTermination()
     assert current(monitor) == expected(sample)
     assert [tuple(r) for r in monitor.errors().collect()] == [("load", "999", "ZERO_UNIT_SALES_PRICE")]
 
 
-def test_withdrawn_finding(spark, sample, tmp_path):
-    """A customer who recovers leaves the findings."""
-    falling = sample.where("id IN (15, 16, 17, 18)")
+def test_names_with_signs_of_patterns(spark, sample, tmp_path):
+    odd = sample.where("id IN (15, 16, 17, 18)").withColumn("customer_name", F.lit(r"A\1 $2 & Co."))
+    arrive(odd, tmp_path / "in")
     monitor = RiskMonitor(spark, str(tmp_path / "state"))
-    monitor.absorb(falling, 0)
-    assert len(current(monitor)) == 1
-    makeup = falling.where("id = 18").withColumns({"id": F.lit(99).cast("bigint"), "quantity": F.lit(300)})
-    monitor.absorb(makeup, 1)
-    assert current(monitor) == set()
-
-
-def test_log_reads_few_folders(spark, tmp_path):
-    rows = spark.createDataFrame([(1,)], "n long")
-    log = BatchLog(spark, str(tmp_path), rows.schema, lambda df: df.groupBy().agg(F.sum("n").alias("n")), every=3)
-    for number in range(8):
-        log.compact_before(number)
-        log.write(rows, number)
-        state = log.read(number)
-        assert state.agg(F.sum("n")).first()[0] == number + 1
-        assert state.count() <= 4
-    assert log.read(-1).count() == 0
-
-
-def test_log_opens_only_the_buckets_it_needs(spark, tmp_path):
-    rows = spark.range(200).select(F.concat(F.lit("n"), "id").alias("name"), "id")
-    log = BatchLog(spark, str(tmp_path), rows.schema, lambda df: df, every=2, key="name", buckets=5)
-    for number in range(3):
-        log.compact_before(number)
-        log.write(rows.where(F.col("id") % 3 == number), number)
-    assert {tuple(r) for r in log.read(2).collect()} == {tuple(r) for r in rows.collect()}
-    one = rows.where("id = 3")
-    log.compact_before(3)
-    log.write(one, 3)
-    hit = log.buckets_of(3)
-    assert len(hit) == 1
-    part = log.read(3, hit)
-    assert part.where("id = 3").count() == 2 and part.count() < 100
-    assert f"bucket#" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1][:40]
-
-
-def test_monitor_refuses_what_it_cannot_keep(spark, tmp_path):
-    from tidewatch.config import RiskConfig
+    run(monitor, tmp_path / "in")
+    assert rows_of(monitor.inbox(), TEXTS) == rows_of(RiskRun(odd).inbox, TEXTS) != set()
+
 
+def test_restart_with_other_settings_is_refused(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for _ in range(2):
+        RiskMonitor(spark, path)
+    for other in (RiskConfig(period="month"), RiskConfig(prefix="CLIENT"), RiskConfig(fill_empty_periods=True)):
+        with pytest.raises(ValueError, match="was made with fill_empty_periods=False, period=quarter"):
+            RiskMonitor(spark, path, other)
     with pytest.raises(ValueError):
-        RiskMonitor(spark, str(tmp_path), RiskConfig(fill_empty_periods=True))
+        RiskMonitor(spark, str(tmp_path / "grain"), RiskConfig(grain=("category",)))
 
 
-def test_hot_key_is_spread_before_it_is_counted(spark, tmp_path):
-    """A third of the rows are copies of one key."""
-    use_disk_state(spark)
-    rows = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("bigint").alias("id")
-    )
-    rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = count_once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+# --- records counted once -------------------------------------------------------------
+
+
+@given(st.sets(st.integers(0, _SPAN - 1)))
+def test_spans_round_trip_in_little_space(places):
+    bits = bytearray(_SPAN // 8)
+    for place in places:
+        bits[place >> 3] |= 1 << (place & 7)
+    held = packed(bits)
+    assert unpacked(held) == bits and len(held) <= min(2 * len(places), _SPAN // 8)
+
+
+def once(spark, folder, base, key="id", files=None):
+    reader = spark.readStream.schema(spark.read.parquet(str(folder)).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        count_once(reader.parquet(str(folder)), key)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
-        .start(str(tmp_path / "out"))
+        .start(f"{base}/out")
     )
     query.awaitTermination()
+    return query
+
+
+def test_hot_key_is_thinned_before_it_is_moved(spark, tmp_path):
+    """A third of the rows are copies of one key; ids lie far apart, below zero, or are missing."""
+    number = F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") - 1500) * 10**12)
+    rows = spark.range(3000).select(F.when(F.col("id") != 100, number).cast("bigint").alias("id"), F.lit("x").alias("v"))
+    rows.unionByName(rows.where("id IS NULL")).repartition(4).write.parquet(str(tmp_path / "in"))
+    query = once(spark, tmp_path / "in", tmp_path)
     kept = spark.read.parquet(str(tmp_path / "out"))
-    assert kept.count() == kept.distinct().count() == 2001
+    wanted = {r[0] for r in rows.select("id").distinct().collect()}
+    assert kept.count() == len(wanted) and {r["id"] for r in kept.collect()} == wanted
+    operators = query.recentProgress[0]["stateOperators"]
+    assert len(operators) == 1
+    moved = query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"]
+    assert moved <= len(wanted)
+
+
+def test_one_small_state_over_many_batches(spark, tmp_path):
+    """Dense ids, each file with copies of all before: one state, a row for 4,096 ids; late ids count."""
+    for number in (3, 0, 1, 2):
+        rows = spark.range(2000 * number, 2000 * number + 2000)
+        rows = rows.unionByName(spark.range(6000, 6500)).withColumn("v", F.lit(number))
+        arrive(rows, tmp_path / "in")
+    query = once(spark, tmp_path / "in", tmp_path, files=1)
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.count() == kept.select("id").distinct().count() == 8000
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert all(len(p["stateOperators"]) == 1 for p in query.recentProgress) and max(sizes) == 2
 
 
-def test_restart_with_other_settings_is_refused(spark, tmp_path):
-    path = str(tmp_path / "state")
-    RiskMonitor(spark, path, buckets=4)
-    RiskMonitor(spark, path, buckets=4)
-    for other in ({"buckets": 7}, {"buckets": 4, "compact_every": 3}, {"buckets": 4, "config": RiskConfig(period="month")}):
-        with pytest.raises(ValueError, match="was made with buckets=4, compact_every=20"):
-            RiskMonitor(spark, path, **other)
+def test_keys_of_text(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") % 7).cast("string").alias("id"))
+    arrive(rows, tmp_path / "in")
+    once(spark, tmp_path / "in", tmp_path)
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list("0123456")

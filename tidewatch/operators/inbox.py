@@ -52,23 +52,26 @@ def cards(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> Da
     )
 
 
-def drafted_cards(findings: DataFrame) -> DataFrame:
+def drafted_cards(findings: DataFrame, *keep: str) -> DataFrame:
     """J1 where each finding gets its strategy and draft from the playbook.
 
     Both follow from the finding alone, so the card is a projection of the
-    first finding of each customer, without any join.
+    first finding of each customer, without any join. ``keep`` names further
+    columns that stay.
     """
     return _card(
         findings.withColumns(playbook.strategy_columns()).withColumn(
             "body", playbook.body(wording.CHAT_BODIES)
-        )
+        ),
+        *keep,
     )
 
 
-def _card(joined: DataFrame) -> DataFrame:
+def _card(joined: DataFrame, *keep: str) -> DataFrame:
     risk, value = F.col("risk_type"), F.col("metric_value")
     return joined.select(
         "customer_id",
+        *keep,
         "pos",
         "risk_type",
         "severity",

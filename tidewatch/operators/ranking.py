@@ -18,7 +18,8 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "position") ->
     counts, one number per shuffle partition, visit the driver; they become the
     offset of each partition. ``order_by`` should identify a row: then the
     result does not depend on the partitioning, and no run of equal keys can
-    pile up in one range.
+    pile up in one range. Ranges are found from a sample, for which the last
+    stage of ``df`` runs an extra time: hand in a stored table.
     """
     slots = store(
         df.repartitionByRange(*order_by)

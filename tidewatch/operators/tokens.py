@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import check_prefix
 from tidewatch.functions.expressions import is_blank
 from tidewatch.operators.ranking import with_position
+from tidewatch.sources.storage import store
 
 # Reason written for a row whose name cannot be masked.
 EMPTY_NAME = "MASK_EMPTY"
@@ -65,8 +66,12 @@ def build_dictionary(
 
 
 def number_names(names: DataFrame, prefix: str, start: int = 0) -> DataFrame:
-    """Number ``name, first_key`` rows from ``start + 1`` on."""
-    ranked = with_position(names, ["first_key", "name"], "token_no")
+    """Number ``name, first_key`` rows from ``start + 1`` on.
+
+    They are stored first: ranges are found from a sample, which would run the
+    aggregation before it once more.
+    """
+    ranked = with_position(store(names, "names"), ["first_key", "name"], "token_no")
     number = F.col("token_no") + F.lit(start).cast("bigint")
     return ranked.select("name", token_for(number, prefix).alias("token"), number.alias("token_no"))
 

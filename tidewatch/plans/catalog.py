@@ -17,7 +17,8 @@ from tidewatch.plans.risk_run import RiskRun, named_metrics
 from tidewatch.sources import raw_files, sales_table
 from tidewatch.sources.storage import fresh_path, store
 from tidewatch.sources.warehouse import warehouse_sales, warehouse_table
-from tidewatch.streaming.monitor import RiskMonitor, count_once, sales_stream, use_disk_state
+from tidewatch.streaming.ids import count_once
+from tidewatch.streaming.monitor import RiskMonitor, latest, sales_stream, use_disk_state
 
 # Names first seen before this day form the known dictionary of some queries.
 EARLY = "1996-01-01"
@@ -851,30 +852,63 @@ def _(d: Desk) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------------
 
 
+def numbered_sales(d: Desk) -> DataFrame:
+    """The sales with record ids, as a table."""
+    order = ["transaction_date", "customer_key", "category", "quantity", "unit_sales_price", "unit_cost"]
+    rows = with_position(store(d.sales, "sales"), order, "id")
+    return store(rows.select(*[f.name for f in schemas.SALES.fields]), "sales")
+
+
+def watched(d: Desk, config: RiskConfig, *arrivals: Callable[[DataFrame], DataFrame]) -> RiskMonitor:
+    """A monitor that all sales have reached as a stream, a few files of each arrival at a time."""
+    use_disk_state(d.spark)
+    rows, folder = numbered_sales(d), fresh_path(d.spark, "arrivals")
+    for arrival in arrivals:
+        arrival(rows).write.mode("append").parquet(folder)
+    monitor = RiskMonitor(d.spark, fresh_path(d.spark, "monitor"), config)
+    monitor.start(count_once(sales_stream(d.spark, folder, files_per_batch=10))).awaitTermination()
+    return monitor
+
+
+def between(first: str, last: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.where(F.col("transaction_date").between(first, last))
+
+
+OLDEST, MIDDLE, NEWEST = (
+    between("0001-01-01", "1996-12-31"),
+    between("1997-01-01", "1999-06-30"),
+    between("1999-07-01", "9999-12-31"),
+)
+
+
+def twice(arrival: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: arrival(rows).unionByName(arrival(rows))
+
+
 @query("ST1_risk_monitor")
 def _(d: Desk) -> DataFrame:
-    """All sales as a stream of files, newest third first, with every newest row sent twice."""
-    use_disk_state(d.spark)
-    order = ["transaction_date", "customer_key", "category", "quantity", "unit_sales_price", "unit_cost"]
-    rows = store(
-        with_position(d.sales, order, "id").select(*[f.name for f in schemas.SALES.fields]), "sales"
-    )
-    edges = ["1994-01-01", "1997-01-01", "1999-07-01", "2100-01-01"]
-    folder = fresh_path(d.spark, "arrivals")
-    newest = rows.where(F.col("transaction_date") >= edges[2])
-    newest.write.parquet(folder)
-    middle = rows.where(F.col("transaction_date").between(edges[1], "1999-06-30"))
-    middle.unionByName(newest).write.mode("append").parquet(folder)
-    rows.where(F.col("transaction_date") < edges[1]).write.mode("append").parquet(folder)
-
-    state = fresh_path(d.spark, "monitor")
-    monitor = RiskMonitor(d.spark, f"{state}/state")
-    stream = count_once(sales_stream(d.spark, folder, files_per_batch=10))
-    monitor.start(stream, f"{state}/checkpoint").awaitTermination()
+    """Findings from the state, after the newest third came first and twice."""
+    monitor = watched(d, RiskConfig(), twice(NEWEST), MIDDLE, OLDEST)
     named = tokens.unmask(monitor.findings(), monitor.dictionary())
     return named.select("customer_name", "risk_type", "severity", "metric_value")
 
 
+@query("ST1_silent_customers")
+def _(d: Desk) -> DataFrame:
+    """What the batches changed, by months: customers without new orders come up as months pass."""
+    monitor = watched(d, RiskConfig(period="month", fill_empty_periods=True), OLDEST, MIDDLE, NEWEST)
+    return latest(monitor.changes()).select("customer_name", "periods", or_none())
+
+
+@query("ST1_live_inbox")
+def _(d: Desk) -> DataFrame:
+    """The inbox that the changes of all batches add up to; cards of customers who recovered are withdrawn."""
+    monitor = watched(d, RiskConfig(), OLDEST, NEWEST, MIDDLE)
+    return latest(monitor.changes()).where("holds").select(
+        "customer_name", "evidence", "strategy_title", "rationale", steps_text(), "body", "share_link"
+    )
+
+
 @query("ST2_count_once")
 def _(d: Desk) -> DataFrame:
     """Events sent twice, in two folders of one stream; sums must count each once."""

@@ -630,6 +630,17 @@ FROM (SELECT *, severity = 'CRITICAL' AS sound FROM findings)""",
         "SELECT name AS customer_name, risk_type, severity, metric_value"
         " FROM findings JOIN dict ON token = customer_id",
     ),
+    "ST1_silent_customers": _sql(
+        f"{SALES},\n{metric_ctes('customer_name', 'sales', 'month', fill=True)},\n{class_ctes()}",
+        "SELECT customer_name, periods, coalesce(risk_type, 'NONE') AS risk_type FROM typed",
+    ),
+    "ST1_live_inbox": _sql(
+        ALL,
+        f"""SELECT name AS customer_name, {_named('evidence')} AS evidence, strategy_title,
+  {_named('rationale')} AS rationale, {_named(f'array_to_string(action_steps, {NL})')} AS action_steps,
+  {_named('body')} AS body, {_LINK.format(_named('body'))} AS share_link
+FROM cards JOIN dict ON token = customer_id""",
+    ),
     "ST2_count_once": (
         "SELECT event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1"
     ),

@@ -170,7 +170,7 @@ def masked_metrics(
     """
     named = named_metrics(sales, config, order_key)
     if previous is None and not config.grain:
-        ranked = with_position(named, ["first_key", "customer_name"], "token_no").withColumn(
+        ranked = with_position(store(named, "metrics"), ["first_key", "customer_name"], "token_no").withColumn(
             "token", token_for(F.col("token_no"), config.prefix)
         )
         dictionary = ranked.select(F.col("customer_name").alias("name"), "token", "token_no")

@@ -1,50 +1,47 @@
-"""ST1, ST2: keep findings up to date while sales files arrive."""
+"""ST1: keep findings and the inbox up to date while sales files arrive."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import UTC, date, datetime
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewatch.config import RiskConfig
-from tidewatch.operators import quality, risk
+from tidewatch.functions import expressions as X
+from tidewatch.operators import inbox, quality, risk
 from tidewatch.operators.periods import (
+    PERIOD_MONTHS,
     customer_metrics,
-    merge_totals,
-    period_totals,
+    fill_periods,
+    period_start,
     period_trends,
 )
-from tidewatch.operators.tokens import added_names, last_number, mask
-from tidewatch.schemas import ERROR, FINDING, SALES
-from tidewatch.streaming.batch_log import BatchLog
+from tidewatch.operators.tokens import token_for
+from tidewatch.schemas import ERROR, SALES
+from tidewatch.sources.storage import store
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_TOTALS = T.StructType(
-    [
-        T.StructField("customer_name", T.StringType()),
-        T.StructField("period", T.DateType()),
-        T.StructField("quantity", T.LongType()),
-        T.StructField("revenue", T.DoubleType()),
-        T.StructField("cost_total", T.DoubleType()),
-        T.StructField("first_key", T.LongType()),
-    ]
-)
-_NAMES = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("token", T.StringType()),
-        T.StructField("token_no", T.LongType()),
-    ]
+#: What a customer's state holds; the lists go by period.
+_STATE = (
+    "token_no bigint, periods array<date>, quantity array<bigint>, revenue array<double>, "
+    "cost_total array<double>, wake bigint"
 )
-# Healthy customers are logged too, without a type, to withdraw old findings.
-_FINDINGS = T.StructType([*FINDING.fields, T.StructField("batch_id", T.LongType())])
+_SUMS = "customer_name string, period date, quantity bigint, revenue double, cost_total double, first_key bigint"
+_PARTIAL = f"{_SUMS}, heard timestamp"
+_CHANGED = f"{_SUMS}, newest date"
 _SETTINGS = "name string, value string"
-_PROGRESS = T.StructType(
-    [T.StructField("batch_id", T.LongType()), T.StructField("last_token", T.LongType())]
-)
+
+#: Partial sums that a task holds before it hands them on.
+_HELD = 50_000
+_MILLISECONDS_A_DAY = 86_400_000
 
 
 def use_disk_state(spark: SparkSession) -> None:
@@ -60,60 +57,139 @@ def sales_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def count_once(stream: DataFrame, key: str = "id") -> DataFrame:
-    """ST2: the first row of each key, whenever its copies arrive.
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per customer and period within a task, and a heartbeat: how new its newest sale is.
 
-    The state remembers every key, with no watermark, so a late row is never
-    dropped. The cost of a batch follows the size of the batch, not of the
-    history. Copies are removed in two steps: first per key and input
-    partition, then per key. The first step spreads the copies of one key over
-    many tasks, so a key with a third of all rows does not fill one.
+    Sums have no time of their own, so none is ever late; only heartbeats, which
+    have no customer, move the watermark.
     """
-    return (
-        stream.withColumn("_part", F.spark_partition_id())
-        .dropDuplicates([key, "_part"])
-        .drop("_part")
-        .dropDuplicates([key])
-    )
+    sums = [("quantity", "sum"), ("revenue", "sum"), ("cost_total", "sum"), ("first_key", "min")]
+    names = ["customer_name", "period", *(name for name, _ in sums)]
+    schema = pa.schema(
+        [
+            ("customer_name", pa.string()), ("period", pa.date32()), ("quantity", pa.int64()), ("revenue", pa.float64()),
+            ("cost_total", pa.float64()), ("first_key", pa.int64()), ("heard", pa.timestamp("us", "UTC")),
+        ]
+    )
+
+    def added(rows: pa.Table) -> pa.Table:
+        grouped = rows.group_by(["customer_name", "period"]).aggregate(sums)
+        return grouped.select(["customer_name", "period", *(f"{n}_{how}" for n, how in sums)]).rename_columns(names)
+
+    def handed_on(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        timeless = pa.nulls(len(rows), schema.field("heard").type)
+        yield from rows.append_column("heard", timeless).cast(schema).to_batches()
+
+    held, newest = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        last = pc.max(rows["transaction_date"]).as_py()
+        newest = last if newest is None else max(newest, last)
+        rows = added(rows)
+        held = rows if held is None else added(pa.concat_tables([held, rows]))
+        if len(held) >= _HELD:
+            yield from handed_on(held)
+            held = None
+    if held is not None:
+        yield from handed_on(held)
+    if newest is not None:
+        heard = datetime(newest.year, newest.month, newest.day, tzinfo=UTC)
+        yield pa.RecordBatch.from_pylist([{"customer_name": "", "heard": heard}], schema)
+
+
+class CustomerPeriods(StatefulProcessor):
+    """Sums per period of one customer, and when to look at the customer again.
+
+    All periods of a customer that new rows touch are emitted, up to the newest
+    period heard of. With ``silent`` a timer is set on the first period that the
+    customer has not ordered in: when the watermark gets there, the customer is
+    emitted again without any row of their own, and the timer moves on.
+    """
+
+    def __init__(self, months: int, silent: bool) -> None:
+        self._months, self._silent = months, silent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("customer", _STATE)
+
+    def _period(self, day: date) -> date:
+        return day.replace(month=(day.month - 1) // self._months * self._months + 1, day=1)
+
+    def _next(self, period: date) -> int:
+        """Start of the period after, in milliseconds."""
+        month = period.month - 1 + self._months
+        start = date(period.year + month // 12, month % 12 + 1, 1)
+        return (start - date(1970, 1, 1)).days * _MILLISECONDS_A_DAY
+
+    def _emit(self, name: str, token_no: int, sums: dict, wake: int | None, watermark: int) -> Iterator[Row]:
+        newest = max(sums)
+        if self._silent:
+            if watermark > 0:
+                newest = max(newest, self._period(datetime.fromtimestamp(watermark / 1000, UTC).date()))
+            due = self._next(newest)
+            if due != wake:
+                if wake is not None:
+                    self._handle.deleteTimer(wake)
+                self._handle.registerTimer(due)
+                wake = due
+        periods = sorted(sums)
+        self._state.update((token_no, periods, *map(list, zip(*[sums[p] for p in periods])), wake))
+        for period in periods:
+            quantity, revenue, cost_total = sums[period]
+            yield Row(
+                customer_name=name, period=period, quantity=quantity, revenue=revenue, cost_total=cost_total,
+                first_key=token_no, newest=newest,
+            )
+
+    def _load(self) -> tuple[int | None, dict, int | None]:
+        held = self._state.get()
+        if held is None:
+            return None, {}, None
+        token_no, periods, *sums, wake = held
+        return token_no, dict(zip(periods, zip(*sums))), wake
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not key[0]:
+            return
+        token_no, sums, wake = self._load()
+        first = None
+        for row in rows:
+            old = sums.get(row["period"], (0, 0.0, 0.0))
+            sums[row["period"]] = tuple(a + b for a, b in zip(old, (row["quantity"], row["revenue"], row["cost_total"])))
+            first = row["first_key"] if first is None else min(first, row["first_key"])
+        yield from self._emit(key[0], first if token_no is None else token_no, sums, wake, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        token_no, sums, _ = self._load()
+        yield from self._emit(key[0], token_no, sums, None, timerValues.getCurrentWatermarkInMs())
 
 
 class RiskMonitor:
-    """ST1: findings of the customers that each batch touches.
+    """ST1: findings of all customers so far, and what each batch changes.
 
-    State lives under ``directory``, a folder all executors share: period sums,
-    the token dictionary, the findings and the rejected rows, each a
-    ``BatchLog``. Sums merge, so a late row corrects its own past period.
+    The state is Spark's own: per customer the sums of each period and a token. It
+    lives in the checkpoint under ``directory`` and is read back from there, so
+    nothing is logged beside it. Sums merge, so a late row corrects its own past
+    period. A token's number is the id of the customer's first record, which no
+    two customers share and which needs no count of all customers.
 
-    A batch reads period sums, never old sales, and of those only the buckets
-    of the customers it touches. Set ``buckets`` so high that a usual batch
-    touches a small part of them; each batch writes one file per bucket touched.
-    Buckets, compaction, prefix and period are kept with the state: a restart
-    with other values is refused.
+    Every batch writes what it changes to ``changes``: cards that hold now with
+    their named texts, and customers whose card is withdrawn. The cost of a batch
+    follows the customers it touches. With ``fill_empty_periods`` customers who stop
+    ordering are touched when a period has passed without them.
+
+    ``directory`` holds real names; what the methods return holds tokens only,
+    but for ``dictionary``, ``inbox`` and ``changes``.
     """
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        directory: str,
-        config: RiskConfig = RiskConfig(),
-        compact_every: int = 20,
-        buckets: int = 8,
-    ) -> None:
-        if config.grain or config.fill_empty_periods:
-            raise ValueError("the monitor works on customers and on observed periods")
+    def __init__(self, spark: SparkSession, directory: str, config: RiskConfig = RiskConfig()) -> None:
+        if config.grain:
+            raise ValueError("the monitor works on customers")
         self.spark, self.directory, self.config = spark, directory.rstrip("/"), config
-        self._bind(buckets=buckets, compact_every=compact_every, prefix=config.prefix, period=config.period)
-
-        def log(name: str, schema: T.StructType, merge, key: str | None = None) -> BatchLog:
-            path = f"{self.directory}/{name}"
-            return BatchLog(spark, path, schema, merge, compact_every, key, buckets)
-
-        self.totals = log(
-            "totals", _TOTALS, lambda df: merge_totals(df, ["customer_name"]), "customer_name"
-        )
-        self.names = log("names", _NAMES, lambda df: df, "name")
-        self.results = log("findings", _FINDINGS, _latest)
-        self.rejects = log("errors", ERROR, lambda df: df)
+        self._bind(period=config.period, prefix=config.prefix, fill_empty_periods=config.fill_empty_periods)
 
     def _bind(self, **settings) -> None:
         """Keep what the state is laid out by beside it, and refuse other values later."""
@@ -130,91 +206,144 @@ class RiskMonitor:
             kept = ", ".join(f"{name}={value}" for name, value in sorted(map(tuple, known)))
             raise ValueError(f"the state in {self.directory} was made with {kept}")
 
-    def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run on ``stream``. ``trigger`` is passed on; by default the query
-        takes what is there and stops."""
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.directory}/checkpoint"
+
+    # --- running ---------------------------------------------------------------------
+
+    def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
+        """Run on ``stream``, whose ids are unique. ``trigger`` is passed on; by
+        default the query takes what is there and stops."""
+        valid, _ = quality.enforce_contract(stream)
+        amount = F.col("quantity")
+        rows = valid.select(
+            "customer_name",
+            period_start(F.col("transaction_date"), self.config.period).alias("period"),
+            "transaction_date",
+            amount.cast("bigint").alias("quantity"),
+            (amount * F.col("unit_sales_price")).alias("revenue"),
+            (amount * F.col("unit_cost")).alias("cost_total"),
+            F.col("id").alias("first_key"),
+        )
+        keeper = CustomerPeriods(PERIOD_MONTHS[self.config.period], self.config.fill_empty_periods)
+        changed = (
+            rows.mapInArrow(_add_up, _PARTIAL)
+            .withWatermark("heard", "0 seconds")
+            .groupBy("customer_name")
+            .transformWithState(keeper, _CHANGED, "Append", "EventTime")
+        )
         return (
-            stream.writeStream.foreachBatch(self.absorb)
-            .option("checkpointLocation", checkpoint)
+            changed.writeStream.foreachBatch(self.absorb)
+            .option("checkpointLocation", self.checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
-    def absorb(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch. Running it again for the same number changes nothing."""
-        logs = (self.totals, self.names, self.results, self.rejects)
-        for log in logs:
-            log.compact_before(batch_id)
-
-        batch = batch.persist()
-        try:
-            valid, rejected = quality.enforce_contract(batch)
-            self.rejects.write(quality.as_errors(rejected, "load", F.col("id")), batch_id)
-            new = self.totals.write(
-                period_totals(valid, ["customer_name"], self.config.period, "id"), batch_id
-            )
-        finally:
-            batch.unpersist()
-
-        hit = self.totals.buckets_of(batch_id)
-        touched = new.groupBy("customer_name").agg(F.min("first_key").alias("first_key"))
-        seen = touched.withColumnRenamed("customer_name", "name")
-        last = self._last_token(batch_id - 1)
-        added = self.names.write(
-            added_names(self.names.read(batch_id - 1, hit), seen, self.config.prefix, last), batch_id
+    def start_errors(self, stream: DataFrame, **trigger) -> StreamingQuery:
+        """A second query on the same source: its rejected rows, appended once each to ``errors``."""
+        _, rejected = quality.enforce_contract(stream)
+        return (
+            quality.as_errors(rejected, "load", F.col("id"))
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{self.directory}/checkpoint-errors")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start(f"{self.directory}/errors")
         )
-        last = max(last, last_number(added))
 
+    def absorb(self, changed: DataFrame, batch_id: int) -> None:
+        """Write what one micro-batch changes. Running it again for the same number changes nothing."""
+        path = f"{self.directory}/changes/batch_id={batch_id}"
+        self._verdicts(changed, F.col("newest")).write.mode("overwrite").parquet(path)
+
+    # --- rules -----------------------------------------------------------------------
+
+    def _graded(self, totals: DataFrame, last_period) -> DataFrame:
+        """One graded row per customer; healthy ones have no risk type."""
         keys = ["customer_name"]
-        history = self.totals.read(batch_id, hit).join(touched.select(*keys), keys, "left_semi")
-        metrics = customer_metrics(period_trends(merge_totals(history, keys), keys), keys)
-        masked = mask(metrics, self.names.read(batch_id, hit))
+        if self.config.fill_empty_periods:
+            totals = fill_periods(totals, keys, self.config.period, last_period)
+        metrics = customer_metrics(period_trends(totals, keys), keys)
+        masked = metrics.withColumn("customer_id", token_for(F.col("first_key"), self.config.prefix))
         graded = risk.grade(risk.classify(masked, self.config), self.config)
-        self.results.write(
-            risk.with_evidence(graded, self.config).withColumn(
-                "batch_id", F.lit(batch_id).cast("bigint")
-            ),
-            batch_id,
+        return risk.with_evidence(graded, self.config).withColumn("pos", F.col("first_key"))
+
+    def _cards(self, graded: DataFrame) -> DataFrame:
+        """Named cards. All tokens in a card are its own, so its row has all names."""
+        cards = inbox.drafted_cards(graded, "customer_name", "periods")
+        token = F.concat(F.col("customer_id"), F.lit("(?![0-9])"))
+        name = F.regexp_replace("customer_name", r"([\\$])", r"\\$1")
+
+        def named(text):
+            return F.regexp_replace(text, token, name)
+
+        texts = {column: named(F.col(column)) for column in inbox.CARD_TEXTS}
+        texts["action_steps"] = F.transform("action_steps", named)
+        return cards.withColumns(texts).withColumn("share_link", X.share_link(F.col("body")))
+
+    def _verdicts(self, totals: DataFrame, last_period) -> DataFrame:
+        """Cards of customers at risk, and rows without one (``holds`` false) for all others."""
+        cards = self._cards(self._graded(totals, last_period))
+        known = ("customer_id", "customer_name", "periods", "pos")
+        holds = F.col("risk_type").isNotNull()
+        return cards.select(
+            *known, holds.alias("holds"), *[F.when(holds, F.col(c)).alias(c) for c in cards.columns if c not in known]
         )
-        done = self.spark.createDataFrame([(batch_id, last)], _PROGRESS)
-        done.coalesce(1).write.mode("overwrite").parquet(self._progress(batch_id))
 
-    def _progress(self, batch_id: int) -> str:
-        return f"{self.directory}/progress/done={batch_id}"
+    # --- reading ---------------------------------------------------------------------
+
+    def _customers(self) -> DataFrame:
+        """The state of all customers after the newest finished batch."""
+        kept = self.spark.read.format("state-metadata").load(self.checkpoint)
+        own = kept.where(F.col("operatorProperties").contains('"customer"')).select("operatorId").first()
+        state = (
+            self.spark.read.format("statestore")
+            .option("operatorId", own["operatorId"])
+            .option("stateVarName", "customer")
+            .load(self.checkpoint)
+        )
+        return state.select("key.customer_name", "value.*")
 
-    def _last_token(self, batch_id: int) -> int:
-        """Highest token number after a batch."""
-        if batch_id < 0:
-            return 0
-        return self.spark.read.schema(_PROGRESS).parquet(self._progress(batch_id)).first()["last_token"]
+    def totals(self) -> DataFrame:
+        """Sums per customer and period of all rows so far."""
+        lists = F.arrays_zip(F.col("periods").alias("period"), "quantity", "revenue", "cost_total")
+        return self._customers().select("customer_name", F.col("token_no").alias("first_key"), F.inline(lists))
 
-    def last_batch(self) -> int:
-        """Number of the newest finished batch, -1 before the first."""
-        try:
-            done = self.spark.read.schema(_PROGRESS).parquet(f"{self.directory}/progress")
-        except AnalysisException as problem:
-            if problem.getCondition() == "PATH_NOT_FOUND":
-                return -1
-            raise
-        last = done.agg(F.max("batch_id").alias("last")).first()["last"]
-        return -1 if last is None else last
+    def _current(self) -> DataFrame:
+        totals = self.totals()
+        if not self.config.fill_empty_periods:
+            return self._graded(totals, None)
+        # Stored, because the newest period is asked of the same rows.
+        return self._graded(store(totals, "totals"), None)
 
     def findings(self) -> DataFrame:
         """Current findings, tokens only."""
-        return risk.at_risk(_latest(self.results.read(self.last_batch()))).drop("batch_id")
+        return risk.at_risk(self._current()).select(
+            "customer_id", "risk_type", "severity", "evidence", "metric_value", "pos"
+        )
+
+    def inbox(self) -> DataFrame:
+        """Current cards with real names."""
+        return self._cards(risk.at_risk(self._current()))
 
     def dictionary(self) -> DataFrame:
-        return self.names.read(self.last_batch())
+        number = F.col("token_no")
+        return self._customers().select(
+            F.col("customer_name").alias("name"), token_for(number, self.config.prefix).alias("token"), "token_no"
+        )
+
+    def changes(self) -> DataFrame:
+        """What each batch changed, by ``batch_id``; rows of a later batch replace those of a customer before."""
+        return self.spark.read.option("basePath", f"{self.directory}/changes").parquet(f"{self.directory}/changes")
 
     def errors(self) -> DataFrame:
-        return self.rejects.read(self.last_batch())
+        return self.spark.read.schema(ERROR).parquet(f"{self.directory}/errors").distinct()
+
 
+def latest(changes: DataFrame) -> DataFrame:
+    """The newest row of each customer among ``RiskMonitor.changes``.
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """The row of the newest batch per customer."""
-    rest = [f.name for f in FINDING.fields if f.name != "customer_id"]
-    return (
-        rows.groupBy("customer_id")
-        .agg(F.max(F.struct("batch_id", *rest)).alias("row"))
-        .select("customer_id", "row.*")
-    )
+    Only keys and numbers are aggregated, so no text is sorted.
+    """
+    last = changes.groupBy("customer_id").agg(F.max("batch_id").alias("batch_id"))
+    return changes.join(last, ["customer_id", "batch_id"], "left_semi")
