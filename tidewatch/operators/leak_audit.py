@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
+#: Characters of a text that are searched at once.
+_PIECE = 65_536
+
+
 def matches_anywhere(text: Column, pattern: Column) -> Column:
     """What ``pattern`` matches at each place of a text, places that overlap included.
 
@@ -17,12 +21,6 @@ def matches_anywhere(text: Column, pattern: Column) -> Column:
     return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=("), pattern, F.lit("))")), F.lit(1))
 
 
-def quoted(text: Column) -> Column:
-    """A pattern for just this text."""
-    inside = F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.concat(F.lit("\\Q"), inside, F.lit("\\E"))
-
-
 def name_classes(names: DataFrame) -> list[Row]:
     """One row for each power of two that is the ``width`` of names, with their first characters.
 
@@ -37,12 +35,24 @@ def name_classes(names: DataFrame) -> list[Row]:
     return names.groupBy("width").agg(*places).orderBy("width").collect() if widest else []
 
 
-def head_pattern(found: Row) -> str:
-    """Pattern of heads of one class: known first characters, then any."""
+def window_pattern(found: Row) -> str:
+    """Pattern of what a name of one class may fill: known first characters, the rest of a head, up to a full name."""
     width = found["width"]
     known = [found[f"at{at}"] for at in range(1, width.bit_length() + 1)]
     start = "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in place) + "]" for place in known)
-    return start + f".{{{width - len(known)}}}" if width > len(known) else start
+    sure = max(width - len(known), 0)
+    return f"{start}.{{{sure}}}.{{0,{2 * width - 1 - len(known) - sure}}}"
+
+
+def pieces(text: Column, longest: int) -> Column:
+    """A text in pieces of bounded size, each with the start of the next, so that no name is cut."""
+    pattern = F.lit(f"(?s)(.{{1,{_PIECE}}})(?=(.{{0,{longest - 1}}}))")
+    cut = F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(1)),
+        F.regexp_extract_all(text, pattern, F.lit(2)),
+        lambda piece, more: F.concat(piece, more),
+    )
+    return F.when(F.length(text) > _PIECE, cut).otherwise(F.array(text))
 
 
 def leaks(
@@ -54,17 +64,19 @@ def leaks(
     """Every ``(key, name)`` such that the text of the key contains the name.
 
     Names fall into classes by length: the head of a name is as long as the
-    largest power of two that fits, so short names do not widen the search for
-    long ones. Two equality joins replace a comparison of each text with each
-    name:
-
-    1. Substrings of a text that start like heads of a class meet the distinct
-       heads. A head is one row however many names share it, so this join never
-       multiplies rows. Repeated substrings of a text count once.
-    2. In the surviving texts, heads that were met are prolonged, where they
-       stand, to the lengths of names with this head, and meet the names.
-
-    ``key_cols`` identify a text.
+    largest power of two that fits, so a name is shorter than two heads and short
+    names do not widen the search for long ones. Every text is read once:
+
+    1. At each place where a head of a class may start, the window that the longest
+       name of the class would fill is cut out. Repeated windows of a piece of text
+       count once.
+    2. The head of a window meets the distinct heads in an equality join. A head is
+       one row however many names share it, so this join never multiplies rows.
+    3. What is left of a window, cut to the lengths of names with this head, meets
+       the names.
+
+    So a name is compared where its head stands, and nowhere else: the work is
+    linear in the length of a text. ``key_cols`` identify a text.
     """
     keys = list(key_cols)
     names = (
@@ -80,27 +92,15 @@ def leaks(
         F.collect_set(F.length("name")).alias("lengths")
     )
 
-    def heads_in(found: Row) -> Column:
-        parts = F.array_distinct(matches_anywhere(F.col(text_col), F.lit(head_pattern(found))))
-        return F.transform(parts, lambda head: F.struct(F.lit(found["width"]).alias("width"), head.alias("head")))
-
-    met = [heads_in(found) for found in classes]
-    candidates = (
-        texts.where(F.length(text_col) > 0)
-        .select(*keys, F.inline(F.concat(*met)))
-        .join(heads, ["width", "head"])
-        .groupBy(*keys)
-        .agg(F.collect_set(F.struct("width", "head", "lengths")).alias("found"))
-    )
-    hits = candidates.join(texts.select(*keys, text_col), keys).select(
-        *keys, text_col, F.explode("found").alias("hit")
-    )
-
-    def prolonged(size: Column) -> Column:
-        rest = (size - F.col("hit.width")).cast("string")
-        pattern = F.concat(quoted(F.col("hit.head")), F.lit(".{"), rest, F.lit("}"))
-        return matches_anywhere(F.col(text_col), pattern)
-
-    whole = F.flatten(F.transform("hit.lengths", prolonged))
-    spelled = hits.select(*keys, F.explode(F.array_distinct(whole)).alias("name"))
+    def windows(found: Row) -> Column:
+        cut = F.array_distinct(matches_anywhere(F.col("_piece"), F.lit(window_pattern(found))))
+        return F.transform(cut, lambda window: F.struct(F.lit(found["width"]).alias("width"), window.alias("window")))
+
+    longest = 2 * classes[-1]["width"] - 1
+    cut = texts.where(F.length(text_col) > 0).select(*keys, F.explode(pieces(F.col(text_col), longest)).alias("_piece"))
+    met = cut.select(*keys, F.inline(F.concat(*map(windows, classes))))
+    head = F.col("window").substr(F.lit(1), F.col("width")).alias("head")
+    hits = met.select(*keys, "width", "window", head).join(heads, ["width", "head"])
+    reached = F.filter("lengths", lambda size: size <= F.length("window"))
+    spelled = hits.select(*keys, F.explode(F.transform(reached, lambda size: F.left("window", size))).alias("name"))
     return spelled.join(names.select("name"), "name", "left_semi").select(*keys, "name").distinct()

@@ -186,19 +186,18 @@ def as_errors(rejected: DataFrame, step: str, key: Column) -> DataFrame:
     )
 
 
-def hand_on_texts(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> DataFrame:
-    """``key, text`` of every text that a run hands on and that must hold tokens only."""
+def texts_of(rows: DataFrame, start: Column, *columns: str) -> DataFrame:
+    """``key, text`` of some columns of each row, read once."""
+    parts = [F.struct(F.concat(start, F.lit(name)).alias("key"), F.col(name).alias("text")) for name in columns]
+    return rows.select(F.inline(F.array(*parts)))
 
-    def parts(rows: DataFrame, start: Column, *columns: str) -> list[DataFrame]:
-        return [rows.select(F.concat(start, F.lit(name)).alias("key"), F.col(name).alias("text")) for name in columns]
 
+def hand_on_texts(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> DataFrame:
+    """``key, text`` of every text that a run hands on and that must hold tokens only."""
     own = F.concat(F.lit("tokens/"), "customer_id", F.lit("/"))
     listed = strategies.withColumn("action_steps", F.array_join("action_steps", "\n"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            *parts(findings, own, "evidence"),
-            *parts(listed, own, "strategy_title", "rationale", "action_steps"),
-            *parts(messages, F.concat(own, "channel", F.lit("/")), "subject", "body"),
-        ],
+    return (
+        texts_of(findings, own, "evidence")
+        .unionByName(texts_of(listed, own, "strategy_title", "rationale", "action_steps"))
+        .unionByName(texts_of(messages, F.concat(own, "channel", F.lit("/")), "subject", "body"))
     )

@@ -368,19 +368,11 @@ def _(d: Desk) -> DataFrame:
 @query("M10_leak_audit")
 def _(d: Desk) -> DataFrame:
     """All texts with tokens, which hold no name, and all texts of the inbox, which do."""
-    def parts(rows: DataFrame, kind: str, *columns: str) -> list[DataFrame]:
-        start = F.concat(F.lit(f"{kind}/"), "customer_id", F.lit("/"))
-        return [
-            rows.select(F.concat(start, F.lit(name)).alias("key"), F.col(name).alias("text")) for name in columns
-        ]
-
-    def with_steps(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("action_steps", steps_text())
-
     texts = quality.hand_on_texts(d.run.findings, d.run.strategies, d.run.messages)
-    named = parts(with_steps(d.run.inbox), "names", "evidence", "rationale", "action_steps", "body")
-    every = reduce(DataFrame.unionByName, [texts, *named])
-    return leak_audit.leaks(store(every, "texts"), d.run.dictionary, ["key"])
+    cards = d.run.inbox.withColumn("action_steps", steps_text())
+    own = F.concat(F.lit("names/"), "customer_id", F.lit("/"))
+    named = quality.texts_of(cards, own, "evidence", "rationale", "action_steps", "body")
+    return leak_audit.leaks(store(texts.unionByName(named), "texts"), d.run.dictionary, ["key"])
 
 
 @query("M11_masked_projection")

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Ids that share a row of the ledger: 2 to this power.
@@ -16,6 +16,8 @@ _BITS = 12
 _SPAN = 1 << _BITS
 #: Keys that a task remembers to drop copies before they move; more only cost moving them.
 _REMEMBERED = 100_000
+#: Rows that a task bundles at once.
+_BUNDLED = 100_000
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -35,6 +37,11 @@ def unpacked(held: bytes | None) -> bytearray:
     return bytearray(np.packbits(bits, bitorder="little").tobytes())
 
 
+#: Rows of one span that a task met together: which places, and the rows themselves as an Arrow message.
+_BUNDLE = "_span string, _places binary, _rows binary"
+_KEPT = "_rows binary, _keep binary"
+
+
 class IdLedger(StatefulProcessor):
     """The ids seen so far, in spans: one bit an id, or two bytes while a span holds few.
 
@@ -42,30 +49,73 @@ class IdLedger(StatefulProcessor):
     the store answer without a read.
     """
 
-    def __init__(self, key: str, columns: list[str]) -> None:
-        self._key, self._row = key, Row(*columns)
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._seen = handle.getValueState("seen", "ids binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self._seen.get()
-        if key[0] is None:
-            # Rows without an id are copies of one another.
-            fresh = [] if held else [next(rows)]
-            seen = b"\x00"
-        else:
-            seen, fresh = unpacked(held[0] if held else None), []
-            for row in rows:
-                place = row[self._key] & (_SPAN - 1)
-                if not seen[place >> 3] >> (place & 7) & 1:
-                    seen[place >> 3] |= 1 << (place & 7)
-                    fresh.append(row)
-            seen = packed(seen)
-        if fresh:
-            self._seen.update((seen,))
-        for row in fresh:
-            yield self._row(*[row[name] for name in self._row])
+        seen, changed = unpacked(held[0] if held else None), False
+        for bundle in rows:
+            keep = []
+            for place in np.frombuffer(bundle["_places"], "<u2").tolist():
+                fresh = not seen[place >> 3] >> (place & 7) & 1
+                seen[place >> 3] |= fresh << (place & 7)
+                keep.append(fresh)
+            if any(keep):
+                changed = True
+                yield Row(_rows=bytes(bundle["_rows"]), _keep=bytes(keep))
+        if changed:
+            self._seen.update((packed(seen),))
+
+
+def _bundle(key: str):
+    """Rows without the copies a task met lately, bundled by the span of their key.
+
+    Rows without a key are copies of one another and have a span of their own.
+    """
+
+    def bundled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        batch = rows.combine_chunks().to_batches()[0]
+        ids = batch.column(key).to_pylist()
+        spans = ["" if i is None else str(i >> _BITS) for i in ids]
+        order = sorted(range(len(ids)), key=spans.__getitem__)
+        batch = batch.take(pa.array(order, pa.int64()))
+        names, places, parts, start = [], [], [], 0
+        for end in range(1, len(order) + 1):
+            if end == len(order) or spans[order[end]] != spans[order[start]]:
+                names.append(spans[order[start]])
+                own = [(ids[n] or 0) & (_SPAN - 1) for n in order[start:end]]
+                places.append(np.array(own, "<u2").tobytes())
+                parts.append(batch.slice(start, end - start).serialize().to_pybytes())
+                start = end
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(places, pa.binary()), pa.array(parts, pa.binary())],
+            names=["_span", "_places", "_rows"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in _without_copies(key)(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _BUNDLED:
+                yield from bundled(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from bundled(pa.Table.from_batches(held))
+
+    return run
+
+
+def _unbundle(schema: T.StructType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(schema)
+        for batch in batches:
+            for rows, keep in zip(batch.column("_rows").to_pylist(), batch.column("_keep").to_pylist()):
+                mask = pa.array(np.frombuffer(keep, np.uint8).astype(bool))
+                yield pa.ipc.read_record_batch(pa.py_buffer(rows), kind).filter(mask)
+
+    return run
 
 
 def _without_copies(key: str):
@@ -92,14 +142,15 @@ def count_once(stream: DataFrame, key: str = "id") -> DataFrame:
     a key with a third of all rows does not fill one task. The rest meets one
     lasting state. It has no watermark, so a late row is never dropped. Whole
     numbers are kept in an ``IdLedger``: about one bit for each id ever seen where
-    ids are dense. Keys of other types are kept as they are.
+    ids are dense. Rows get there in bundles, as many as share a span, so that the
+    state is asked once for each. Keys of other types are kept as they are.
     """
-    thinned = stream.mapInArrow(_without_copies(key), stream.schema)
-    if not isinstance(stream.schema[key].dataType, _WHOLE):
-        return thinned.dropDuplicates([key])
-    span = F.shiftright(F.col(key).cast("bigint"), _BITS)
+    schema = stream.schema
+    if not isinstance(schema[key].dataType, _WHOLE):
+        return stream.mapInArrow(_without_copies(key), schema).dropDuplicates([key])
     return (
-        thinned.withColumn("_span", span)
+        stream.mapInArrow(_bundle(key), _BUNDLE)
         .groupBy("_span")
-        .transformWithState(IdLedger(key, stream.columns), stream.schema, "Append", "None")
+        .transformWithState(IdLedger(), _KEPT, "Append", "None")
+        .mapInArrow(_unbundle(schema), schema)
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -29,14 +30,18 @@ from tidewatch.sources.storage import store
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: What a customer's state holds; the lists go by period.
+#: What the state of a bucket holds: lists by customer, then lists by customer and period.
+#: Periods are months since year 0.
 _STATE = (
-    "token_no bigint, periods array<date>, quantity array<bigint>, revenue array<double>, "
-    "cost_total array<double>, wake bigint"
+    "name array<string>, token_no array<bigint>, shown array<int>, "
+    "owner array<int>, period array<int>, quantity array<bigint>, revenue array<double>, cost_total array<double>, wake bigint"
+)
+_SUMS = "customer_name string, period int, quantity bigint, revenue double, cost_total double, first_key bigint"
+_PARTIAL = f"bucket int, {_SUMS}, heard timestamp"
+_CHANGED = (
+    "customer_name string, first_key bigint, newest int, "
+    "period array<int>, quantity array<bigint>, revenue array<double>, cost_total array<double>"
 )
-_SUMS = "customer_name string, period date, quantity bigint, revenue double, cost_total double, first_key bigint"
-_PARTIAL = f"{_SUMS}, heard timestamp"
-_CHANGED = f"{_SUMS}, newest date"
 _SETTINGS = "name string, value string"
 
 #: Partial sums that a task holds before it hands them on.
@@ -57,24 +62,36 @@ def sales_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
+def month_number(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def month_start(number: Column) -> Column:
+    return F.make_date(F.floor(number / 12).cast("int"), F.pmod(number, F.lit(12)) + 1, F.lit(1))
+
+
+def _milliseconds(month: int) -> int:
+    return (date(month // 12, month % 12 + 1, 1) - date(1970, 1, 1)).days * _MILLISECONDS_A_DAY
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums per customer and period within a task, and a heartbeat: how new its newest sale is.
 
     Sums have no time of their own, so none is ever late; only heartbeats, which
-    have no customer, move the watermark.
+    have no bucket, move the watermark.
     """
+    keys = ["bucket", "customer_name", "period"]
     sums = [("quantity", "sum"), ("revenue", "sum"), ("cost_total", "sum"), ("first_key", "min")]
-    names = ["customer_name", "period", *(name for name, _ in sums)]
     schema = pa.schema(
         [
-            ("customer_name", pa.string()), ("period", pa.date32()), ("quantity", pa.int64()), ("revenue", pa.float64()),
-            ("cost_total", pa.float64()), ("first_key", pa.int64()), ("heard", pa.timestamp("us", "UTC")),
+            ("bucket", pa.int32()), ("customer_name", pa.string()), ("period", pa.int32()), ("quantity", pa.int64()),
+            ("revenue", pa.float64()), ("cost_total", pa.float64()), ("first_key", pa.int64()), ("heard", pa.timestamp("us", "UTC")),
         ]
     )
 
     def added(rows: pa.Table) -> pa.Table:
-        grouped = rows.group_by(["customer_name", "period"]).aggregate(sums)
-        return grouped.select(["customer_name", "period", *(f"{n}_{how}" for n, how in sums)]).rename_columns(names)
+        grouped = rows.group_by(keys).aggregate(sums).select([*keys, *(f"{name}_{how}" for name, how in sums)])
+        return grouped.rename_columns([*keys, *(name for name, _ in sums)])
 
     def handed_on(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         timeless = pa.nulls(len(rows), schema.field("heard").type)
@@ -96,16 +113,25 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from handed_on(held)
     if newest is not None:
         heard = datetime(newest.year, newest.month, newest.day, tzinfo=UTC)
-        yield pa.RecordBatch.from_pylist([{"customer_name": "", "heard": heard}], schema)
+        yield pa.RecordBatch.from_pylist([{"heard": heard}], schema)
+
+
+@dataclass
+class _Customer:
+    token_no: int
+    shown: int
+    #: Quantity, revenue and cost by period.
+    sums: dict[int, tuple[int, float, float]]
 
 
 class CustomerPeriods(StatefulProcessor):
-    """Sums per period of one customer, and when to look at the customer again.
+    """Sums per period of the customers of a bucket, and when to look at them again.
 
-    All periods of a customer that new rows touch are emitted, up to the newest
-    period heard of. With ``silent`` a timer is set on the first period that the
-    customer has not ordered in: when the watermark gets there, the customer is
-    emitted again without any row of their own, and the timer moves on.
+    A customer that new rows touch is emitted with all periods, and with the newest
+    period heard of. With ``silent`` a timer is set on the first period that a
+    customer of the bucket has not been shown for: when the watermark gets there,
+    these customers are emitted again without any row of their own, and the timer
+    moves on.
     """
 
     def __init__(self, months: int, silent: bool) -> None:
@@ -113,66 +139,92 @@ class CustomerPeriods(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("customer", _STATE)
-
-    def _period(self, day: date) -> date:
-        return day.replace(month=(day.month - 1) // self._months * self._months + 1, day=1)
+        self._state = handle.getValueState("customers", _STATE)
 
-    def _next(self, period: date) -> int:
-        """Start of the period after, in milliseconds."""
-        month = period.month - 1 + self._months
-        start = date(period.year + month // 12, month % 12 + 1, 1)
-        return (start - date(1970, 1, 1)).days * _MILLISECONDS_A_DAY
-
-    def _emit(self, name: str, token_no: int, sums: dict, wake: int | None, watermark: int) -> Iterator[Row]:
-        newest = max(sums)
+    def _load(self) -> tuple[dict[str, _Customer], int | None]:
+        held = self._state.get()
+        if held is None:
+            return {}, None
+        names, token_nos, shown, owners, periods, *sums, wake = held
+        customers = [_Customer(number, period, {}) for number, period in zip(token_nos, shown)]
+        for owner, period, *values in zip(owners, periods, *sums):
+            customers[owner].sums[period] = tuple(values)
+        return dict(zip(names, customers)), wake
+
+    def _save(self, customers: dict[str, _Customer], wake: int | None) -> None:
+        """Keep the bucket, and wake it when the customer shown the shortest way is due again."""
         if self._silent:
-            if watermark > 0:
-                newest = max(newest, self._period(datetime.fromtimestamp(watermark / 1000, UTC).date()))
-            due = self._next(newest)
+            due = _milliseconds(min(c.shown for c in customers.values()) + self._months)
             if due != wake:
                 if wake is not None:
                     self._handle.deleteTimer(wake)
                 self._handle.registerTimer(due)
-                wake = due
-        periods = sorted(sums)
-        self._state.update((token_no, periods, *map(list, zip(*[sums[p] for p in periods])), wake))
-        for period in periods:
-            quantity, revenue, cost_total = sums[period]
-            yield Row(
-                customer_name=name, period=period, quantity=quantity, revenue=revenue, cost_total=cost_total,
-                first_key=token_no, newest=newest,
-            )
-
-    def _load(self) -> tuple[int | None, dict, int | None]:
-        held = self._state.get()
-        if held is None:
-            return None, {}, None
-        token_no, periods, *sums, wake = held
-        return token_no, dict(zip(periods, zip(*sums))), wake
+            wake = due
+        lists: list[list] = [[], [], [], [], []]
+        for owner, customer in enumerate(customers.values()):
+            for period, values in customer.sums.items():
+                for column, value in zip(lists, (owner, period, *values)):
+                    column.append(value)
+        numbers = [c.token_no for c in customers.values()]
+        self._state.update(([*customers], numbers, [c.shown for c in customers.values()], *lists, wake))
+
+    def _show(self, name: str, customer: _Customer, heard: int | None) -> Iterator[Row]:
+        newest = max(customer.sums)
+        if self._silent and heard is not None:
+            newest = max(newest, heard)
+        customer.shown = newest
+        periods = sorted(customer.sums)
+        quantity, revenue, cost_total = map(list, zip(*[customer.sums[period] for period in periods]))
+        yield Row(
+            customer_name=name, first_key=customer.token_no, newest=newest,
+            period=periods, quantity=quantity, revenue=revenue, cost_total=cost_total,
+        )
+
+    def _heard(self, timerValues) -> int | None:
+        """The period of the watermark."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if watermark <= 0:
+            return None
+        day = datetime.fromtimestamp(watermark / 1000, UTC)
+        return (day.year * 12 + day.month - 1) // self._months * self._months
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if not key[0]:
+        if key[0] is None:
             return
-        token_no, sums, wake = self._load()
-        first = None
+        customers, wake = self._load()
+        touched, firsts = {}, {}
         for row in rows:
-            old = sums.get(row["period"], (0, 0.0, 0.0))
-            sums[row["period"]] = tuple(a + b for a, b in zip(old, (row["quantity"], row["revenue"], row["cost_total"])))
-            first = row["first_key"] if first is None else min(first, row["first_key"])
-        yield from self._emit(key[0], first if token_no is None else token_no, sums, wake, timerValues.getCurrentWatermarkInMs())
+            name, period = row["customer_name"], row["period"]
+            customer = customers.setdefault(name, _Customer(row["first_key"], period, {}))
+            if name not in touched:
+                touched[name] = customer
+                firsts[name] = not customer.sums
+            if firsts[name]:
+                customer.token_no = min(customer.token_no, row["first_key"])
+            old = customer.sums.get(period, (0, 0.0, 0.0))
+            customer.sums[period] = tuple(map(sum, zip(old, (row["quantity"], row["revenue"], row["cost_total"]))))
+        heard = self._heard(timerValues)
+        for name, customer in touched.items():
+            yield from self._show(name, customer, heard)
+        self._save(customers, wake)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        token_no, sums, _ = self._load()
-        yield from self._emit(key[0], token_no, sums, None, timerValues.getCurrentWatermarkInMs())
+        customers, _ = self._load()
+        heard = self._heard(timerValues)
+        for name, customer in customers.items():
+            if customer.shown < heard:
+                yield from self._show(name, customer, heard)
+        self._save(customers, None)
 
 
 class RiskMonitor:
     """ST1: findings of all customers so far, and what each batch changes.
 
-    The state is Spark's own: per customer the sums of each period and a token. It
-    lives in the checkpoint under ``directory`` and is read back from there, so
-    nothing is logged beside it. Sums merge, so a late row corrects its own past
+    The state is Spark's own: per customer the sums of each period and a token, in
+    buckets of customers, because what a batch pays for is the number of buckets it
+    touches. Choose ``buckets`` so that one holds some dozens. The state lives in
+    the checkpoint under ``directory`` and is read back from there, so nothing is
+    logged beside it. Sums merge, so a late row corrects its own past
     period. A token's number is the id of the customer's first record, which no
     two customers share and which needs no count of all customers.
 
@@ -185,11 +237,15 @@ class RiskMonitor:
     but for ``dictionary``, ``inbox`` and ``changes``.
     """
 
-    def __init__(self, spark: SparkSession, directory: str, config: RiskConfig = RiskConfig()) -> None:
+    def __init__(
+        self, spark: SparkSession, directory: str, config: RiskConfig = RiskConfig(), buckets: int = 1024
+    ) -> None:
         if config.grain:
             raise ValueError("the monitor works on customers")
-        self.spark, self.directory, self.config = spark, directory.rstrip("/"), config
-        self._bind(period=config.period, prefix=config.prefix, fill_empty_periods=config.fill_empty_periods)
+        self.spark, self.directory, self.config, self.buckets = spark, directory.rstrip("/"), config, buckets
+        self._bind(
+            buckets=buckets, period=config.period, prefix=config.prefix, fill_empty_periods=config.fill_empty_periods
+        )
 
     def _bind(self, **settings) -> None:
         """Keep what the state is laid out by beside it, and refuse other values later."""
@@ -218,8 +274,9 @@ class RiskMonitor:
         valid, _ = quality.enforce_contract(stream)
         amount = F.col("quantity")
         rows = valid.select(
+            F.pmod(F.xxhash64("customer_name"), F.lit(self.buckets)).cast("int").alias("bucket"),
             "customer_name",
-            period_start(F.col("transaction_date"), self.config.period).alias("period"),
+            month_number(period_start(F.col("transaction_date"), self.config.period)).alias("period"),
             "transaction_date",
             amount.cast("bigint").alias("quantity"),
             (amount * F.col("unit_sales_price")).alias("revenue"),
@@ -230,7 +287,7 @@ class RiskMonitor:
         changed = (
             rows.mapInArrow(_add_up, _PARTIAL)
             .withWatermark("heard", "0 seconds")
-            .groupBy("customer_name")
+            .groupBy("bucket")
             .transformWithState(keeper, _CHANGED, "Append", "EventTime")
         )
         return (
@@ -254,7 +311,10 @@ class RiskMonitor:
     def absorb(self, changed: DataFrame, batch_id: int) -> None:
         """Write what one micro-batch changes. Running it again for the same number changes nothing."""
         path = f"{self.directory}/changes/batch_id={batch_id}"
-        self._verdicts(changed, F.col("newest")).write.mode("overwrite").parquet(path)
+        lists = F.inline(F.arrays_zip("period", "quantity", "revenue", "cost_total"))
+        rows = changed.select("customer_name", "first_key", month_start(F.col("newest")).alias("newest"), lists)
+        dated = rows.withColumn("period", month_start(F.col("period")))
+        self._verdicts(dated, F.col("newest")).write.mode("overwrite").parquet(path)
 
     # --- rules -----------------------------------------------------------------------
 
@@ -293,21 +353,32 @@ class RiskMonitor:
     # --- reading ---------------------------------------------------------------------
 
     def _customers(self) -> DataFrame:
-        """The state of all customers after the newest finished batch."""
+        """The state of all buckets after the newest finished batch."""
         kept = self.spark.read.format("state-metadata").load(self.checkpoint)
-        own = kept.where(F.col("operatorProperties").contains('"customer"')).select("operatorId").first()
+        own = kept.where(F.col("operatorProperties").contains('"customers"')).select("operatorId").first()
         state = (
             self.spark.read.format("statestore")
             .option("operatorId", own["operatorId"])
-            .option("stateVarName", "customer")
+            .option("stateVarName", "customers")
             .load(self.checkpoint)
         )
-        return state.select("key.customer_name", "value.*")
+        return state.select("value.*")
 
     def totals(self) -> DataFrame:
         """Sums per customer and period of all rows so far."""
-        lists = F.arrays_zip(F.col("periods").alias("period"), "quantity", "revenue", "cost_total")
-        return self._customers().select("customer_name", F.col("token_no").alias("first_key"), F.inline(lists))
+        lists = F.arrays_zip("owner", "period", "quantity", "revenue", "cost_total")
+        return (
+            self._customers()
+            .select("name", "token_no", F.inline(lists))
+            .select(
+                F.get("name", F.col("owner")).alias("customer_name"),
+                F.get("token_no", F.col("owner")).alias("first_key"),
+                month_start(F.col("period")).alias("period"),
+                "quantity",
+                "revenue",
+                "cost_total",
+            )
+        )
 
     def _current(self) -> DataFrame:
         totals = self.totals()
@@ -328,8 +399,10 @@ class RiskMonitor:
 
     def dictionary(self) -> DataFrame:
         number = F.col("token_no")
-        return self._customers().select(
-            F.col("customer_name").alias("name"), token_for(number, self.config.prefix).alias("token"), "token_no"
+        return (
+            self._customers()
+            .select(F.inline(F.arrays_zip("name", "token_no")))
+            .select("name", token_for(number, self.config.prefix).alias("token"), "token_no")
         )
 
     def changes(self) -> DataFrame:
