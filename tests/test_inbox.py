@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.config import RiskConfig
 from tidewatch.functions import fixed_values as fixed
 from tidewatch.operators import inbox, playbook, summaries
 from tidewatch.plans.risk_run import RiskRun
@@ -145,3 +146,26 @@ def test_load_counts(sample):
     assert tuple(counts.first()) == (25, 7)
     empty = summaries.load_counts(sample.limit(0).withColumnRenamed("customer_name", "customer_id"))
     assert tuple(empty.first()) == (0, 0)
+
+
+def test_coverage_goes_by_finding(sample):
+    """One finding with two strategies does not hide one with none."""
+    run = RiskRun(sample, RiskConfig(grain=("category",)))
+    findings, strategies, messages = run.findings, run.strategies, run.messages
+    grain = ["category"]
+    assert inbox.coverage_gaps(findings, strategies, messages, grain).count() == 0
+    keys = [tuple(r) for r in findings.select("customer_id", "category").orderBy("customer_id", "category").collect()]
+    customer = next(c for c, _ in keys if sum(k[0] == c for k in keys) > 1) if len({c for c, _ in keys}) < len(keys) else None
+    if customer is None:
+        # No customer has two findings in the sample: make a second one of a copy.
+        copied = [df.withColumn("category", F.concat("category", F.lit("+"))).unionByName(df) for df in (findings, strategies, messages)]
+        findings, strategies, messages = copied
+        customer = keys[0][0]
+    own = strategies.where(F.col("customer_id") == customer)
+    one = own.select("category").first()[0]
+    spoiled = strategies.where(F.col("customer_id") != customer)
+    first = own.where(F.col("category") == one)
+    gaps = inbox.coverage_gaps(findings, spoiled.unionByName(first).unionByName(first), messages, grain)
+    found = {r["category"]: r["problems"] for r in gaps.collect()}
+    assert found.pop(one) == ["STRATEGY_EXTRA", "EMAIL_MISSING", "WHATSAPP_MISSING"]
+    assert found and all(problems == ["STRATEGY_MISSING", "MESSAGE_ORPHAN"] for problems in found.values())

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.helpers import plan_text
 from tidewatch import schemas
-from tidewatch.plans.risk_run import run_risk_analysis
+from tidewatch.plans.risk_run import RiskRun, run_risk_analysis
 from tidewatch.sources import raw_files, sales_table, storage
 
 
@@ -110,3 +111,63 @@ def test_shared_folder_rules():
     with pytest.raises(RuntimeError):
         storage.shared_root(FakeSession(None, "yarn"))
     assert storage.shared_root(FakeSession(None, "local[2]"))
+
+
+def test_only_changed_parts_are_written_again(spark, sample, tmp_path):
+    path = str(tmp_path / "findings")
+    findings = RiskRun(sample).findings
+    kinds = ["BOTH", "CHURN_RISK", "MARGIN_RISK"]
+    files = lambda: {f: f.stat().st_mtime_ns for f in tmp_path.glob("findings/*/*.parquet")}
+    assert sales_table.write_parts(findings, path, "risk_type") == kinds
+    before = files()
+    assert sales_table.write_parts(findings, path, "risk_type") == [] and files() == before
+    louder = findings.withColumn("evidence", F.when(F.col("risk_type") == "BOTH", "new").otherwise(F.col("evidence")))
+    assert sales_table.write_parts(louder, path, "risk_type") == ["BOTH"]
+    kept = {f for f in before if "BOTH" not in str(f)}
+    assert {f: t for f, t in files().items() if f in kept} == {f: before[f] for f in kept}
+    assert spark.read.parquet(path).where("evidence = 'new'").count() == 1 and spark.read.parquet(path).count() == 6
+    assert sales_table.write_parts(findings.where("risk_type != 'BOTH'"), path, "risk_type") == kinds[1:]
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_unreadable_lines_keep_their_text(spark, tmp_path):
+    lines = [
+        "Date,Customer Name,Category,Quantity,Unit Sales Price,Unit Cost,Payment Term",
+        "2024-01-02,A,Kumaş,3,1.5,1.0,Net 30",
+        "2024-13-02,A,Kumaş,three,1.5,1.0,Net 30",
+        "only,three,values",
+        "2024-01-02,A,Kumaş,3,1.5,1.0,Net 30,more",
+        "2024-01-03,B,,4,2.5,,Net 30",
+    ]
+    (tmp_path / "raw.csv").write_text("\n".join(lines), encoding="utf-8")
+    found = {r["line"]: (r["file"], r["reasons"]) for r in raw_files.unreadable(spark, str(tmp_path)).collect()}
+    assert found == {
+        lines[2]: ("raw.csv", ["UNREADABLE_TRANSACTION_DATE", "UNREADABLE_QUANTITY"]),
+        lines[3]: ("raw.csv", ["BROKEN_LINE"]),
+        lines[4]: ("raw.csv", ["BROKEN_LINE"]),
+    }
+    assert raw_files.read_raw(spark, str(tmp_path)).count() == 5
+
+
+def test_sales_by_customer_need_no_shuffle(spark, sample, tmp_path):
+    """Sums, windows and the join with the dictionary read the buckets in place."""
+    from tidewatch.operators import periods, tokens
+
+    usual = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for name, value in zip(usual, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        sales = sales_table.save_by_customer(sample, "sales_by_customer", str(tmp_path / "sales"), 4)
+        totals = periods.period_totals(sales, ["customer_name"])
+        trends = periods.period_trends(totals, ["customer_name"])
+        for df in (totals, trends, periods.customer_metrics(trends, ["customer_name"])):
+            assert "Exchange" not in plan_text(df)
+        masked = plan_text(tokens.mask(sales, tokens.build_dictionary(sample)))
+        assert masked.count("Exchange hashpartitioning") == 1 and "Exchange" not in masked.split("SortMergeJoin")[0]
+        assert {tuple(r) for r in totals.collect()} == {
+            tuple(r) for r in periods.period_totals(sample, ["customer_name"]).collect()
+        }
+    finally:
+        spark.sql("DROP TABLE IF EXISTS sales_by_customer")
+        for name, value in usual.items():
+            spark.conf.set(name, value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,22 +122,26 @@ def most_urgent(card_rows: DataFrame, k: int) -> DataFrame:
     return card_rows.orderBy(rank.desc(), F.desc("metric_value"), "customer_id").limit(k)
 
 
-def coverage_gaps(findings: DataFrame, strategies: DataFrame, messages: DataFrame) -> DataFrame:
-    """Customers whose outputs do not match one to one.
+def coverage_gaps(
+    findings: DataFrame, strategies: DataFrame, messages: DataFrame, grain: Sequence[str] = ()
+) -> DataFrame:
+    """Findings whose outputs do not match one to one.
 
-    All three inputs are counted in one aggregation per customer, in place of
-    an anti join for each direction.
+    The key of a finding is its customer, ``grain`` and risk type, so two strategies
+    for one finding do not make up for one without any. All three inputs are
+    counted in one aggregation per key, in place of an anti join for each direction.
     """
+    keys = ["customer_id", *grain, "risk_type"]
     parts = (
-        findings.select("customer_id", F.lit("finding").alias("part"))
-        .unionByName(strategies.select("customer_id", F.lit("strategy").alias("part")))
-        .unionByName(messages.select("customer_id", F.col("channel").alias("part")))
+        findings.select(*keys, F.lit("finding").alias("part"))
+        .unionByName(strategies.select(*keys, F.lit("strategy").alias("part")))
+        .unionByName(messages.select(*keys, F.col("channel").alias("part")))
     )
 
     def number(part: str):
         return F.count_if(F.col("part") == part)
 
-    counted = parts.groupBy("customer_id").agg(
+    counted = parts.groupBy(*keys).agg(
         number("finding").alias("findings"),
         number("strategy").alias("strategies"),
         number("EMAIL").alias("emails"),

@@ -6,7 +6,7 @@ into its strategy, and a strategy into its two drafts, by projection alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +54,13 @@ def strategy_columns(playbook: Mapping[str, Mapping] = wording.PLAYBOOK) -> dict
     }
 
 
-def strategies(findings: DataFrame, playbook: Mapping[str, Mapping] = wording.PLAYBOOK) -> DataFrame:
-    """One recommendation per finding."""
+def strategies(
+    findings: DataFrame, playbook: Mapping[str, Mapping] = wording.PLAYBOOK, grain: Sequence[str] = ()
+) -> DataFrame:
+    """One recommendation per finding, under the key of the finding."""
     columns = strategy_columns(playbook)
     return findings.select(
-        "customer_id", "risk_type", *[c.alias(name) for name, c in columns.items()], "pos"
+        "customer_id", *grain, "risk_type", *[c.alias(name) for name, c in columns.items()], "pos"
     )
 
 
@@ -69,8 +71,8 @@ def body(texts: Mapping[str, str]) -> Column:
     )
 
 
-def messages(recommendations: DataFrame) -> DataFrame:
-    """An e-mail and a chat draft per recommendation."""
+def messages(recommendations: DataFrame, grain: Sequence[str] = ()) -> DataFrame:
+    """An e-mail and a chat draft per recommendation, under the key of its finding."""
     urgent = F.col("priority") == "URGENT"
     email = F.struct(
         F.lit("EMAIL").alias("channel"),
@@ -86,7 +88,7 @@ def messages(recommendations: DataFrame) -> DataFrame:
         F.when(urgent, "URGENT").otherwise("FRIENDLY_PROFESSIONAL").alias("tone"),
         (F.col("pos") * 2).alias("pos"),
     )
-    return recommendations.select("customer_id", F.inline(F.array(email, chat)))
+    return recommendations.select("customer_id", *grain, "risk_type", F.inline(F.array(email, chat)))
 
 
 def length_check(drafts: DataFrame) -> DataFrame:

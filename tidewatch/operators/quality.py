@@ -34,14 +34,18 @@ def contract_rules() -> dict[str, Column]:
     return rules
 
 
+def breaks_contract() -> Column:
+    """Whether a row breaks any rule; never NULL."""
+    return reduce(Column.__or__, contract_rules().values())
+
+
 def enforce_contract(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejected rows with their ``reasons``.
 
     Valid rows pass plain comparisons, which run in generated code and reach
     the file scan where they can; reasons are only put together for the others.
     """
-    rules = contract_rules()
-    broken = reduce(Column.__or__, rules.values())
+    rules, broken = contract_rules(), breaks_contract()
     reasons = F.array_compact(F.array(*[F.when(test, reason) for reason, test in rules.items()]))
     return sales.where(~broken), sales.where(broken).withColumn("reasons", reasons)
 

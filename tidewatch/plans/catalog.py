@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -14,6 +15,7 @@ from tidewatch.functions import expressions as X
 from tidewatch.operators import inbox, leak_audit, periods, playbook, quality, risk, summaries, tokens
 from tidewatch.operators.ranking import with_position
 from tidewatch.plans.risk_run import RiskRun, named_metrics
+from tidewatch.plans.steps import run_in_steps
 from tidewatch.sources import raw_files, sales_table
 from tidewatch.sources.storage import fresh_path, store
 from tidewatch.sources.warehouse import warehouse_sales, warehouse_table
@@ -229,6 +231,35 @@ def _(d: Desk) -> DataFrame:
     return raw_files.read_raw(d.spark, path).select(*sales_columns())
 
 
+@query("S3_unreadable_lines")
+def _(d: Desk) -> DataFrame:
+    """Raw files in which some quantities are words and some lines are cut off; what is wrong, by reason."""
+    path = fresh_path(d.spark, "raw")
+    headers = {name: header for header, name in schemas.RAW_HEADERS.items()}
+    values = {name: F.col(name).cast("string") for name in headers}
+    values["quantity"] = F.when(F.col("quantity") == 7, "seven").otherwise(values["quantity"])
+    values["transaction_date"] = F.when(F.col("quantity") == 8, "soon").otherwise(values["transaction_date"])
+    whole = F.concat_ws(",", *[values[name] for name in headers])
+    line = F.when(F.col("quantity") == 9, F.concat_ws(",", "customer_name", "category")).otherwise(whole)
+    d.sales.select(line.alias("value")).write.text(path)
+    return (
+        raw_files.unreadable(d.spark, path, header=False)
+        .select("line", F.explode("reasons").alias("reason"))
+        .groupBy("reason")
+        .agg(F.count("*").alias("rows"), F.countDistinct(F.substring_index("line", ",", -1)).alias("endings"))
+    )
+
+
+@query("S1_sales_by_customer")
+def _(d: Desk) -> DataFrame:
+    """Sums of sales that are kept bucketed by customer; no line of them is shuffled."""
+    name = f"sales_by_customer_{uuid.uuid4().hex}"
+    kept = sales_table.save_by_customer(d.sales, name, fresh_path(d.spark, "by-customer"), 8)
+    return periods.unit_values(periods.period_totals(kept, ["customer_name"])).select(
+        "customer_name", day("period"), "quantity", six("unit_price"), six("unit_cost")
+    )
+
+
 @query("S4_load_once")
 def _(d: Desk) -> DataFrame:
     path = fresh_path(d.spark, "table")
@@ -261,20 +292,21 @@ def _(d: Desk) -> DataFrame:
 
 @query("S7_output_sinks")
 def _(d: Desk) -> DataFrame:
-    """All outputs written, named ones apart, and each read back."""
+    """All outputs of a run over spoiled sales, written, named ones apart; a digest of every row read back."""
     path, named = fresh_path(d.spark, "outputs"), fresh_path(d.spark, "named-outputs")
-    outputs = d.run.outputs()
+    outputs = RiskRun(d.dirty_sales, order_key="customer_key").outputs()
     sales_table.write_outputs(outputs, path, named)
 
-    def counted(name: str) -> DataFrame:
+    def read_back(name: str) -> DataFrame:
         folder = named if name in sales_table.NAMED_OUTPUTS else path
         rows = d.spark.read.schema(outputs[name].schema).parquet(f"{folder}/{name}")
-        kind = F.col("risk_type") if name == "findings" else F.lit("")
-        return rows.groupBy(kind.alias("part")).agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("output"), "part", "rows"
-        )
+        if name == "inbox":
+            rows = rows.drop("severity_tag", "risk_label", "metric_label", "metric_text", "metric_note")
+        part = F.col("risk_type") if name == "findings" else F.lit("")
+        kept = rows.withColumn("part", part).select("part", *sorted(rows.columns))
+        return sales_table.digest(kept, "part").select(F.lit(name).alias("output"), "part", "rows", "digest")
 
-    return reduce(DataFrame.unionByName, [counted(name) for name in outputs])
+    return reduce(DataFrame.unionByName, [read_back(name) for name in outputs])
 
 
 # --- tokens -----------------------------------------------------------------------
@@ -714,6 +746,20 @@ def _(d: Desk) -> DataFrame:
     )
 
 
+@query("J3_coverage_by_category")
+def _(d: Desk) -> DataFrame:
+    """Several findings a customer: one has two strategies, another of the same customer has none."""
+    grain = ("category",)
+    run = RiskRun(d.sales, RiskConfig(grain=grain), order_key="customer_key")
+    strategies = run.strategies
+    spoiled = strategies.where(F.col("category") != "PROMO").unionByName(
+        strategies.where(F.col("category") == "ECONOMY")
+    )
+    return inbox.coverage_gaps(run.findings, spoiled, run.messages, grain).withColumn(
+        "problems", F.array_join("problems", ",")
+    )
+
+
 @query("U1_accumulate")
 def _(d: Desk) -> DataFrame:
     return quality.accumulate(
@@ -745,6 +791,23 @@ def _(d: Desk) -> DataFrame:
     )
 
 
+@query("U3_failed_step")
+def _(d: Desk) -> DataFrame:
+    """A run whose drafts fail: rows of each output, and what its errors say."""
+
+    def fails(strategies: DataFrame) -> DataFrame:
+        return strategies.withColumn("body", F.raise_error(F.lit("no drafts")))
+
+    outputs = run_in_steps(
+        d.sales, fresh_path(d.spark, "steps"), order_key="customer_key", changed={"messages": fails}
+    )
+    errors = outputs.pop("errors")
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows") for name, df in outputs.items()]
+    said = F.concat_ws(" ", F.col("step"), F.substring_index("reason", " ", 1))
+    counts.append(errors.groupBy(said.alias("output")).agg(F.count("*").alias("rows")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("O1_most_urgent")
 def _(d: Desk) -> DataFrame:
     return inbox.most_urgent(d.run.cards, 25).select("customer_id", "severity", "metric_value")
@@ -781,8 +844,12 @@ def _(d: Desk) -> DataFrame:
             ]
         )
     )
-    raw = F.when(steps.isNotNull(), as_text).when(F.col("priority") == "LOW", with_gap).otherwise(listed)
-    rows = d.run.strategies.select(F.col("customer_id").alias("key"), raw.alias("raw"))
+    spoiled = F.when(steps.isNotNull(), as_text).otherwise(with_gap)
+    record = F.array(
+        F.struct(F.col("customer_id").alias("key"), listed.alias("raw")),
+        F.struct(F.concat(F.lit("bad/"), "customer_id").alias("key"), spoiled.alias("raw")),
+    )
+    rows = d.run.strategies.select(F.inline(record))
     valid, rejected = quality.validate_json(rows, schemas.STRATEGY, keep=("key",))
     return valid.select(
         "key", "strategy_title", F.size("action_steps").alias("steps"), F.lit("").alias("reasons")
@@ -813,13 +880,20 @@ def _(d: Desk) -> DataFrame:
     severity = F.min_by("severity", "pos")
     listed = F.collect_list(record).alias("findings")
     whole = F.to_json(F.struct(listed, summary))
-    raw = (
+    spoiled = (
         F.when(severity == "HIGH", F.substring(whole, 1, 20))
         .when(severity == "MEDIUM", F.to_json(F.struct(F.lit("none").alias("findings"), summary)))
-        .when(severity == "LOW", F.to_json(F.struct(listed)))
-        .otherwise(whole)
+        .otherwise(F.to_json(F.struct(listed)))
+    )
+    wrapped = d.run.findings.groupBy("customer_id").agg(whole.alias("sound"), spoiled.alias("spoiled"))
+    reports = wrapped.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("customer_id").alias("key"), F.col("sound").alias("raw")),
+                F.struct(F.concat(F.lit("bad/"), "customer_id").alias("key"), F.col("spoiled").alias("raw")),
+            )
+        )
     )
-    reports = d.run.findings.groupBy(F.col("customer_id").alias("key")).agg(raw.alias("raw"))
     items, notes, broken = quality.unwrap_reports(reports, "findings", "summary", keep=("key",))
     valid, _ = quality.validate_objects(items, schemas.FINDING, keep=("key", "item_no"))
     columns = ["key", "item_no", "severity", "metric_value", "summary", "reasons"]

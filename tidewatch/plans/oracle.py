@@ -190,7 +190,7 @@ _BODY = f"""replace(CASE channel WHEN 'EMAIL' THEN {case('risk_type', wording.EM
   '[' || customer_id || ' {wording.READER_ROLE}]')"""
 
 MESSAGES = f"""messages AS (
-  SELECT customer_id, channel,
+  SELECT customer_id, risk_type, channel,
          CASE channel WHEN 'EMAIL' THEN {case('risk_type', wording.SUBJECTS)} ELSE '' END AS subject,
          {_BODY} AS body,
          CASE WHEN channel = 'EMAIL' THEN 'FORMAL' WHEN priority = 'URGENT' THEN 'URGENT'
@@ -246,6 +246,97 @@ def _sql(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def _digests(output: str, columns: dict[str, str], source: str, part: str = "''") -> str:
+    """Rows of an output and the sum of 32 bits of the hash of each; columns in order of name."""
+    values = [f"coalesce(CAST({columns[name]} AS VARCHAR), '~')" for name in sorted(columns)]
+    row = f"concat_ws('|', {part}, {', '.join(values)})"
+    return (
+        f"SELECT '{output}' AS output, {part} AS part, count(*) AS rows,"
+        f" CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS digest"
+        f" FROM {source} GROUP BY 2"
+    )
+
+
+def _same(*columns: str) -> dict[str, str]:
+    return {column: column for column in columns}
+
+
+def _sinks() -> str:
+    clean = f"{SALES},\n{DIRTY},\nclean AS (SELECT * FROM judged WHERE reasons = '')"
+    rest = f"{DICT},\n{MASKED}".replace("FROM sales", "FROM clean").replace("sales.*", "clean.*")
+    ctes = f"{clean},\n{rest},\n{metric_ctes('customer_id', 'masked')},\n{class_ctes()}"
+    ctes += f",\n{FINDINGS},\n{STRATEGIES},\n{MESSAGES},\n{CARDS}"
+    ctes += """,
+wrong AS (
+  SELECT 'load' AS step, CAST(customer_key AS VARCHAR) AS key, unnest(string_split(reasons, ',')) AS reason
+  FROM judged WHERE reasons <> ''),
+counted AS (
+  SELECT unnest(['findings', 'strategies', 'messages', 'errors']) AS metric, unnest([
+    (SELECT count(*) FROM findings), (SELECT count(*) FROM strategies), (SELECT count(*) FROM messages),
+    (SELECT count(*) FROM wrong)]) AS value),
+drafts AS (
+  SELECT *, CAST(n AS INTEGER) AS words,
+    CASE channel WHEN 'EMAIL' THEN n BETWEEN 150 AND 250 ELSE n BETWEEN 60 AND 100 END AS length_ok
+  FROM (SELECT *, len(regexp_split_to_array(trim(body), '\\s+')) AS n FROM messages)),
+summed AS (""" + ORACLE_SUMMARY + "),\nadvised AS (" + ORACLE_ADVICE + ")"
+    steps = f"array_to_string(action_steps, {NL})"
+    named = {c: _named(c) for c in ("evidence", "rationale", "body")}
+    inbox = _same("customer_id", "pos", "risk_type", "severity", "metric_value", "priority", "strategy_title") | named
+    inbox |= {
+        "customer_name": "name",
+        "action_steps": _named(steps),
+        "share_link": _LINK.format(_named("body")),
+        "queue": "CASE severity WHEN 'LOW' THEN 'AUTO' ELSE 'REVIEW' END",
+    }
+    parts = [
+        _digests(
+            "findings",
+            _same("customer_id", "risk_type", "severity", "evidence", "metric_value", "pos"),
+            "findings",
+            "risk_type",
+        ),
+        _digests(
+            "strategies",
+            _same("customer_id", "risk_type", "strategy_title", "rationale", "priority", "pos") | {"action_steps": steps},
+            "strategies",
+        ),
+        _digests(
+            "messages",
+            _same("customer_id", "risk_type", "channel", "subject", "body", "tone", "pos", "words", "length_ok"),
+            "drafts",
+        ),
+        _digests("inbox", inbox, "cards JOIN dict ON token = customer_id"),
+        _digests("errors", _same("step", "key", "reason"), "wrong"),
+        _digests("analysis_summary", _same("summary"), "summed"),
+        _digests("strategy_summary", _same("summary"), "advised"),
+        _digests("run_counts", _same("metric", "value"), "counted"),
+    ]
+    return _sql(ctes, "\nUNION ALL ".join(parts))
+
+
+ORACLE_SUMMARY = (
+    "SELECT "
+    + filled(
+        wording.ANALYSIS_SUMMARY,
+        total="CAST(count(*) AS VARCHAR)",
+        churn="CAST(count(*) FILTER (risk_type = 'CHURN_RISK') AS VARCHAR)",
+        margin="CAST(count(*) FILTER (risk_type = 'MARGIN_RISK') AS VARCHAR)",
+        both="CAST(count(*) FILTER (risk_type = 'BOTH') AS VARCHAR)",
+        critical="CAST(count(*) FILTER (severity = 'CRITICAL') AS VARCHAR)",
+    )
+    + " AS summary FROM findings"
+)
+ORACLE_ADVICE = (
+    "SELECT "
+    + filled(
+        wording.STRATEGY_SUMMARY,
+        total="CAST(count(*) AS VARCHAR)",
+        urgent="CAST(count(*) FILTER (priority = 'URGENT') AS VARCHAR)",
+    )
+    + " AS summary FROM strategies"
+)
+
+
 ORACLE: dict[str, str] = {
     "S1_sales_scan": _sql(SALES, f"SELECT customer_name, {_COLUMNS} FROM sales"),
     "S2_contract": _sql(
@@ -254,6 +345,17 @@ ORACLE: dict[str, str] = {
         " FROM judged GROUP BY 1",
     ),
     "S3_raw_ingest": _sql(SALES, f"SELECT customer_name, {_COLUMNS} FROM sales"),
+    "S3_unreadable_lines": _sql(
+        SALES,
+        """SELECT CASE quantity WHEN 7 THEN 'UNREADABLE_QUANTITY' WHEN 8 THEN 'UNREADABLE_TRANSACTION_DATE'
+  ELSE 'BROKEN_LINE' END AS reason, count(*) AS rows,
+  count(DISTINCT CASE quantity WHEN 9 THEN category ELSE payment_term END) AS endings
+FROM sales WHERE quantity IN (7, 8, 9) GROUP BY 1""",
+    ),
+    "S1_sales_by_customer": _sql(
+        f"{SALES},\n{metric_ctes('customer_name', 'sales')}",
+        f"SELECT customer_name, {_PERIOD}, quantity, {_SIX('unit_price')}, {_SIX('unit_cost')} FROM trends",
+    ),
     "S4_load_once": _sql(SALES, "SELECT payment_term, count(*) AS rows FROM sales GROUP BY 1"),
     "S5_default_rows": _sql(
         SALES,
@@ -262,15 +364,7 @@ ORACLE: dict[str, str] = {
     "S6_input_check": _sql(
         SALES, "SELECT payment_term, CAST(sum(quantity) AS BIGINT) AS quantity FROM sales GROUP BY 1"
     ),
-    "S7_output_sinks": _sql(
-        RISKS,
-        """SELECT 'findings' AS output, risk_type AS part, count(*) AS rows FROM findings GROUP BY 1, 2
-UNION ALL SELECT 'strategies', '', count(*) FROM strategies
-UNION ALL SELECT 'messages', '', count(*) FROM messages
-UNION ALL SELECT 'inbox', '', count(*) FROM findings
-UNION ALL SELECT unnest(['analysis_summary', 'strategy_summary']), '', 1
-UNION ALL SELECT 'run_counts', '', 4""",
-    ),
+    "S7_output_sinks": _sinks(),
     "M1_token_dictionary": _sql(f"{SALES},\n{DICT}", "SELECT name, token, token_no FROM dict"),
     "M2_dictionary_extension": _sql(
         f"{SALES},\n{EARLY}", "SELECT name, 'CUSTOMER_' || token_no AS token, token_no FROM grown"
@@ -453,25 +547,7 @@ UNION ALL SELECT 'messages', count(*) FROM messages UNION ALL SELECT 'errors', 0
   count(*) AS findings, round(avg(metric_value), 6) AS mean_metric
 FROM findings GROUP BY ROLLUP (risk_type, severity)""",
     ),
-    "A10_summaries": _sql(
-        RISKS,
-        "SELECT "
-        + filled(
-            wording.ANALYSIS_SUMMARY,
-            total="CAST(count(*) AS VARCHAR)",
-            churn="CAST(count(*) FILTER (risk_type = 'CHURN_RISK') AS VARCHAR)",
-            margin="CAST(count(*) FILTER (risk_type = 'MARGIN_RISK') AS VARCHAR)",
-            both="CAST(count(*) FILTER (risk_type = 'BOTH') AS VARCHAR)",
-            critical="CAST(count(*) FILTER (severity = 'CRITICAL') AS VARCHAR)",
-        )
-        + " AS summary FROM findings UNION ALL SELECT "
-        + filled(
-            wording.STRATEGY_SUMMARY,
-            total="CAST(count(*) AS VARCHAR)",
-            urgent="CAST(count(*) FILTER (priority = 'URGENT') AS VARCHAR)",
-        )
-        + " FROM strategies",
-    ),
+    "A10_summaries": _sql(RISKS, f"{ORACLE_SUMMARY} UNION ALL {ORACLE_ADVICE}"),
     "W1_period_order": _sql(
         METRICS,
         f"SELECT customer_id, {_PERIOD}, quantity, coalesce(previous_quantity, -1) AS previous_quantity, coalesce(earlier_quantity, -1) AS earlier_quantity FROM trends",
@@ -541,7 +617,7 @@ FROM cards JOIN dict ON token = customer_id""",
     "J3_coverage": _sql(
         RISKS,
         """SELECT * FROM (
-  SELECT customer_id, findings, strategies, emails, chats, concat_ws(',',
+  SELECT customer_id, risk_type, findings, strategies, emails, chats, concat_ws(',',
     CASE WHEN strategies < findings THEN 'STRATEGY_MISSING' END,
     CASE WHEN strategies > findings THEN 'STRATEGY_EXTRA' END,
     CASE WHEN emails < strategies THEN 'EMAIL_MISSING' END,
@@ -549,11 +625,27 @@ FROM cards JOIN dict ON token = customer_id""",
     CASE WHEN chats < strategies THEN 'WHATSAPP_MISSING' END,
     CASE WHEN strategies > 0 AND chats > strategies THEN 'WHATSAPP_EXTRA' END,
     CASE WHEN strategies = 0 AND emails + chats > 0 THEN 'MESSAGE_ORPHAN' END) AS problems
-  FROM (SELECT customer_id, CAST(1 AS BIGINT) AS findings,
+  FROM (SELECT customer_id, risk_type, CAST(1 AS BIGINT) AS findings,
       CAST(CASE WHEN severity = 'CRITICAL' THEN 2 WHEN risk_type = 'MARGIN_RISK' THEN 0 ELSE 1 END AS BIGINT) AS strategies,
       CAST(1 AS BIGINT) AS emails,
       CAST(CASE WHEN severity = 'CRITICAL' THEN 1 ELSE 0 END AS BIGINT) AS chats
     FROM findings)) WHERE problems <> ''""",
+    ),
+    "J3_coverage_by_category": _sql(
+        f"{BASE},\n{metric_ctes('customer_id, category', 'masked')},\n{class_ctes()}",
+        """SELECT customer_id, category, risk_type, CAST(1 AS BIGINT) AS findings,
+  CAST(CASE category WHEN 'PROMO' THEN 0 ELSE 2 END AS BIGINT) AS strategies,
+  CAST(1 AS BIGINT) AS emails, CAST(1 AS BIGINT) AS chats,
+  CASE category WHEN 'PROMO' THEN 'STRATEGY_MISSING,MESSAGE_ORPHAN'
+    ELSE 'STRATEGY_EXTRA,EMAIL_MISSING,WHATSAPP_MISSING' END AS problems
+FROM graded WHERE category IN ('PROMO', 'ECONOMY')""",
+    ),
+    "U3_failed_step": _sql(
+        RISKS,
+        """SELECT 'dictionary_and_metrics' AS output, count(*) AS rows FROM metrics
+UNION ALL SELECT unnest(['findings', 'strategies', 'inbox', 'coverage EMAIL_MISSING', 'coverage WHATSAPP_MISSING']),
+  (SELECT count(*) FROM findings)
+UNION ALL SELECT 'messages', 0 UNION ALL SELECT 'messages STEP_FAILED', 1""",
     ),
     "U1_accumulate": _sql(
         RISKS,
@@ -605,7 +697,8 @@ FROM findings WHERE severity IN ('MEDIUM', 'LOW')""",
   CASE WHEN sound THEN strategy_title ELSE '' END AS strategy_title,
   CASE WHEN sound THEN CAST(len(action_steps) AS INTEGER) ELSE 0 END AS steps,
   CASE WHEN sound THEN '' ELSE 'TYPE_action_steps' END AS reasons
-FROM (SELECT *, risk_type <> 'BOTH' AND priority <> 'LOW' AS sound FROM strategies)""",
+FROM (SELECT *, true AS sound FROM strategies
+  UNION ALL SELECT * REPLACE ('bad/' || customer_id AS customer_id), false FROM strategies)""",
     ),
     "V1_messages": _sql(
         RISKS, "SELECT pos AS key, customer_id, channel, subject, body, tone FROM messages"
@@ -615,9 +708,10 @@ FROM (SELECT *, risk_type <> 'BOTH' AND priority <> 'LOW' AS sound FROM strategi
         """SELECT customer_id AS key, CAST(CASE WHEN sound THEN 0 ELSE -1 END AS INTEGER) AS item_no,
   CASE WHEN sound THEN severity ELSE '' END AS severity, CASE WHEN sound THEN metric_value ELSE 0 END AS metric_value,
   CASE WHEN sound THEN risk_type ELSE '' END AS summary,
-  CASE severity WHEN 'HIGH' THEN 'BROKEN_JSON' WHEN 'MEDIUM' THEN 'TYPE_findings'
-    WHEN 'LOW' THEN 'MISSING_summary' ELSE '' END AS reasons
-FROM (SELECT *, severity = 'CRITICAL' AS sound FROM findings)""",
+  CASE WHEN sound THEN '' WHEN severity = 'HIGH' THEN 'BROKEN_JSON' WHEN severity = 'MEDIUM' THEN 'TYPE_findings'
+    ELSE 'MISSING_summary' END AS reasons
+FROM (SELECT *, true AS sound FROM findings
+  UNION ALL SELECT * REPLACE ('bad/' || customer_id AS customer_id), false FROM findings)""",
     ),
     "V3_token_check": _sql(
         f"{SALES},\n{EARLY}",

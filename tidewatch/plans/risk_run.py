@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.config import RiskConfig
@@ -32,9 +32,9 @@ class RiskRun:
     hold tokens only.
 
     The metrics are computed and stored when first asked for. Every other
-    output is a plan over those few stored rows; only ``errors`` reads the
-    sales again, for the rows the contract rejects, next to what the checks of
-    the other hand-offs find.
+    output is a plan over those few stored rows. The pass over the sales also
+    counts the rows that the contract rejects; only if there are any does
+    ``errors`` read the sales again, to name them.
     """
 
     def __init__(
@@ -45,12 +45,23 @@ class RiskRun:
         previous: DataFrame | None = None,
     ) -> None:
         self.config, self.order_key, self.previous = config, order_key, previous
-        self.valid, self.rejected = quality.enforce_contract(sales)
+        self._contract = Observation("contract")
+        observed = sales.observe(self._contract, F.count_if(quality.breaks_contract()).alias("rejected"))
+        self.valid, _ = quality.enforce_contract(observed)
+        self._sales = sales
 
     @cached_property
     def _numbered(self) -> tuple[DataFrame, DataFrame]:
         return masked_metrics(self.valid, self.config, self.order_key, self.previous)
 
+    @property
+    def rejected(self) -> DataFrame:
+        """Rows the contract rejects, with their reasons; no second pass if the first one met none."""
+        _, rejected = quality.enforce_contract(self._sales)
+        # Without any metrics there may have been no pass to count in.
+        sound = not self.metrics.isEmpty() and not self._contract.get["rejected"]
+        return rejected.limit(0) if sound else rejected
+
     @property
     def metrics(self) -> DataFrame:
         return self._numbered[0]
@@ -65,11 +76,11 @@ class RiskRun:
 
     @cached_property
     def strategies(self) -> DataFrame:
-        return playbook.strategies(self.findings)
+        return playbook.strategies(self.findings, grain=self.config.grain)
 
     @cached_property
     def messages(self) -> DataFrame:
-        return playbook.length_check(playbook.messages(self.strategies))
+        return playbook.length_check(playbook.messages(self.strategies, self.config.grain))
 
     @cached_property
     def cards(self) -> DataFrame:
@@ -91,7 +102,8 @@ class RiskRun:
         texts that must hold tokens only.
         """
         findings, strategies, messages = self.findings, self.strategies, self.messages
-        gaps = inbox.coverage_gaps(findings, strategies, messages).withColumnRenamed("problems", "reasons")
+        gaps = inbox.coverage_gaps(findings, strategies, messages, self.config.grain)
+        gaps = gaps.withColumnRenamed("problems", "reasons")
         lengths = messages.where(~F.col("length_ok")).withColumn(
             "reason", F.concat(F.lit("LENGTH_"), "channel")
         )
@@ -102,7 +114,7 @@ class RiskRun:
             DataFrame.unionByName,
             [
                 quality.as_errors(self.rejected, "load", F.col(self.order_key)),
-                quality.as_errors(gaps, "coverage", own),
+                quality.as_errors(gaps, "coverage", F.concat_ws("/", "customer_id", *self.config.grain)),
                 quality.as_errors(unknown_tokens(findings, self.dictionary), "tokens", own),
                 quality.as_errors(lengths, "length", own),
                 quality.as_errors(leaked.withColumn("reason", F.lit("LEAKED_NAME")), "leaks", F.col("key")),

@@ -6,6 +6,7 @@ from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.schemas import SALES, SALES_REQUIRED
 
@@ -129,17 +130,64 @@ def check_input(sales: DataFrame) -> DataFrame:
 NAMED_OUTPUTS = ("inbox",)
 
 
+def digest(df: DataFrame, *by: str) -> DataFrame:
+    """Rows and a digest over all columns, per ``by``: the sum of 32 bits of each row's hash, in any order of rows."""
+    columns = [F.array_join(c, "\n") if kind.startswith("array") else F.col(c) for c, kind in df.dtypes]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).alias("digest"))
+
+
+def write_parts(df: DataFrame, path: str, by: str) -> list[str]:
+    """Write ``df`` split by ``by``; of a dataset that is there, only the parts that differ. Returns those written.
+
+    One row for each part visits the driver, so ``by`` must have few values.
+    """
+
+    def parts(rows: DataFrame) -> dict:
+        return {row[by]: (row["rows"], row["digest"]) for row in digest(rows.select(df.columns), by).collect()}
+
+    new = parts(df)
+    old = {}
+    if has_rows(df.sparkSession, path):
+        old = parts(df.sparkSession.read.schema(df.schema).parquet(path))
+    changed = sorted(part for part, value in new.items() if old.get(part) != value)
+    gone = old.keys() - new.keys()
+    if gone or not old:
+        df.write.mode("overwrite").partitionBy(by).parquet(path)
+        return sorted(new)
+    if changed:
+        rows = df.where(F.col(by).isin(changed)).write.mode("overwrite").partitionBy(by)
+        rows.option("partitionOverwriteMode", "dynamic").parquet(path)
+    return changed
+
+
 def write_outputs(outputs: dict[str, DataFrame], directory: str, named_directory: str) -> None:
     """One Parquet dataset per output; findings are split by risk type.
 
-    Outputs with real names go to a folder of their own, which can be kept under
-    stricter access than the rest.
+    Of the findings of an earlier run only the risk types that changed are written
+    again. Outputs with real names go to a folder of their own, which can be kept
+    under stricter access than the rest.
     """
     if named_directory.rstrip("/") == directory.rstrip("/"):
         raise ValueError("outputs with real names need a folder of their own")
     for name, df in outputs.items():
-        writer = df.write.mode("overwrite")
-        if name == "findings":
-            writer = writer.partitionBy("risk_type")
         folder = named_directory if name in NAMED_OUTPUTS else directory
-        writer.parquet(f"{folder.rstrip('/')}/{name}")
+        path = f"{folder.rstrip('/')}/{name}"
+        if name == "findings":
+            write_parts(df, path, "risk_type")
+        else:
+            df.write.mode("overwrite").parquet(path)
+
+
+def save_by_customer(sales: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Sales that are loaded again and again, as a table bucketed and sorted by customer.
+
+    Sums, windows and joins by customer then read their rows in place, without a
+    shuffle. A bucket is one task, so a customer with a large part of all rows makes
+    a large task; leave such sales in files.
+    """
+    sorted_by = ("customer_name", "transaction_date")
+    writer = sales.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, "customer_name").sortBy(*sorted_by).saveAsTable(table)
+    return sales.sparkSession.table(table)
