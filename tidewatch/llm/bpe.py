@@ -177,7 +177,7 @@ def _code(automaton, path: str, schema: pa.Schema):
         ready = kept_by_worker(("automaton", path), lambda: automaton.value.ready())
         known = kept_by_worker(
             ("automaton ids", path),
-            lambda: PieceIds(ready.splitter, lambda words: [ready.encode_word(w) for w in words], "<i4"),
+            lambda: PieceIds(ready.splitter, lambda words: [ready.encode_word(w) for w in words], "i"),
         )
         for batch in pieces(batches, most=1_000_000):
             texts = [ready.splitter.pieces(text) for text in texts_of(batch)]

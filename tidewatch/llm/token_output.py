@@ -47,6 +47,8 @@ from tidewatch.sources.storage import fresh_path
 #: A block is closed at this many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 2_000_000, 50_000
 _SAMPLE = 256
+#: Bytes of text that are encoded at once.
+_BATCH = 8_000_000
 
 _BLOCKS = pa.schema(
     [
@@ -112,16 +114,6 @@ class EliasFano:
         raw = int.from_bytes(self.low[start >> 3 : (start + self.low_bits + 7) >> 3], "little")
         return high << self.low_bits | raw >> (start & 7) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All numbers."""
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        high = at[: self.count] - np.arange(self.count)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")
-        bits = bits[: self.count * self.low_bits].reshape(self.count, self.low_bits).astype(np.int64)
-        return (high << self.low_bits) + bits @ (1 << np.arange(self.low_bits))
-
 
 def _block(part: int, number: int, before: int, doc_ids: list, parts: list[bytes], width: int) -> pa.RecordBatch:
     ends = np.cumsum([len(ids) // width for ids in parts])
@@ -135,17 +127,17 @@ def _block(part: int, number: int, before: int, doc_ids: list, parts: list[bytes
 
 def _pack(tokenizer: str, splitter: WordSplitter, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = f"<u{width}"
+        kind, code = f"<u{width}", {2: "H", 4: "I"}[width]
         split = splitter.ready()
         known = kept_by_worker(
-            ("library", tokenizer, kind), lambda: PieceIds(split, library_encoder(tokenizer), kind)
+            ("library", tokenizer, kind), lambda: PieceIds(split, library_encoder(tokenizer), code)
         )
         end = np.array([end_id], kind).tobytes()
         part = TaskContext.get().partitionId()
         number = held = before = 0
         doc_ids: list = []
         rows: list[bytes] = []
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=_BATCH):
             texts = [split.pieces(text) for text in texts_of(batch)]
             known.learn(texts)
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts):
@@ -198,14 +190,17 @@ def _unpack(starts: dict, with_ids: bool):
             for row in batch.to_pylist():
                 doc_ids = row["doc_ids"]
                 coded = EliasFano(len(doc_ids), row["low_bits"], row["low"], row["high"], row["samples"])
-                ends = coded.values()
-                bounds = np.concatenate([[0], ends])
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                texts = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                last = texts if with_ids else [zlib.crc32(t) for t in texts]
-                first = starts[row["part"]] + row["before"] + bounds[:-1]
+                start, first, sizes, last = 0, [], [], []
+                for number in range(len(doc_ids)):
+                    end = coded.select(number)
+                    text = ids[start:end].tobytes()
+                    first.append(starts[row["part"]] + row["before"] + start)
+                    sizes.append(end - start)
+                    last.append(text if with_ids else zlib.crc32(text))
+                    start = end
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, f.type) for v, f in zip((doc_ids, first, np.diff(bounds), last), schema)],
+                    [pa.array(v, f.type) for v, f in zip((doc_ids, first, sizes, last), schema)],
                     schema=schema,
                 )
 

@@ -11,10 +11,9 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: str.split takes these for white space, Unicode does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PIECE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -35,19 +34,33 @@ def _library_steps():
 
 
 def normal_words(piece: str) -> list[str]:
-    """Normalized words of a piece without white space.
+    """Normalized words of a piece without white space."""
+    return words_of_pieces([piece])[0]
+
+
+def words_of_pieces(some: list[str]) -> list[list[str]]:
+    """Normalized words of each piece; pieces hold no white space.
 
     Signs that this Python's Unicode does not know, other numbers than digits and
-    separators are rare and go through the library's own steps.
+    separators are rare and go through the library's own steps. All other pieces
+    are normalized as one text, a piece a line.
     """
-    if piece.isascii() and not any(sign in piece for sign in _SEPARATORS):
-        return _QUICK.findall(piece.lower())
-    kinds = {unicodedata.category(c) for c in piece}
-    if kinds & {"Cn", "Nl", "No", "Cc"}:
-        normal, split = _library_steps()
-        return [word for word, _ in split.pre_tokenize_str(normal.normalize_str(piece))]
+    joined = "\n".join(some)
+    # The separators are control signs as well.
+    odd = {c for c in set(joined) if c != "\n" and unicodedata.category(c) in ("Cn", "Nl", "No", "Cc")}
+    doubtful = re.compile(f"[{re.escape(''.join(sorted(odd)))}]").search if odd else (lambda piece: None)
+    strange = [bool(doubtful(piece)) for piece in some]
     # Each letter is lowered by itself: no final form of sigma.
-    return _QUICK.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+    plain = "\n".join([piece for piece, is_strange in zip(some, strange) if not is_strange])
+    lines = iter(unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower().split("\n"))
+    found = []
+    for piece, is_strange in zip(some, strange):
+        if is_strange:
+            normal, split = _library_steps()
+            found.append([word for word, _ in split.pre_tokenize_str(normal.normalize_str(piece))])
+        else:
+            found.append(_QUICK.findall(next(lines)))
+    return found
 
 
 class WordSplitter:
@@ -85,34 +98,53 @@ class WordSplitter:
                 found += normal_words(part)
         return found
 
+    def words_of(self, some: list[str]) -> list[list[str]]:
+        """``words`` of many pieces at once."""
+        found = words_of_pieces(some)
+        for at, piece in enumerate(some):
+            if self._special.search(piece):
+                found[at] = self.words(piece)
+        return found
 
-class PieceIds(dict):
-    """Ids by piece, as bytes. Pieces share words, and words are what costs time.
 
-    When either kind is too many, all are forgotten and encoded again.
-    """
+class Generations(dict):
+    """A memo in two generations: when the young one is full it becomes the old one,
+    and what is still in use moves back, so common entries survive."""
 
-    def __init__(self, splitter: WordSplitter, encode_all, kind: str, pieces=150_000, words=400_000):
+    def __init__(self, most: int):
         super().__init__()
-        self._splitter, self._encode_all = splitter, encode_all
-        self._kind, self._most, self._most_words = kind, pieces, words
-        self._words: dict[str, bytes] = {}
+        self._most, self._old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that are in neither generation. All others are in the young one then."""
+        lacking = [key for key in keys if key not in self]
+        if len(self) + len(lacking) > self._most:
+            self._old = dict(self)
+            self.clear()
+            lacking = list(keys)
+        old = self._old
+        self.update((key, old[key]) for key in lacking if key in old)
+        return [key for key in lacking if key not in old]
+
+
+class PieceIds(Generations):
+    """Ids by piece, as bytes. Pieces share words, and words are what costs time."""
+
+    def __init__(self, splitter: WordSplitter, encode_all, kind: str, pieces=500_000, words=400_000):
+        super().__init__(pieces)
+        self._splitter, self._encode_all, self._kind = splitter, encode_all, kind
+        self._words = Generations(words)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the pieces of these texts that are not known yet."""
-        held = set().union(*texts)
-        if len(self) + len(held.difference(self)) > self._most:
-            self.clear()
-        split = {piece: self._splitter.words(piece) for piece in held.difference(self)}
-        words = set().union(*split.values())
-        if len(self._words) + len(words.difference(self._words)) > self._most_words:
-            self._words.clear()
-        new = list(words.difference(self._words))
-        self._words.update(
-            (word, np.array(ids, self._kind).tobytes()) for word, ids in zip(new, self._encode_all(new))
-        )
-        for piece, some in split.items():
-            self[piece] = b"".join([self._words[word] for word in some])
+        new = self.missing(set().union(*texts))
+        if not new:
+            return
+        split = self._splitter.words_of(new)
+        lacking = self._words.missing(set().union(*split))
+        self._words.update((word, array(self._kind, ids).tobytes()) for word, ids in zip(lacking, self._encode_all(lacking)))
+        held = self._words
+        self.update((piece, b"".join([held[word] for word in some])) for piece, some in zip(new, split))
 
 
 _kept: dict = {}
