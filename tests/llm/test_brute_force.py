@@ -259,16 +259,6 @@ def test_rules(spark, given_tables):
     assert np.mean([bool(q) == k for q, k in judged]) > 0.97
 
 
-def test_ratios(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
-    ratios = np.array(quality_rules.bin_ratios(docs, labels).first()["ratios"])
-    n = quality_rules.BINS
-    rest = np.log(1 / (5 + n)) - np.log(1 / (6 + n))
-    assert len(ratios) == n and np.isclose(ratios, rest).sum() == n - 1
-    assert np.isclose(sorted(ratios)[0], np.log(1 / (5 + n)) - np.log(2 / (6 + n)))
-
-
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_rules_at_every_size(spark, size):
     """Labels of a fold are withheld; verdicts on them, and the share dropped, do not go with the table's size."""

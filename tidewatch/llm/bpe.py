@@ -69,6 +69,7 @@ class Automaton:
                 self._last[label.removesuffix(self.end)] = number
             else:
                 self._inner[label] = number
+        self._longest = max(map(len, self._last), default=0)
         for label in list(self._inner):
             for stop in range(1, len(label)):
                 self._inner.setdefault(label[:stop], -1)
@@ -98,7 +99,8 @@ class Automaton:
                     if arcs[column >> 3] >> (column & 7) & 1:
                         came[stop] = (start, token)
                         state[stop] = self._state[token]
-            token = last.get(letters[start:])
+            # No ending label is longer, and a copy of the rest at every place would be quadratic.
+            token = last.get(letters[start:]) if size - start <= self._longest else None
             if token is not None:
                 column = classes[token]
                 if arcs[column >> 3] >> (column & 7) & 1:

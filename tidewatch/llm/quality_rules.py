@@ -40,8 +40,8 @@ from tidewatch.sources.storage import store
 
 #: Hash bins, and the score (mean less cut) from which documents are kept.
 BINS, THRESHOLD = 1 << 16, 0.0
-#: N-grams that the overall trusted share weighs in a bin; pseudo-count of ``bin_ratios``.
-PRIOR, PSEUDO = 3.0, 1.0
+#: N-grams that the overall trusted share weighs in a bin.
+PRIOR = 3.0
 #: Steps of the mean per unit in the search for the cut, and a cut below every mean.
 STEPS, LOWEST = 2000, -100.0
 
@@ -108,17 +108,6 @@ def bin_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def bin_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with ``ratios``: log ratios under flat pseudo-counts. Verdicts do not use them: they depend on table size."""
-    mass = F.lit(PSEUDO * BINS)
-    shift = F.ln(F.col("all_raw") + mass) - F.ln(F.col("all_trusted") + mass)
-    return bin_counts(docs, labels).select("raw", "trusted", _once(shift).alias("shift")).select(
-        F.zip_with(
-            "trusted", "raw", lambda t, r: F.ln(t + F.lit(PSEUDO)) - F.ln(r + F.lit(PSEUDO)) + F.col("shift")
-        ).alias("ratios")
-    )
-
-
 def _shares(n: Column, counts: Column) -> Column:
     """Trusted share of all n-grams without the n own ones, of a document that is not trusted and of one that is."""
     rest = counts["all_raw"] - n
