@@ -15,10 +15,10 @@ threshold 0 and the base rules hold. So size and mix of a table move no verdict
 by a fixed number.
 
 Two passes over the texts. The first sums n-grams per bin before its shuffle, so
-at most one row for each bin and task moves. The second needs no shuffle: the
-counts are arrays of fixed length, read as a scalar subquery, and each document
-gets its mean both as a trusted and as another one. Its rows, without texts, are
-written once; labels meet those. The cut is found from counts per step of the
+at most one row for each bin and task moves. The second shuffles one short row a
+document: the counts are arrays of fixed length, read as a scalar subquery, and
+each document gets its mean both as a trusted and as another one. Its rows,
+without texts, are written once; labels meet those. The cut is found from counts per step of the
 mean, of which there are a fixed number at most.
 
 Word windows are compared by 64-bit hashes within one document.
@@ -58,13 +58,17 @@ def _pairs(left: Column, right: Column, most: Column, combine) -> Column:
     return F.zip_with(F.slice(left, 1, most), right, combine)
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words, word hashes ``h1`` and pair hashes ``h2``."""
+def split_texts(docs: DataFrame) -> DataFrame:
+    """The rows with ``text`` (null: empty) and its ``words``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(_BLANKS))
     split = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK_RUN))
-    words = docs.withColumn("text", text).withColumn("words", _once(split))
-    hashes = words.withColumn("h1", _once(F.transform("words", lambda word: F.xxhash64(word))))
+    return docs.withColumn("text", text).withColumn("words", _once(split))
+
+
+def hash_words(split: DataFrame) -> DataFrame:
+    """Replace text and words by word hashes ``h1`` and pair hashes ``h2``; rows get short before they pass on."""
+    hashes = split.withColumn("h1", _once(F.transform("words", lambda word: F.xxhash64(word)))).drop("text", "words")
     most = F.greatest(F.size("h1") - 1, F.lit(0))
     return hashes.withColumn(
         "h2", _once(_pairs(F.col("h1"), F.slice("h1", 2, most), most, lambda a, b: F.xxhash64(a, b)))
@@ -72,18 +76,22 @@ def hashed_words(docs: DataFrame) -> DataFrame:
 
 
 def bin_of(value: Column) -> Column:
-    return F.pmod(value, F.lit(BINS)).cast("int")
+    """The low bits; never null, so that arrays of bins are sorted as plain numbers."""
+    return value.bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int")
 
 
 def _by_document(labels: DataFrame) -> DataFrame:
-    """doc_id, quality; labels grow with the corpus, so the join is one that grows in proportion at every size."""
-    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).hint("merge")
+    """doc_id, quality; labels grow with the corpus, so the join is one that grows in proportion at every size.
+
+    A task holds the labels of its ids, one of each; the texts that meet them need no sort.
+    """
+    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).hint("shuffle_hash")
 
 
 def bin_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: ``raw`` and ``trusted`` n-grams of each bin, and their sums."""
     marked = docs.select("doc_id", "text").join(_by_document(labels), "doc_id", "left")
-    grams = hashed_words(marked).select(
+    grams = hash_words(split_texts(marked)).select(
         F.coalesce("quality", F.lit(0)).cast("long").alias("trusted"), F.explode(F.concat("h1", "h2")).alias("gram")
     )
     counts = grams.groupBy(bin_of(F.col("gram")).alias("bin")).agg(
@@ -108,37 +116,50 @@ def bin_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _shares(n: Column, counts: Column) -> Column:
+def _shares(n: Column, counts: Column) -> dict[str, Column]:
     """Trusted share of all n-grams without the n own ones, of a document that is not trusted and of one that is."""
     rest = counts["all_raw"] - n
-    return F.struct(
-        F.try_divide(counts["all_trusted"], rest).alias("other"),
-        F.try_divide(counts["all_trusted"] - n, rest).alias("trusted"),
+    return {
+        "other": F.try_divide(counts["all_trusted"], rest),
+        "trusted": F.try_divide(counts["all_trusted"] - n, rest),
+    }
+
+
+def _means(figures: DataFrame, counts: Column) -> DataFrame:
+    """Replace sorted ``grams`` by ``means``, a struct of the means as an ``other`` and as a ``trusted`` document.
+
+    A row is a document, then a run of equal bins, then a document again: the
+    runs are summed where they are made, so one row a document is shuffled.
+    Sums over rows are compiled, folds of arrays are not.
+    """
+    kept = [name for name in figures.columns if name != "grams"]
+    size = F.size("grams")
+    ends = F.filter(
+        F.slice(F.sequence(F.lit(0), size), 2, size),
+        lambda i: ~F.get("grams", i).eqNullSafe(F.get("grams", i - 1)),
     )
-
-
-def _means(grams: Column, shares: Column, counts: Column) -> Column:
-    """Means ``other`` and ``trusted`` of sorted bins, of which the counts hold the own n-grams as well."""
-    n, kinds = F.size(grams).cast("double"), ("other", "trusted")
-
-    def with_run(state: Column) -> list[Column]:
-        """The sums with the run of equal bins that has just ended."""
-        at, own = state["bin"], state["n"]
-        held, raw = F.get(counts["trusted"], at), F.ln(F.get(counts["raw"], at) - own + PRIOR)
-        less = {"other": held, "trusted": F.greatest(held - own, F.lit(0.0))}
-        return [(state[k] + own * (F.ln(less[k] + PRIOR * shares[k]) - raw)).alias(k) for k in kinds]
-
-    def step(state: Column, at: Column) -> Column:
-        same = F.struct(state["bin"].alias("bin"), (state["n"] + 1.0).alias("n"), *[state[k].alias(k) for k in kinds])
-        return F.when(at == state["bin"], same).otherwise(
-            F.struct(at.alias("bin"), F.lit(1.0).alias("n"), *with_run(state))
-        )
-
-    start = F.struct(F.get(grams, F.lit(0)).alias("bin"), F.lit(0.0).alias("n"), *[F.lit(0.0).alias(k) for k in kinds])
-    sums = F.aggregate(grams, start, step, lambda state: F.struct(*with_run(state)))
-    return F.struct(
-        *[F.coalesce(F.try_divide(sums[k], n) - F.ln(shares[k]), F.lit(0.0)).alias(k) for k in kinds]
+    # Equal rows are told apart by their number.
+    numbered = figures.withColumn("n", size.cast("double")).withColumn("row", F.monotonically_increasing_id())
+    runs = numbered.withColumn("ends", _once(ends)).select(
+        "row", "n", *kept, "grams", "ends", F.posexplode_outer("ends").alias("at", "end")
+    )
+    bin_ = F.get("grams", F.col("end") - 1)
+    met = runs.select(
+        "row",
+        "n",
+        *kept,
+        (F.col("end") - F.coalesce(F.get("ends", F.col("at") - 1), F.lit(0))).cast("double").alias("own"),
+        F.get(counts["raw"], bin_).alias("raw"),
+        F.get(counts["trusted"], bin_).alias("held"),
+    )
+    shares = _shares(F.col("n"), counts)
+    held = {"other": F.col("held"), "trusted": F.greatest(F.col("held") - F.col("own"), F.lit(0.0))}
+    less = F.col("raw") - F.col("own") + PRIOR
+    sums = met.groupBy("row", "n", *kept).agg(
+        *[F.sum(F.col("own") * F.ln((held[k] + PRIOR * shares[k]) / less)).alias(k) for k in held]
     )
+    means = [F.coalesce(F.try_divide(k, "n") - F.ln(shares[k]), F.lit(0.0)).alias(k) for k in held]
+    return sums.select(*kept, F.struct(*means).alias("means"))
 
 
 def best_cut(judged: DataFrame) -> DataFrame:
@@ -173,14 +194,13 @@ def _repeated_words(rows: DataFrame) -> DataFrame:
     windows = rows.withColumn(
         "h3", _once(_pairs(F.col("h2"), F.slice("h1", 3, most), most, lambda a, b: F.xxhash64(a, b)))
     )
-    # Most texts repeat no window; only the others are sorted.
+    # Most texts repeat no window; only the others are sorted. The count of distinct ones stands apart
+    # from lambdas, so that it is compiled.
+    distinct = windows.withColumn("n_distinct", _once(F.size(F.array_distinct("h3"))))
     nothing = F.array().cast("array<struct<h:bigint,at:int>>")
     at = F.transform("h3", lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    sorted_rows = windows.withColumn(
-        "h3",
-        _once(
-            F.when(F.size(F.array_distinct("h3")) == F.size("h3"), nothing).otherwise(F.sort_array(at))
-        ),
+    sorted_rows = distinct.withColumn(
+        "h3", _once(F.when(F.col("n_distinct") == F.size("h3"), nothing).otherwise(F.sort_array(at)))
     )
 
     def repeated(x: Column, i: Column) -> Column:
@@ -202,22 +222,21 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     """Base figures, score and verdict of every document."""
     counts = bin_counts(docs, labels).select(F.struct("raw", "trusted", "all_raw", "all_trusted")).scalar()
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = _repeated_words(hashed_words(docs.select("doc_id", "text"))).withColumn("lines", _once(lines))
-    grams = F.sort_array(F.transform(F.concat("h1", "h2"), bin_of))
-    figures = hashed.select(
+    base = split_texts(docs.select("doc_id", "text")).withColumn("lines", _once(lines)).select(
         "doc_id",
+        "text",
+        "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        _once(grams).alias("grams"),
-    ).withColumn("shares", _once(_shares(F.size("grams").cast("double"), counts)))
-    # The counts come after the last generator, which would copy them with every row.
-    means = _means(F.col("grams"), F.col("shares"), F.col("counts"))
-    scored = figures.withColumn("counts", counts).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", means.alias("means")
     )
+    figures = _repeated_words(hash_words(base)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        _once(F.transform(F.concat("h1", "h2"), bin_of)).alias("grams"),
+    )
+    # Sorted apart from lambdas, so that the sort is compiled.
+    scored = _means(figures.withColumn("grams", _once(F.sort_array("grams"))), counts)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # Rows without texts: the labels meet these, so texts move once only.
     written = store(scored.withColumn("base_failed", failed), "rule-means")
