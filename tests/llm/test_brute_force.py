@@ -159,6 +159,29 @@ def test_wavelet_ranks():
     assert matrix.rank(symbol, at).tolist() == [int((sequence[:p] == s).sum()) for s, p in zip(symbol, at)]
 
 
+def test_index_search():
+    """Intervals of the search hold each window as often as the text does, and its smallest value."""
+    draw = np.random.default_rng(8)
+    passages = [draw.integers(1, 4, 20) for _ in range(3)]
+    parts = [np.concatenate([draw.integers(1, 4, 14), passages[n % 3], [0]]) for n in range(40)]
+    text = np.concatenate(parts)
+    size = np.array([len(part) - 1 for part in parts])
+    first = np.cumsum(size + 1) - size - 1
+    values = draw.integers(0, 1000, len(text))
+    index = substring_dedup.FMIndex(text, 4, values)
+    plain = {}
+    for at in range(len(text) - 12):
+        plain.setdefault(tuple(text[at : at + 13].tolist()), []).append(at)
+    seen = 0
+    for at, low, high in index.window_matches(text, first, size):
+        least = index.least(low, high)
+        for place, many, value in zip(at.tolist(), (high - low).tolist(), least.tolist()):
+            places = plain[tuple(text[place : place + 13].tolist())]
+            assert (many, value) == (len(places), min(values[p] for p in places))
+            seen += 1
+    assert seen == int((size - 12).sum())
+
+
 # --- language and quality --------------------------------------------------------
 
 

@@ -12,9 +12,9 @@ the words of the others it builds an FM-index: suffixes sorted to 13 words, the
 Burrows-Wheeler transform in a wavelet matrix of packed bits, and group borders
 for dropping the last word of a match. All segments are streamed through it from
 right to left, side by side: a backward step adds a word, a border look-up drops
-one, so each step has the match of the next 13 words. The matches' smallest
-doc_ids tell which windows start in an earlier document; their intervals go
-back to the documents.
+one, so each step has the suffix interval of the next 13 words. The smallest
+doc_id of an interval tells whether its window starts in an earlier document;
+nothing else of the sort is kept for that. Such windows go back to the documents.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has no
 words; texts under 13 words stay whole; windows repeated within a document only
@@ -161,6 +161,28 @@ def _cut(shards: int):
 # --- index --------------------------------------------------------------------
 
 
+def _packed(bit: np.ndarray) -> np.ndarray:
+    """Bits in words of 64."""
+    words = np.zeros(len(bit) // 64 + 1, np.uint64)
+    held = np.packbits(bit, bitorder="little")
+    words.view(np.uint8)[: len(held)] = held
+    return words
+
+
+def _before(words: np.ndarray) -> np.ndarray:
+    """How many bits are set before each word."""
+    counts = np.zeros(len(words), np.uint32)
+    np.cumsum(np.bitwise_count(words[:-1]), dtype=np.uint32, out=counts[1:])
+    return counts
+
+
+def _ones(words: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bits are set before each position."""
+    word = at >> 6
+    below = words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+    return counts[word].astype(np.int64) + np.bitwise_count(below)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one packed bit vector for each bit of a symbol."""
 
@@ -169,11 +191,9 @@ class WaveletMatrix:
         self.bits, self.counts, self.zeros = [], [], []
         for level in range(self.levels):
             bit = (sequence >> (self.levels - 1 - level)) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            words = np.zeros(len(sequence) // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
+            words = _packed(bit.astype(np.uint8))
             self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int64))
+            self.counts.append(_before(words))
             one = bit == 1
             self.zeros.append(int(len(sequence) - one.sum()))
             sequence = np.concatenate([sequence[~one], sequence[one]])
@@ -182,9 +202,7 @@ class WaveletMatrix:
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
-            word = at >> 6
-            below = self.bits[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.counts[level][word] + np.bitwise_count(below)
+            ones = _ones(self.bits[level], self.counts[level], at)
             high = (symbol >> (self.levels - 1 - level)) & 1 == 1
             at = np.where(high, self.zeros[level] + ones, at - ones)
         return at
@@ -194,43 +212,67 @@ class WaveletMatrix:
         return self._descend(symbol, at) - self.first[symbol]
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Order numbers of tuples, from those of their parts."""
+def _joined(*keys: np.ndarray) -> np.ndarray:
+    """Numbers that order as tuples of the keys do."""
     joined = keys[0].astype(np.int64)
     for key in keys[1:]:
         wide = int(key.max()) + 1
         if (int(joined.max()) + 1) * wide >= 1 << 62:
             joined = np.unique(joined, return_inverse=True)[1]
         joined = joined * wide + key
-    return np.unique(joined, return_inverse=True)[1]
+    return joined
 
 
 class FMIndex:
-    """Backward search for windows in segments of word numbers (from 1; 0 ends a segment)."""
+    """Backward search for windows in a text of word numbers (from 1; 0 ends a segment).
+
+    Kept are the transform in a wavelet matrix, the borders of the groups that
+    agree in all words of a window but the last (one packed bit a suffix), and
+    the ``values`` of the text's places in the order of suffixes. Suffixes are
+    sorted to a window; the order of equal ones is left open, since a match is
+    a window at most.
+    """
 
-    def __init__(self, text: np.ndarray, symbols: int):
+    def __init__(self, text: np.ndarray, symbols: int, values: np.ndarray):
         size = len(text)
-        padded = np.concatenate([text, np.zeros(WINDOW, text.dtype)])
-
-        def later(values: np.ndarray, by: int) -> np.ndarray:
-            return np.concatenate([values[by:], np.zeros(by, values.dtype)])
-
-        three = _ranks(padded[:size], padded[1 : size + 1], padded[2 : size + 2])
-        nine = _ranks(three, later(three, 3), later(three, 6))
-        full = _ranks(nine, later(nine, WINDOW - 9))
-        self.order = np.argsort(full, kind="stable")
-        self.window = full[self.order]  # group of equal windows, by suffix rank
-        # Borders of the groups that agree in all words of a window but the last.
-        a, b = nine[self.order], later(nine, WINDOW - 10)[self.order]
-        new = np.ones(size, bool)
+
+        def later(ranks: np.ndarray, by: int) -> np.ndarray:
+            return np.concatenate([ranks[by:], np.zeros(by, ranks.dtype)])
+
+        def ranks(*keys: np.ndarray) -> np.ndarray:
+            return np.unique(_joined(*keys), return_inverse=True)[1]
+
+        three = ranks(text, later(text, 1), later(text, 2))
+        nine = ranks(three, later(three, 3), later(three, 6))
+        del three
+        order = np.argsort(_joined(nine, later(nine, WINDOW - 9)))
+        a, b = nine[order], later(nine, WINDOW - 10)[order]
+        new = np.ones(size, np.uint8)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        self.group_first = starts[group]
-        self.group_end = np.concatenate([starts[1:], [size]])[group]
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
-        self.matrix = WaveletMatrix(text[self.order - 1], symbols)
+        del nine, a, b
         self.size = size
+        self.borders = _packed(new)
+        self.borders_before = _before(self.borders)
+        self.starts = np.append(np.flatnonzero(new), size).astype(np.uint32)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
+        self.matrix = WaveletMatrix(text[order - 1], symbols)
+        self.values = values[order]
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest value in each interval of a whole window; equal or apart, such intervals never overlap."""
+        end = np.zeros(self.size, np.int64)
+        end[low] = high
+        first = np.flatnonzero(end)
+        if not len(first):
+            return np.zeros(0, np.int64)
+        pairs = np.stack([first, end[first]], axis=1).ravel()
+        end[first] = np.minimum.reduceat(np.append(self.values, np.iinfo(np.int64).max), pairs)[::2]
+        return end[low]
+
+    def shortened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of windows without their last word."""
+        group = _ones(self.borders, self.borders_before, low + 1)
+        return self.starts[group - 1].astype(np.int64), self.starts[group].astype(np.int64)
 
     def window_matches(self, text: np.ndarray, first: np.ndarray, size: np.ndarray):
         """For each window of each stream: its position in ``text`` and its suffix interval.
@@ -249,9 +291,8 @@ class FMIndex:
             lo, hi = low[:live], high[:live]
             if step >= WINDOW:
                 found = lo < hi
-                safe = np.where(found, lo, 0)
-                lo = np.where(found, self.group_first[safe], 0)
-                hi = np.where(found, self.group_end[safe], 0)
+                wide = self.shortened(np.where(found, lo, 0))
+                lo, hi = (np.where(found, border, 0) for border in wide)
             both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
             low[:live] = self.before[symbol] + both[:live]
             high[:live] = self.before[symbol] + both[live:]
@@ -289,15 +330,15 @@ def repeated_intervals(segments: list[bytes], minimizers: np.ndarray, places):
     inside = np.ones(len(text), bool)
     inside[first + size] = False
     text[inside] = np.fromiter((words[w] for some in split for w in some), np.int64, int(size.sum()))
-    index = FMIndex(text, len(words) + 1)
-    # Smallest document of each group of equal windows, in suffix order.
-    starts = np.flatnonzero(np.diff(index.window, prepend=-1))
-    least = np.minimum.reduceat(smallest[live][owner[index.order]], starts)
-    earliest = np.full(len(text), np.iinfo(np.int64).max)
+    index = FMIndex(text, len(words) + 1, smallest[live][owner])
+    # Interval of the window at each place, and the smallest document that holds it.
+    low_of, high_of = np.zeros(len(text), np.uint32), np.zeros(len(text), np.uint32)
     for at, lo, hi in index.window_matches(text, first, size):
-        found = lo < hi
-        earliest[at[found]] = least[index.window[lo[found]]]
-    del index
+        low_of[at], high_of[at] = lo, hi
+    met = np.flatnonzero(low_of < high_of)
+    earliest = np.full(len(text), np.iinfo(np.int64).max)
+    earliest[met] = index.least(low_of[met].astype(np.int64), high_of[met].astype(np.int64))
+    del index, low_of, high_of, met
 
     # Places of live segments, against the windows of their segment.
     slot = np.full(count, -1)
