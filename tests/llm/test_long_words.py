@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from tidewatch.llm import bpe
+from tidewatch.llm import bpe, quality_classifier
 
 
 def test_a_word_of_a_million_letters(vocabulary):
@@ -20,3 +20,12 @@ def test_a_word_of_a_million_letters(vocabulary):
     part = word[:50_000]
     library = tokenizers.Tokenizer.from_file(vocabulary)
     assert automaton.encode_word(part) == library.encode(part, add_special_tokens=False).ids
+
+
+def test_features_read_whole_words():
+    word = b"x" * 1_000_000
+    start = time.process_time()
+    plain, other = quality_classifier.word_features(word + b"a"), quality_classifier.word_features(word + b"7Aa")
+    assert time.process_time() - start < 20
+    assert plain[1] != other[1]  # shapes differ behind the first million letters
+    assert quality_classifier.shape((word + b"7Aa").decode()) == "a0Aa"

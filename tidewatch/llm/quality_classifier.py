@@ -8,7 +8,8 @@ from document labels alone, in numpy.
 
 Training takes a bounded sample: at most ``train_docs`` labelled documents,
 chosen by a hash; documents above ``most_words`` words are left out of training.
-Scoring covers every passage of every text.
+Where doc_ids repeat, at most twice as many rows are kept, also by a hash. Scoring
+covers every passage of every text and whole words.
 
 Defined results: a null or empty text is one passage without features and gets
 the score of that; without usable labels all scores are 0.5; of several labels
@@ -61,7 +62,7 @@ def shape(word: str) -> str:
 
 def word_features(raw: bytes) -> list[int]:
     word = raw.decode("utf-8", "replace")
-    form = shape(word[:64])
+    form = shape(word)
     size = len(word)
     length = f"n{size if size < 16 else size.bit_length() + 12}"
     signs = "".join(sorted({c for c in form if c not in "Aa0"}))
@@ -224,9 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, setting: Training = T
     # train_docs rows of two numbers bound the broadcast side.
     texts = docs.select("doc_id", "text").where(learn).join(F.broadcast(chosen), "doc_id")
     schema = pa.schema([("label", pa.int32()), ("bag", pa.binary())])
-    rows = texts.mapInArrow(_bags(schema, setting.most_words), "label int, bag binary").collect()
-    # Repeated doc_ids must not widen the sample.
-    samples = sorted((bytes(r["bag"]), r["label"]) for r in rows)[: 2 * setting.train_docs]
+    made = texts.mapInArrow(_bags(schema, setting.most_words), "label int, bag binary")
+    # Repeated doc_ids must not widen the sample: at most two rows a document on average, chosen by hash.
+    rows = made.orderBy(F.xxhash64(F.lit(setting.seed), "bag", "label"), "bag", "label").limit(2 * setting.train_docs)
+    samples = sorted((bytes(r["bag"]), r["label"]) for r in rows.collect())
     if not samples:
         return None
     bags = [(np.frombuffer(raw, "<f2").reshape(-1, BINS), label) for raw, label in samples]
