@@ -1,6 +1,8 @@
 """Operators against plain versions of themselves on small corpora."""
 
 import hashlib
+import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -105,6 +107,53 @@ def test_near_duplicates(documents, corpus, block_bytes):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == plain_classes(corpus)
 
 
+def test_weak_ties_go_by_bands(spark, monkeypatch):
+    """A long chain of weakly similar texts is one group; its sets travel by band, and no link is lost."""
+    draw = random.Random(3)
+    words = [f"w{n}" for n in range(6_000)]
+    rows = []
+    for n in range(150):
+        text = words[n * 18 : n * 18 + 90 + 5 * (n % 4)]
+        rows.append((2 * n, " ".join(text)))
+        if n % 3 == 0:
+            text[draw.randrange(len(text))] = "changed"
+            rows.append((2 * n + 1, " ".join(text)))
+    placed = []
+    plain = jaccard_join.placements
+
+    def seen(*given):
+        placed.append(plain(*given))
+        return placed[-1]
+
+    monkeypatch.setattr(jaccard_join, "placements", seen)
+    setting = jaccard_join.Setting(block_bytes=4_000, bands=60, rows=4)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), setting).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == plain_classes(rows)
+    units = [unit for r in placed[0].collect() for unit in r["units"]]
+    assert any(unit["banded"] for unit in units)
+
+
+def test_pairs_of_a_band_only():
+    draw = np.random.default_rng(4)
+    keys = draw.integers(0, 30, (80, 3)) + np.array([0, 100, 200])
+    lefts, rights = np.arange(0, 50), np.arange(30, 80)
+    found = {(i, j) for i, js in jaccard_join._sharing(keys, lefts, rights) for j in js.tolist()}
+    plain = {(i, j) for i in lefts.tolist() for j in rights.tolist() if i != j and (keys[i] == keys[j]).any()}
+    assert found == plain
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_every_link_of_the_table(spark, size):
+    """Recall against an exact join of all documents: no link and no class differs."""
+    directory = f"/root/testdata/{size}"
+    if not os.path.isdir(directory):
+        pytest.skip("no given tables")
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == plain_classes(rows)
+
+
 def test_large_near_group_makes_few_rows(spark):
     words = [f"w{n}" for n in range(300)]
     rows = [(n, " ".join([*words[:n], "x", *words[n + 1 :]])) for n in range(120)]

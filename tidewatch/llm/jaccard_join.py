@@ -3,14 +3,16 @@
 1. Each text becomes the set of its 64-bit shingle hashes, 240 MinHash values in
    40 bands of 6, and a 128-bit key of the set. Texts with one key are copies;
    they are counted and go on as one.
-2. Sets that share a band are tied to the smallest set in it. The connected
-   groups of these ties hold every candidate pair; a pair of similarity 0.8
-   shares no band with probability 5e-6.
-3. Only sets in groups of two or more are built again. A group is cut into
-   blocks of bounded size, and a task compares two blocks: MinHash values in
-   steps of 16, after each of which pairs go whose posterior probability of
-   reaching the threshold (uniform prior) is below the tolerance. What is left
-   is verified exactly on the sets.
+2. Sets that share a band are candidates; a pair of similarity 0.8 shares none
+   with probability 5e-6. Ties to the smallest set of each band make groups.
+3. Only sets in groups of two or more are built again. They travel by unit: a
+   whole group, or each of their shared bands where that moves less, so weak
+   ties that run through a corpus copy a set 40 times at most. A unit is cut
+   into blocks of bounded size, and a task compares the pairs of two blocks
+   that share a band (of several band units, in that of the first one only):
+   MinHash values in steps of 16, after each of which pairs go whose posterior
+   probability of reaching the threshold (uniform prior) is below the
+   tolerance. What is left is verified exactly on the sets.
 4. A task returns the links of each set and edges that span what it linked,
    never its pairs, so a group of g texts gives rows in proportion to g.
 
@@ -167,7 +169,8 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 _SETS = pa.schema(
     [
-        ("group", pa.int64()),
+        ("banded", pa.bool_()),
+        ("unit", pa.int64()),
         ("a", pa.int32()),
         ("b", pa.int32()),
         ("block", pa.int32()),
@@ -179,36 +182,73 @@ _SETS = pa.schema(
 
 
 def _build_sets(setting: Setting):
-    """A set goes once to each pair of blocks that its own block is in."""
+    """In each of its units, a set goes once to each pair of blocks that its own block is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(setting)
         for batch in pieces(batches, most=1_000_000):
-            columns = [batch.column(n).to_pylist() for n in ("group", "block", "blocks", "key", "copies")]
+            columns = [batch.column(n).to_pylist() for n in ("units", "key", "copies")]
             out: list[list] = [[] for _ in _SETS]
             held = 0
-            for shingles, (group, block, blocks, key, copies) in zip(shingler.sets(texts_of(batch)), zip(*columns)):
+            for shingles, (units, key, copies) in zip(shingler.sets(texts_of(batch)), zip(*columns)):
                 raw = shingles.tobytes()
-                for other in range(blocks):
-                    row = (group, min(block, other), max(block, other), block, key, copies, raw)
-                    for values, value in zip(out, row):
-                        values.append(value)
-                    held += len(raw)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _SETS)], schema=_SETS)
-                    out, held = [[] for _ in _SETS], 0
+                for place in units:
+                    block = place["block"]
+                    for other in range(place["blocks"]):
+                        pair = min(block, other), max(block, other)
+                        row = (place["banded"], place["unit"], *pair, block, key, copies, raw)
+                        for values, value in zip(out, row):
+                            values.append(value)
+                        held += len(raw)
+                        if held > 8_000_000:
+                            made = [pa.array(v, f.type) for v, f in zip(out, _SETS)]
+                            yield pa.RecordBatch.from_arrays(made, schema=_SETS)
+                            out, held = [[] for _ in _SETS], 0
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _SETS)], schema=_SETS)
 
     return run
 
 
-def _candidates(values: np.ndarray, sizes: np.ndarray, block: np.ndarray, a: int, b: int, setting: Setting, table):
-    """Pairs that survive the incremental comparison; left side row by row to bound memory."""
-    lefts = np.flatnonzero(block == a)
-    rights = np.flatnonzero(block == b)
+def _sharing(keys: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row with the right rows that have one of its band keys; row by row to bound memory.
+
+    Band keys differ between bands, so equal keys are equal bands.
+    """
+    every, inverse = np.unique(keys, return_inverse=True)
+    inverse = inverse.reshape(keys.shape)
+    held = inverse[rights]
+    order = np.argsort(held, axis=None, kind="stable")
+    members = np.repeat(rights, keys.shape[1])[order]
+    ends = np.cumsum(np.bincount(held.ravel(), minlength=len(every)))
+    starts = np.concatenate([[0], ends[:-1]])
+    met = np.zeros(len(keys), bool)
     for i in lefts.tolist():
-        js = rights[rights > i] if a == b else rights
+        bands = inverse[i]
+        for start, end in zip(starts[bands].tolist(), ends[bands].tolist()):
+            met[members[start:end]] = True
+        met[i] = False
+        js = np.flatnonzero(met)
+        met[js] = False
+        if len(js):
+            yield i, js
+
+
+def _candidates(
+    values: np.ndarray, keys: np.ndarray, sizes: np.ndarray, block: np.ndarray, task: tuple, setting: Setting, table
+):
+    """Pairs of one band that survive the incremental comparison.
+
+    A pair of several band units is compared in that of its first common band.
+    """
+    banded, unit, a, b = task
+    lefts, rights = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    for i, js in _sharing(keys, lefts, rights):
+        if a == b:
+            js = js[js > i]
+        if banded:
+            first = (keys[js] == keys[i]).argmax(axis=1)
+            js = js[keys[i][first] == unit]
         small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
         js = js[small >= setting.threshold * large - 1e-9]
         same = np.zeros(len(js), np.int32)
@@ -230,14 +270,14 @@ def _verify(setting: Setting):
     def node(key: bytes) -> int:
         return int.from_bytes(key[:8], "little", signed=True)
 
-    def linked(group_key, rows: list[dict], shingler: Shingler, table):
-        _, a, b = group_key
+    def linked(task, rows: list[dict], shingler: Shingler, table):
         rows = list({row["key"]: row for row in rows}.values())
         if len(rows) < 2:
             return
         sets = [np.frombuffer(row["shingles"], np.uint64) for row in rows]
         sizes = np.array([len(s) for s in sets])
         values = np.stack([shingler.values(s) for s in sets])
+        keys = np.stack([shingler.band_keys(v) for v in values])
         block = np.array([row["block"] for row in rows])
         copies = np.array([row["copies"] for row in rows])
         every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -252,7 +292,7 @@ def _verify(setting: Setting):
                 x = root[x]
             return x
 
-        for i, js in _candidates(values, sizes, block, a, b, setting, table):
+        for i, js in _candidates(values, keys, sizes, block, task, setting, table):
             own = inverse[ends[i] - sizes[i] : ends[i]]
             flag[own] = True
             shared = np.array([int(np.count_nonzero(flag[inverse[ends[j] - sizes[j] : ends[j]]])) for j in js.tolist()])
@@ -270,7 +310,7 @@ def _verify(setting: Setting):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(setting), least_matches(setting)
         out: list[tuple] = []
-        for key, rows in grouped(batches, ("group", "a", "b")):
+        for key, rows in grouped(batches, ("banded", "unit", "a", "b")):
             out += linked(key, rows, shingler, table)
             if len(out) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _LINKED)], schema=_LINKED)
@@ -281,6 +321,50 @@ def _verify(setting: Setting):
     return run
 
 
+def _in_blocks(sets: DataFrame, unit: str, setting: Setting) -> DataFrame:
+    """Units of two or more sets, with their ``bytes`` in a task and the ``blocks`` these make."""
+    size = F.col("n_set") * 8 + 4 * setting.bands * setting.rows
+    sums = sets.groupBy(unit).agg(F.count("*").alias("sets"), F.sum(size).alias("bytes"))
+    blocks = F.ceil(F.col("bytes") / setting.block_bytes).cast("int")
+    return sums.where("sets > 1").select(unit, "bytes", blocks.alias("blocks"))
+
+
+def placements(chosen: DataFrame, held: DataFrame, setting: Setting) -> DataFrame:
+    """Key, copies and first document of each set with its ``units``.
+
+    ``chosen`` has a row for each set and its group, ``held`` one for each set
+    and band that another set shares. A group of several blocks goes by bands
+    if that moves fewer bytes: a set meets each block of its unit once.
+    """
+    kept = ["key", "copies", "first"]
+    by_group = _in_blocks(chosen, "group", setting)
+    several = by_group.where("blocks > 1")
+    banded = held.select("node", "band").join(
+        chosen.join(several.select("group"), "group", "left_semi"), "node"
+    )
+    by_band = _in_blocks(banded, "band", setting)
+    moved = banded.join(by_band, "band").groupBy("group").agg(
+        F.sum((F.col("n_set") * 8 + 4 * setting.bands * setting.rows) * F.col("blocks")).alias("moved")
+    )
+    cheaper = store(
+        moved.join(several, "group").where(F.col("moved") < F.col("bytes") * F.col("blocks")).select("group"), "banded"
+    )
+
+    def place(by_bands: bool, unit: str) -> Column:
+        return F.struct(
+            F.lit(by_bands).alias("banded"),
+            F.col(unit).alias("unit"),
+            F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
+            "blocks",
+        )
+
+    whole = chosen.join(by_group, "group").join(cheaper, "group", "left_anti")
+    split = banded.join(cheaper, "group", "left_semi").join(by_band, "band")
+    # At most as many units as bands.
+    units = split.groupBy(*kept).agg(F.collect_list(place(True, "band")).alias("units"))
+    return whole.select(*kept, F.array(place(False, "group")).alias("units")).union(units.select(*kept, "units"))
+
+
 def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, text_key, class_node, class_id, n_links, n_copies of every row.
 
@@ -290,46 +374,44 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     signed = store(_identified(docs).mapInArrow(_sign(setting), signed_sql), "signatures")
     with_words = signed.where(F.col("key").isNotNull())
 
-    # Candidate groups: bands held by two sets tie them to the smallest.
-    bands = with_words.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
-    ties = bands.join(shared, "band").where("node > v").select(F.col("node").alias("u"), "v").distinct()
-    groups = components(ties)
-    members = groups.select("node", F.col("root").alias("group")).union(
-        groups.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()
-    )
-
-    # One document of each set in a group, and blocks of bounded size.
+    # Copies become one row before their bands move.
     classes = store(
         with_words.groupBy("key", "node").agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"),
             F.count("*").alias("copies"),
             F.max("n_set").alias("n_set"),
+            F.any_value("bands").alias("bands"),
         ),
         "classes",
     )
-    chosen = store(classes.join(members, "node"), "members")
-    weight = F.col("n_set") * 8 + 4 * setting.bands * setting.rows
-    blocks = chosen.groupBy("group").agg(
-        F.count("*").alias("sets"), F.ceil(F.sum(weight) / setting.block_bytes).cast("int").alias("blocks")
-    ).where("sets > 1")
-    placed = chosen.join(blocks, "group").select(
+
+    # Candidate groups: bands held by two sets tie them to the smallest.
+    bands = classes.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
+    held = store(bands.join(shared.select("band", "v"), "band"), "shared-bands")
+    groups = components(held.where("node > v").select(F.col("node").alias("u"), "v"))
+    members = groups.select("node", F.col("root").alias("group")).union(
+        groups.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()
+    )
+
+    # One document of each set in a group, and blocks of bounded size.
+    chosen = store(classes.drop("bands").join(members, "node"), "members")
+    placed = placements(chosen, held, setting).select(
         F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63))).alias("id_key"),
         F.col("first.text_key").alias("text_key"),
-        "group",
-        F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
-        "blocks",
         "key",
         "copies",
+        "units",
     )
     texts = _identified(docs).select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_key"), "text_key", "text"
     )
-    sets_sql = "group bigint, a int, b int, block int, key binary, copies bigint, shingles binary"
-    sets = texts.join(placed, ["id_key", "text_key"]).select(
-        "text", "group", "block", "blocks", "key", "copies"
-    ).mapInArrow(_build_sets(setting), sets_sql)
-    tasks = sets.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
+    task = ("banded", "unit", "a", "b")
+    sets_sql = "banded boolean, unit bigint, a int, b int, block int, key binary, copies bigint, shingles binary"
+    sets = texts.join(placed, ["id_key", "text_key"]).select("text", "key", "copies", "units").mapInArrow(
+        _build_sets(setting), sets_sql
+    )
+    tasks = sets.repartition(*task).sortWithinPartitions(*task)
     linked = store(tasks.mapInArrow(_verify(setting), "node bigint, key binary, links bigint, tied bigint"), "links")
 
     # Classes: groups of what was verified, named by their smallest doc_id.
