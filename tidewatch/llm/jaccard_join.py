@@ -321,12 +321,12 @@ def _verify(setting: Setting):
     return run
 
 
-def _in_blocks(sets: DataFrame, unit: str, setting: Setting) -> DataFrame:
+def _in_blocks(sets: DataFrame, setting: Setting, *unit: str) -> DataFrame:
     """Units of two or more sets, with their ``bytes`` in a task and the ``blocks`` these make."""
     size = F.col("n_set") * 8 + 4 * setting.bands * setting.rows
-    sums = sets.groupBy(unit).agg(F.count("*").alias("sets"), F.sum(size).alias("bytes"))
+    sums = sets.groupBy(*unit).agg(F.count("*").alias("sets"), F.sum(size).alias("bytes"))
     blocks = F.ceil(F.col("bytes") / setting.block_bytes).cast("int")
-    return sums.where("sets > 1").select(unit, "bytes", blocks.alias("blocks"))
+    return sums.where("sets > 1").select(*unit, "bytes", blocks.alias("blocks"))
 
 
 def placements(chosen: DataFrame, held: DataFrame, setting: Setting) -> DataFrame:
@@ -337,15 +337,13 @@ def placements(chosen: DataFrame, held: DataFrame, setting: Setting) -> DataFram
     if that moves fewer bytes: a set meets each block of its unit once.
     """
     kept = ["key", "copies", "first"]
-    by_group = _in_blocks(chosen, "group", setting)
+    by_group = _in_blocks(chosen, setting, "group")
     several = by_group.where("blocks > 1")
     banded = held.select("node", "band").join(
         chosen.join(several.select("group"), "group", "left_semi"), "node"
     )
-    by_band = _in_blocks(banded, "band", setting)
-    moved = banded.join(by_band, "band").groupBy("group").agg(
-        F.sum((F.col("n_set") * 8 + 4 * setting.bands * setting.rows) * F.col("blocks")).alias("moved")
-    )
+    by_band = _in_blocks(banded, setting, "band", "group")
+    moved = by_band.groupBy("group").agg(F.sum(F.col("bytes") * F.col("blocks")).alias("moved"))
     cheaper = store(
         moved.join(several, "group").where(F.col("moved") < F.col("bytes") * F.col("blocks")).select("group"), "banded"
     )
@@ -359,7 +357,7 @@ def placements(chosen: DataFrame, held: DataFrame, setting: Setting) -> DataFram
         )
 
     whole = chosen.join(by_group, "group").join(cheaper, "group", "left_anti")
-    split = banded.join(cheaper, "group", "left_semi").join(by_band, "band")
+    split = banded.join(cheaper, "group", "left_semi").join(by_band.drop("group"), "band")
     # At most as many units as bands.
     units = split.groupBy(*kept).agg(F.collect_list(place(True, "band")).alias("units"))
     return whole.select(*kept, F.array(place(False, "group")).alias("units")).union(units.select(*kept, "units"))
