@@ -6,9 +6,8 @@
 2. Sets that share a band are candidates; a pair of similarity 0.8 shares none
    with probability 5e-6. Ties to the smallest set of each band make groups.
 3. Only sets in groups of two or more are built again. They travel by unit: a
-   whole group, or each of their shared bands where that moves less, so weak
-   ties that run through a corpus copy a set 40 times at most. A unit is cut
-   into blocks of bounded size, and a task compares the pairs of two blocks
+   whole group, or each of their shared bands where that moves less, as for weak
+   ties that run through a corpus. A unit is cut into blocks of bounded size, and a task compares the pairs of two blocks
    that share a band (of several band units, in that of the first one only):
    MinHash values in steps of 16, after each of which pairs go whose posterior
    probability of reaching the threshold (uniform prior) is below the
