@@ -1,13 +1,27 @@
+import numpy as np
+import pyarrow as pa
 import pytest
+from helpers import plan_text
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewatch.config import RiskConfig
-from tidewatch.operators import tokens
+from tidewatch.operators import periods, tokens
 from tidewatch.plans.risk_run import RiskRun
 from tidewatch.streaming.ids import _SPAN, count_once, packed, unpacked
-from tidewatch.streaming.monitor import RiskMonitor, latest, sales_stream, use_disk_state
+from tidewatch.streaming.monitor import (
+    _CHANGED,
+    _LISTS,
+    _SUMS,
+    RiskMonitor,
+    _bundles,
+    _customers_of,
+    _merged,
+    latest,
+    sales_stream,
+    use_disk_state,
+)
 
 COLUMNS = ("customer_name", "risk_type", "severity", "metric_value")
 TEXTS = ("customer_name", "evidence", "strategy_title", "rationale", "action_steps", "body", "share_link", "queue")
@@ -168,6 +182,64 @@ def test_restart_with_other_settings_is_refused(spark, tmp_path):
         RiskMonitor(spark, str(tmp_path / "grain"), RiskConfig(grain=("category",)))
 
 
+@given(
+    st.lists(
+        st.lists(st.tuples(st.sampled_from("abcdé"), st.integers(-3, 9), st.integers(-5, 50), st.integers(1, 99)), min_size=1),
+        max_size=4,
+    )
+)
+def test_bundles_add_up(batches):
+    """Whole batches in one message equal sums row by row; tokens are of the first batch of a customer."""
+    held = _customers_of(pa.array([], pa.string()), [], [], [0], [[] for _ in _LISTS])
+    sums, firsts = {}, {}
+    for batch in batches:
+        names = {row[0] for row in batch} - set(firsts)
+        firsts |= {name: min(row[3] for row in batch if row[0] == name) for name in names}
+        for name, period, quantity, _ in batch:
+            sums[name, period] = sums.get((name, period), 0) + quantity
+        columns = list(zip(*[(n, p, q, q / 2, q / 4, key) for n, p, q, key in batch]))
+        rows = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS)], schema=_SUMS)
+        bucket = pa.array([ord(row[0]) % 2 for row in batch], pa.int32())
+        for _, message in _bundles(rows.append_column("bucket", bucket)):
+            new = pa.ipc.read_record_batch(pa.py_buffer(message), _SUMS)
+            held, touched = _merged(held, new)
+            shown = held.filter(pa.array(touched)).column("customer_name").to_pylist()
+            assert set(shown) == set(new.column("customer_name").to_pylist())
+    rows = held.to_pylist()
+    assert {row["customer_name"]: row["first_key"] for row in rows} == firsts and len(rows) == len(firsts)
+    assert all(row["period"] == sorted(set(row["period"])) for row in rows)
+    assert sums == {(r["customer_name"], p): q for r in rows for p, q in zip(r["period"], r["quantity"])}
+    assert all(r["revenue"] == [q / 2 for q in r["quantity"]] and r["cost_total"] == [q / 4 for q in r["quantity"]] for r in rows)
+
+
+@pytest.mark.parametrize("period, filled", [("month", True), ("quarter", True), ("month", False)])
+def test_gaps_are_judged_without_rows_of_their_own(spark, tmp_path, period, filled):
+    """Random customers with gaps, empty sums and returns: as the windows of the batch run, but nothing moves."""
+    random, step, rows = np.random.default_rng(7), periods.PERIOD_MONTHS[period], []
+    for number in range(400):
+        size = int(random.integers(1, 7))
+        places = sorted(random.choice(9, size, replace=False).tolist())
+        quantity = [int(q) for q in random.choice([0, 0, 5, 8, 10, 40, -6], size)]
+        money = [[float(x) for x in random.integers(1, 500, size)] for _ in range(2)]
+        newest = places[-1] + int(random.integers(0, 5))
+        months = [24000 + step * place for place in (*places, newest)]
+        rows.append((f"c{number}", number, months[-1], months[:-1], quantity, *money))
+    customers = spark.createDataFrame(rows, _CHANGED)
+    monitor = RiskMonitor(spark, str(tmp_path), RiskConfig(period=period, fill_empty_periods=filled))
+    verdicts = monitor._verdicts(customers)
+    assert not any(word in plan_text(verdicts) for word in ("Exchange", "Window", "Generate"))
+
+    month = F.make_date(F.lit(2000) + F.floor((F.col("period") - 24000) / 12).cast("int"), F.pmod("period", F.lit(12)) + 1, F.lit(1))
+    newest = F.make_date(F.lit(2000) + F.floor((F.col("newest") - 24000) / 12).cast("int"), F.pmod("newest", F.lit(12)) + 1, F.lit(1))
+    lists = F.inline(F.arrays_zip("period", "quantity", "revenue", "cost_total"))
+    totals = customers.select("customer_name", newest.alias("newest"), lists).withColumn("period", month)
+    if filled:
+        totals = periods.fill_periods(totals, ["customer_name"], period, F.col("newest"))
+    wanted = periods.customer_metrics(periods.period_trends(totals, ["customer_name"]), ["customer_name"])
+    columns = ("customer_name", "periods", "max_single_drop", "last_drop", "two_period_drop", "current_margin", "growth_gap")
+    assert rows_of(monitor._graded(customers), columns) == rows_of(wanted, columns)
+
+
 # --- records counted once -------------------------------------------------------------
 
 
