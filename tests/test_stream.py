@@ -171,6 +171,15 @@ def test_names_with_signs_of_patterns(spark, sample, tmp_path):
     assert rows_of(monitor.inbox(), TEXTS) == rows_of(RiskRun(odd).inbox, TEXTS) != set()
 
 
+def test_findings_are_read_from_the_state_in_place(spark, sample, tmp_path):
+    arrive(sample, tmp_path / "in")
+    monitor = RiskMonitor(spark, str(tmp_path / "state"))
+    run(monitor, tmp_path / "in")
+    assert not any(word in plan_text(monitor.findings()) for word in ("Exchange", "Window", "Sort"))
+    totals = monitor.totals().groupBy("customer_name").agg(F.sum("quantity"))
+    assert rows_of(totals, totals.columns) == rows_of(sample.groupBy("customer_name").agg(F.sum("quantity")), totals.columns)
+
+
 def test_restart_with_other_settings_is_refused(spark, tmp_path):
     path = str(tmp_path / "state")
     for _ in range(2):
